@@ -4,12 +4,91 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import bpe, packing, pieces
+from marginalia.llm import bpe, lookalikes, packing, pieces
+from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, remembered, words_of
+from marginalia.llm.garbled import Repairer
 from marginalia.tables import table
 
 
+def _lexicon(spark: SparkSession, sf_dir: str) -> set[str]:
+    """Words of the fixed sample tables, which hold clean text."""
+    return words_of(table(spark, sf_dir, "lang_samples"), "text") | words_of(table(spark, sf_dir, "common_words"), "word")
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, fld, rec_id, n_garbled, restored) of every field with garbled stretches.
+
+    A record delivered twice gives one row. Null, empty and ASCII texts without
+    entities can't be garbled and aren't sent to Python.
+    """
+    lexicon = _lexicon(spark, sf_dir)
+
+    def make():
+        repair = remembered(Repairer(lexicon).repair)
+
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(i, r[1], r[0]) for i, t in enumerate(b.column(3).to_pylist()) if (r := repair(t))[1]]
+            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _, _ in found]) for k in range(3)), pa.array([n for _, n, _ in found], pa.int32()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "n_garbled", "restored"])
+
+        return do
+
+    suspect = fields(spark, sf_dir, (INTERPRETATION, DOCUMENT, PASSAGE, PAGE)).filter(beyond_ascii(F.col("text")) | F.col("text").rlike("&[A-Za-z]"))
+    return map_texts(suspect, make, f"{KEYS}, n_garbled int, restored string").dropDuplicates(["tbl", "fld", "rec_id"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).select("tbl", "fld", "rec_id")
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, fld, rec_id, kinds, form) of every field whose one form differs in how it is made, but for garbled fields."""
+    lexicon = _lexicon(spark, sf_dir)
+
+    def make():
+        spans = Repairer(lexicon).spans
+
+        def one(text: str) -> tuple[str, str] | None:
+            kinds = lookalikes.kinds(text)
+            return (",".join(sorted(kinds)), lookalikes.readable(text)) if kinds and not spans(text) else None
+
+        look = remembered(one)
+
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(i, *r) for i, t in enumerate(b.column(3).to_pylist()) if (r := look(t))]
+            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _, _ in found]) for k in range(3)), pa.array([x for _, x, _ in found], pa.string()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "form"])
+
+        return do
+
+    suspect = fields(spark, sf_dir, (INTERPRETATION, DOCUMENT, PASSAGE)).filter(beyond_ascii(F.col("text")))
+    return map_texts(suspect, make, f"{KEYS}, kinds string, form string").dropDuplicates(["tbl", "fld", "rec_id"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_forms(spark, sf_dir).select("tbl", "fld", "rec_id")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_key, n_rows, n_spellings, form) of the quotations, grouped by equal skeleton.
+
+    Equal texts are counted before the skeleton is made, so a passage quoted by a
+    third of all rows is one row here.
+    """
+
+    def make():
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = b.column(0).to_pylist()
+            return pa.RecordBatch.from_arrays([pa.array([lookalikes.skeleton(t) for t in texts], pa.string()), pa.array([lookalikes.readable(t) for t in texts], pa.string()), b.column(1)], names=["skeleton", "form", "n"])
+
+        return do
+
+    texts = fields(spark, sf_dir, (PASSAGE,)).filter(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("n"))
+    made = map_texts(texts, make, "skeleton string, form string, n long")
+    return made.groupBy(F.md5("skeleton").alias("group_key")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"), F.min("form").alias("form"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -28,7 +107,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_containers, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p8_ids, p9_containers, p10_pieces, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
