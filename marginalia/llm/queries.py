@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import bpe, lookalikes, packing, pieces
-from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, remembered, words_of
+from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, remembered, sample_texts, words_of
 from marginalia.llm.garbled import Repairer
+from marginalia.llm.quality import NAMES, ProseModel
 from marginalia.tables import table
 
 
@@ -89,6 +90,37 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy(F.md5("skeleton").alias("group_key")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"), F.min("form").alias("form"))
 
 
+def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
+    """Trained on the driver from the fixed sample tables; `sample_rows` of the operator bounds them."""
+    good = sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text") + sample_texts(table(spark, sf_dir, "reviewed_texts"), "review_id", "text")
+    return ProseModel(good, sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
+
+
+def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every record, its calibrated probability of being natural prose, and the verdict.
+
+    Null, empty and blank texts have zeros, no probability and no verdict. A record
+    delivered twice has equal rows; p6_found has it once.
+    """
+    model = _prose_model(spark, sf_dir)
+    shown = NAMES[:5]
+
+    def make():
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = b.column(3).to_pylist()
+            x, p = model.score(texts)
+            blank = x[:, 0] == 0
+            return pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(x[:, 0].astype("int32")), *(pa.array(x[:, k]) for k in range(1, 5)), pa.array(p, mask=blank), pa.array(p >= 0.5, mask=blank)], names=["tbl", "fld", "rec_id", *shown, "prose_probability", "is_prose"])
+
+        return do
+
+    return map_texts(fields(spark, sf_dir, (INTERPRETATION, DOCUMENT)), make, f"{KEYS}, n_words int, {', '.join(f'{n} double' for n in shown[1:])}, prose_probability double, is_prose boolean")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_stats(spark, sf_dir).filter(~F.col("is_prose")).select("tbl", "fld", "rec_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -107,7 +139,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p8_ids, p9_containers, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p6_stats, p6_found, p8_ids, p9_containers, p10_pieces, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
