@@ -8,11 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import bpe, lookalikes, packing, pieces
-from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, remembered, sample_texts, words_of
+from marginalia.llm.abuse import CATEGORIES, AbuseModel
+from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, pairs, remembered, sample_texts, spread_texts, words_of
 from marginalia.llm.garbled import Repairer
+from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows
 from marginalia.llm.quality import NAMES, ProseModel
 from marginalia.tables import table
 
+#: From this score on a text counts for a category.
+ABUSE_FROM = 0.45
+#: Unlabelled texts of each kind that the abuse model is shown.
+UNLABELLED = 1000
+
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> set[str]:
     """Words of the fixed sample tables, which hold clean text."""
@@ -96,6 +103,61 @@ def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
     return ProseModel(good, sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    samples = pairs(table(spark, sf_dir, "lang_samples"), "sample_id", "lang", "text")
+    words = pairs(table(spark, sf_dir, "common_words"), "word_no", "lang", "word")
+    english = [("en", t) for t in sample_texts(table(spark, sf_dir, "reviewed_texts"), "review_id", "text")]
+    rows = samples + english + word_rows(words)
+    return LanguageModel([t for _, t in rows], [lang for lang, _ in rows])
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, fld, rec_id, stretch_no, first_char, end_char, true_lang, confidence) of every record's stretches, each in one language.
+
+    Null, empty and blank texts have none. A short or unsure sentence belongs to the
+    stretch it stands in. Repeated records have repeated stretches.
+    """
+    model = _language_model(spark, sf_dir)
+
+    def make():
+        labeller = Labeller(model)
+
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(i, k, *s) for i, r in enumerate(labeller.stretches([t if t and not t.isspace() else "" for t in b.column(3).to_pylist()])) for k, s in enumerate(r)]
+            cols = list(zip(*found)) or [[]] * 7
+            return pa.RecordBatch.from_arrays([*(b.column(k).take(list(cols[0])) for k in range(3)), *(pa.array(cols[k], pa.int32()) for k in (1, 2, 3)), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.float64())], names=["tbl", "fld", "rec_id", "stretch_no", "first_char", "end_char", "true_lang", "confidence"])
+
+        return do
+
+    return map_texts(fields(spark, sf_dir, (INTERPRETATION, DOCUMENT)), make, f"{KEYS}, stretch_no int, first_char int, end_char int, true_lang string, confidence double")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrongly labelled and mixed records; only those are put to the prose model, as texts that are no prose are no cases."""
+    model, prose = _language_model(spark, sf_dir), _prose_model(spark, sf_dir)
+
+    def make():
+        labeller = Labeller(model)
+
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [t if t and not t.isspace() else "" for t in b.column(3).to_pylist()]
+            cases = []
+            for i, (label, r) in enumerate(zip(b.column(4).to_pylist(), labeller.stretches(texts))):
+                langs = sorted({s[2] for s in r})
+                if langs and (len(langs) > 1 or label_of(label) != langs[0]):
+                    cases.append((i, langs))
+            if cases:
+                p = prose.score([texts[i] for i, _ in cases])[1]
+                cases = [c for c, x in zip(cases, p) if x >= 0.5]
+            rows = [(i, lang) for i, langs in cases for lang in langs]
+            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _ in rows]) for k in range(3)), pa.array([lang for _, lang in rows], pa.string())], names=["tbl", "fld", "rec_id", "true_lang"])
+
+        return do
+
+    labelled = fields(spark, sf_dir, (INTERPRETATION, DOCUMENT), {"label": "lang"}).filter(F.col("text").isNotNull())
+    return map_texts(labelled, make, f"{KEYS}, true_lang string").distinct()
+
+
 def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every record, its calibrated probability of being natural prose, and the verdict.
 
@@ -121,6 +183,38 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_stats(spark, sf_dir).filter(~F.col("is_prose")).select("tbl", "fld", "rec_id").distinct()
 
 
+def _abuse_scores(spark: SparkSession, sf_dir: str, which: tuple, extra: dict[str, str] | None = None) -> DataFrame:
+    reviewed = pairs(table(spark, sf_dir, "reviewed_texts"), "review_id", "text", "category")
+    usual = [t for kind in (INTERPRETATION, WHISPER) for t in spread_texts(fields(spark, sf_dir, (kind,)), UNLABELLED)]
+    model = AbuseModel(reviewed, sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text"), usual)
+    names = ["tbl", "fld", "rec_id", *(extra or {})]
+
+    def make():
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            p = model.score(b.column(3).to_pylist())
+            return pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=[*names, *CATEGORIES])
+
+        return do
+
+    return map_texts(fields(spark, sf_dir, which, extra), make, ", ".join([KEYS, *(f"{n} string" for n in extra or {}), *(f"{c} double" for c in CATEGORIES)]))
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text of three kinds; null, empty and blank texts have 0. Repeated records have equal rows."""
+    return _abuse_scores(spark, sf_dir, (INTERPRETATION, DOCUMENT, WHISPER))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.explode(F.array(*(F.when(F.col(c) >= ABUSE_FROM, F.lit(c)) for c in CATEGORIES)))
+    return p7_scores(spark, sf_dir).filter(F.greatest(*CATEGORIES) >= ABUSE_FROM).select("tbl", "fld", "rec_id", kinds.alias("category")).filter(F.col("category").isNotNull()).distinct()
+
+
+def p7_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, n_texts, and per category the share of its texts) over all documents; a null source is a source."""
+    scores = _abuse_scores(spark, sf_dir, (DOCUMENT,), {"source": "source"})
+    return scores.groupBy("source").agg(F.count("*").alias("n_texts"), *(F.avg((F.col(c) >= ABUSE_FROM).cast("double")).alias(f"{c}_rate") for c in CATEGORIES))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -139,7 +233,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p6_stats, p6_found, p8_ids, p9_containers, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p10_pieces, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
