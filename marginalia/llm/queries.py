@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import bpe, lookalikes, packing, pieces
+from marginalia.llm import bpe, lookalikes, packing, pieces, ranking
 from marginalia.llm.abuse import CATEGORIES, AbuseModel
 from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, pairs, remembered, sample_texts, spread_texts, words_of
 from marginalia.llm.garbled import Repairer
@@ -103,6 +103,24 @@ def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
     return ProseModel(good, sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
 
 
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, n_votes, n_wins, strength, odds, place) of every run; ties in strength go by run_id.
+
+    The place is the count of runs before it, found over ranges of the strength, so that no task sorts all runs.
+    """
+    runs = table(spark, sf_dir, "compat_runs")
+    votes = ranking.valid_votes(table(spark, sf_dir, "comparisons"), runs)
+    out = ranking.ranked(ranking.strengths(votes, runs.select(F.col("run_id").alias("item")).dropna().distinct()))
+    return ranking.placed(out, F.desc("strength"), "item").withColumnRenamed("item", "run_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "compat_runs")
+    votes = ranking.valid_votes(table(spark, sf_dir, "comparisons"), runs)
+    out = ranking.ranked(ranking.strengths(votes, runs.select(F.col("run_id").alias("item")).dropna().distinct()))
+    return out.filter(F.col("odds") >= 5).select(F.col("item").alias("run_id"))
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
     samples = pairs(table(spark, sf_dir, "lang_samples"), "sample_id", "lang", "text")
     words = pairs(table(spark, sf_dir, "common_words"), "word_no", "lang", "word")
@@ -233,7 +251,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p10_pieces, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
