@@ -12,6 +12,7 @@ from marginalia.llm.abuse import CATEGORIES, AbuseModel
 from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, pairs, remembered, sample_texts, spread_texts, words_of
 from marginalia.llm.garbled import Repairer
 from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows
+from marginalia.llm.private import Lists, Redactor
 from marginalia.llm.quality import NAMES, ProseModel
 from marginalia.tables import table
 
@@ -19,6 +20,8 @@ from marginalia.tables import table
 ABUSE_FROM = 0.45
 #: Unlabelled texts of each kind that the abuse model is shown.
 UNLABELLED = 1000
+#: Most characters and authors, and most first and last names of users, that the redactor lists.
+LISTED_CAST, LISTED_NAMES = 50_000, 5000
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> set[str]:
@@ -103,6 +106,41 @@ def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
     return ProseModel(good, sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
 
 
+def _redactor(spark: SparkSession, sf_dir: str) -> Redactor:
+    """The field with the project's lists of names.
+
+    Characters and authors come from fixed tables. Of the users' names the most
+    frequent are listed; a name outside the list is found by its form and place.
+    """
+    books = table(spark, sf_dir, "books").select(F.regexp_replace("author", r"^([^,]*),\s*(.*)$", "$2 $1").alias("name"))
+    cast = {r[0] for r in table(spark, sf_dir, "book_cast").select(F.col("cast_name").alias("name")).unionByName(books).filter(F.col("name").isNotNull()).distinct().limit(LISTED_CAST).collect()}
+    users = table(spark, sf_dir, "users")
+    first, last = ({r[0] for r in users.filter(F.trim(c) != "").groupBy(c).count().orderBy(F.desc("count"), c).limit(LISTED_NAMES).collect()} for c in ("first_name", "last_name"))
+    return Redactor(Lists(cast, first, last, words_of(table(spark, sf_dir, "common_words"), "word")))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, fld, rec_id, kinds, redacted) of every field with private data; a record delivered twice has equal rows.
+
+    Null, empty and blank texts hold none.
+    """
+    redactor = _redactor(spark, sf_dir)
+
+    def make():
+        def do(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = b.column(3).to_pylist()
+            found = [(i, sorted({k for _, _, k in s}), redactor.redact(t, s)) for i, (t, s) in enumerate(zip(texts, redactor.spans(texts))) if s]
+            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _, _ in found]) for k in range(3)), pa.array([k for _, k, _ in found], pa.list_(pa.string())), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "redacted"])
+
+        return do
+
+    return map_texts(fields(spark, sf_dir, (INTERPRETATION, DOCUMENT, WHISPER, BIO)), make, f"{KEYS}, kinds array<string>, redacted string")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_redacted(spark, sf_dir).select("tbl", "fld", "rec_id", F.explode("kinds").alias("pii_kind")).distinct()
+
+
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, n_votes, n_wins, strength, odds, place) of every run; ties in strength go by run_id.
 
@@ -251,7 +289,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p3_found, p3_redacted, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p10_pieces, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
