@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.plans.registry import ORACLES, QUERIES
+
+MODULES = ("sources", "text", "profiling", "anomalies", "scoring", "ranking", "gates", "serving", "relational", "streams")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"marginalia.plans.{m}_queries")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
