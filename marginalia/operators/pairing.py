@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marginalia.functions.once import evaluated
 from marginalia.functions.rounding import clamp, half_even, largest_of, to_hundred
 from marginalia.functions.text import sentences, words
 from marginalia.operators.dedup import latest
@@ -51,13 +52,13 @@ def split_claims(df: DataFrame, text_col: str = "interpretation", splitter: Call
         return df.withColumn("subclaims", F.when(live, splitter(F.col(text_col))).otherwise(F.array().cast(CLAIM)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     mode = lambda s: F.element_at(F.array(*map(F.lit, MODES)), (F.pmod(F.xxhash64(s), F.lit(len(MODES))) + 1).cast("int"))
-    df = df.withColumn("__s", F.when(live, sentences(F.col(text_col))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__n", F.transform("__s", lambda s: F.greatest(F.size(words(s)), F.lit(1)).cast("double")))
-    df = df.withColumn("__t", total("__n"))
-    df = df.withColumn("__w", F.transform("__n", lambda n: F.greatest(n / F.col("__t"), F.lit(0.1))))
-    df = df.withColumn("__z", total("__w"))
+    df = evaluated(df, __s=F.when(live, sentences(F.col(text_col))).otherwise(F.array().cast("array<string>")))
+    df = evaluated(df, __n=F.transform("__s", lambda s: F.greatest(F.size(words(s)), F.lit(1)).cast("double")))
+    df = evaluated(df, __t=total("__n"))
+    df = evaluated(df, __w=F.transform("__n", lambda n: F.greatest(n / F.col("__t"), F.lit(0.1))))
+    df = evaluated(df, __z=total("__w"))
     claims = F.transform("__s", lambda s, i: F.struct(F.concat(F.lit("c"), (i + 1).cast("string")).alias("id"), s.alias("claim"), (F.get("__w", i) / F.col("__z")).alias("weight"), mode(s).alias("emotional_mode")))
-    return df.withColumn("subclaims", claims).drop("__s", "__n", "__t", "__w", "__z")
+    return evaluated(df, subclaims=claims).drop("__s", "__n", "__t", "__w", "__z")
 
 
 def cached_split(moments: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -69,6 +70,10 @@ def cached_split(moments: DataFrame, cache: DataFrame | None = None) -> DataFram
     return newest.select(*slots).join(known, slots).withColumn("from_cache", F.lit(True)).unionByName(missed)
 
 
+def _bagged(x: Column) -> Column:
+    return F.struct(x["weight"].alias("w"), F.array_distinct(F.regexp_extract_all(F.lower(x["claim"]), F.lit(r"\p{L}+"), F.lit(0))).alias("bag"), F.size(words(x["claim"])).alias("wc"))
+
+
 def score_pairs(runs: DataFrame, moments: DataFrame) -> DataFrame:
     """(run_id, think_*, feel_*, dominants, match_count, confidence) of the runs whose readers both wrote on the passage.
 
@@ -79,22 +84,23 @@ def score_pairs(runs: DataFrame, moments: DataFrame) -> DataFrame:
     newest = latest(moments.filter(F.col("book_id").isNotNull()), slots, "created_at", ["interpretation_id"])
     claims = split_claims(newest).select(*slots, "subclaims")
     side = lambda s: claims.select(F.col("user_id").alias(f"user_{s}"), "book_id", "passage_id", F.col("subclaims").alias(s))
-    bags = F.transform("subclaims", lambda x: F.struct(x["weight"].alias("w"), F.array_distinct(F.regexp_extract_all(F.lower(x["claim"]), F.lit(r"\p{L}+"), F.lit(0))).alias("bag"), F.size(words(x["claim"])).alias("wc")))
-    claims = claims.withColumn("subclaims", bags)
+    claims = evaluated(claims.withColumnRenamed("subclaims", "s0"), subclaims=F.transform("s0", _bagged)).select(*slots, "subclaims")
     both = runs.select("run_id", "user_a", "user_b", "book_id", "passage_id").join(side("a"), ["user_a", "book_id", "passage_id"]).join(side("b"), ["user_b", "book_id", "passage_id"])
     matched = F.transform(F.arrays_zip("a", "b"), lambda p: F.struct(F.least(p["a"]["w"], p["b"]["w"]).alias("w"), F.coalesce(F.try_divide(F.size(F.array_intersect(p["a"]["bag"], p["b"]["bag"])).cast("double"), F.size(F.array_union(p["a"]["bag"], p["b"]["bag"])).cast("double")), F.lit(0.0)).alias("q")))
     n = F.least(F.size("a"), F.size("b"))
-    m = F.slice(matched, 1, F.greatest(n, F.lit(0)))
-    rest = lambda c: F.aggregate(F.slice(F.col(c), n + 1, F.greatest(F.size(c), F.lit(1))), F.lit(0.0), lambda s, x: s + QUIET * F.coalesce(x["w"], F.lit(UNKNOWN_WEIGHT)))
-    d = both.filter((F.size("a") > 0) & (F.size("b") > 0)).withColumns({"m": m, "n": n, "dd": rest("a") + rest("b"), "wa": F.aggregate("a", F.lit(0), lambda s, x: s + x["wc"]), "wb": F.aggregate("b", F.lit(0), lambda s, x: s + x["wc"])})
+    m = F.slice(matched, 1, F.col("n"))
+    rest = lambda c: F.aggregate(F.slice(F.col(c), F.col("n") + 1, F.greatest(F.size(c), F.lit(1))), F.lit(0.0), lambda s, x: s + QUIET * F.coalesce(x["w"], F.lit(UNKNOWN_WEIGHT)))
+    count = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["wc"])
+    d = evaluated(both.filter((F.size("a") > 0) & (F.size("b") > 0)), n=n)
+    d = evaluated(d, m=m, dd=rest("a") + rest("b"), wa=count("a"), wb=count("b"), na=F.size("a"), nb=F.size("b"))
     add = lambda f: F.aggregate("m", F.lit(0.0), lambda s, x: s + f(x))
-    d = d.withColumns({"w": add(lambda x: x["w"]) + F.col("dd"), "tr": add(lambda x: x["w"] * F.least(F.lit(1.0), 2 * x["q"])), "fr": add(lambda x: x["w"] * (1 - x["q"]))})
-    d = d.withColumns({"tc": F.col("w") - F.col("dd") - F.col("tr"), "fc": F.col("w") - F.col("dd") - F.col("fr")}).filter("w > 0")
+    d = evaluated(d, mw=add(lambda x: x["w"]), tr=add(lambda x: x["w"] * F.least(F.lit(1.0), 2 * x["q"])), fr=add(lambda x: x["w"] * (1 - x["q"])))
+    d = d.withColumns({"w": F.col("mw") + F.col("dd"), "tc": F.col("mw") - F.col("tr"), "fc": F.col("mw") - F.col("fr")}).filter("w > 0")
     pct = lambda c: F.col(c) / F.col("w") * 100
     t, f = to_hundred(pct("tr"), pct("tc"), pct("dd")), to_hundred(pct("fr"), pct("fc"), pct("dd"))
     d = d.withColumns({k: v for k, v in zip(("think_r", "think_c", "think_d", "feel_r", "feel_c", "feel_d"), (*t, *f))})
     depth = F.coalesce(F.try_divide(F.least("wa", "wb").cast("double"), F.greatest("wa", "wb").cast("double")), F.lit(0.0))
-    coverage = F.col("n") / F.greatest(F.size("a"), F.size("b"))
+    coverage = F.col("n") / F.greatest("na", "nb")
     top = lambda p: F.greatest(*(f"{p}_{k}" for k in "rcd"))
     conf = clamp(half_even(0.30 * depth + 0.40 * coverage + 0.30 * (top("think") + top("feel")) / 200, 2), 0.20, 0.95)
     dom = lambda p: largest_of(*(F.col(f"{p}_{k}") for k in "rcd")).alias(f"dominant_{p}")
