@@ -1 +1,115 @@
-"""To come."""
+"""Queries of model gates: pass rates, slices, rollback, sensitivity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from marginalia.functions.rounding import half_even, ratio
+from marginalia.functions.stats import f_tail
+from marginalia.plans.profiling_queries import readers
+from marginalia.plans.ranking_queries import edges
+from marginalia.plans.registry import query, with_once
+from marginalia.tables import table
+
+LABELS = ("resonate", "contradict", "diverge")
+_IN = "think_r BETWEEN 0 AND 100 AND think_c BETWEEN 0 AND 100 AND think_d BETWEEN 0 AND 100 AND feel_r BETWEEN 0 AND 100 AND feel_c BETWEEN 0 AND 100 AND feel_d BETWEEN 0 AND 100"
+
+
+def _within(c: str):
+    return F.col(c).between(0, 100)
+
+
+def gate_metrics(runs: DataFrame) -> DataFrame:
+    """One row of rates: shares summing to 100, in range, known labels, confidence in range; mean confidence of the rows in range."""
+    inside = _within("think_r") & _within("think_c") & _within("think_d") & _within("feel_r") & _within("feel_c") & _within("feel_d")
+    sums = lambda p: (F.abs(F.col(f"{p}_r") + F.col(f"{p}_c") + F.col(f"{p}_d") - 100) <= 2)
+    rate = lambda c: half_even(ratio(F.count_if(c), F.count("*")), 4)
+    conf = F.round(F.col("confidence") * 1000).cast("long")
+    return runs.agg(rate(sums("think")).alias("think_sum_rate"), rate(sums("feel")).alias("feel_sum_rate"), rate(inside).alias("share_range_rate"), rate(F.col("dominant_think").isin(*LABELS) & F.col("dominant_feel").isin(*LABELS)).alias("label_rate"), rate(F.col("confidence").between(0.2, 0.95)).alias("range_rate"), half_even(F.sum(F.when(inside, conf)).cast("double") / 1000 / F.count_if(inside), 4).alias("mean_confidence"))
+
+
+@query("ag28_pass_rates", f"SELECT round_even(CAST(count(*) FILTER (abs(think_r + think_c + think_d - 100) <= 2) AS DOUBLE) / count(*), 4) AS think_sum_rate, round_even(CAST(count(*) FILTER (abs(feel_r + feel_c + feel_d - 100) <= 2) AS DOUBLE) / count(*), 4) AS feel_sum_rate, round_even(CAST(count(*) FILTER ({_IN}) AS DOUBLE) / count(*), 4) AS share_range_rate, round_even(CAST(count(*) FILTER (dominant_think IN ('resonate', 'contradict', 'diverge') AND dominant_feel IN ('resonate', 'contradict', 'diverge')) AS DOUBLE) / count(*), 4) AS label_rate, round_even(CAST(count(*) FILTER (confidence BETWEEN 0.2 AND 0.95) AS DOUBLE) / count(*), 4) AS range_rate, round_even(CAST(sum(CAST(round(confidence * 1000) AS BIGINT)) FILTER ({_IN}) AS DOUBLE) / 1000 / count(*) FILTER ({_IN}), 4) AS mean_confidence FROM compat_runs")
+def ag28_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG28, AG34, AJ12, AJ13, D15."""
+    return gate_metrics(table(spark, sf_dir, "compat_runs"))
+
+
+THRESHOLDS = {"think_sum_rate": 1.0, "feel_sum_rate": 1.0, "share_range_rate": 0.95, "label_rate": 0.95, "range_rate": 0.95, "mean_confidence": 0.4}
+
+
+def gate_failures(metrics: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
+    """(metric, value, threshold, failed) of one row of metrics."""
+    return metrics.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(t).alias("threshold")) for m, t in thresholds.items()))).alias("x")).select("x.*").withColumn("failed", F.coalesce(F.col("value") < F.col("threshold"), F.lit(True)))
+
+
+@query("ag29_gate")
+def ag29_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG29: metrics below their thresholds."""
+    return gate_failures(gate_metrics(table(spark, sf_dir, "compat_runs")))
+
+
+@query("ag30_rollback")
+def ag30_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG30: metrics of the later half of the runs against those of the earlier half, by the largest drops allowed."""
+    runs = table(spark, sf_dir, "compat_runs")
+    middle = runs.agg(F.percentile(F.unix_micros("run_at"), 0.5)).first()[0]
+    late = F.unix_micros("run_at") > F.lit(middle)
+    drops = {"mean_confidence": 0.05, "range_rate": 0.03}
+    long = lambda df, n: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(n)) for m in drops))).alias("x")).select("x.*")
+    joined = long(gate_metrics(runs.filter(~late)), "before").join(long(gate_metrics(runs.filter(late)), "now"), "metric")
+    allowed = F.create_map(*(F.lit(x) for kv in drops.items() for x in kv))[F.col("metric")]
+    return joined.withColumn("rolled_back", F.coalesce(F.col("before") - F.col("now") > allowed, F.lit(False)))
+
+
+_C = "round_even(CAST(sum(CAST(round(confidence * 1000) AS BIGINT)) AS DOUBLE) / 1000 / count(confidence), 4)"
+
+
+@query("ag26_slices", f"SELECT coalesce(book_id, 'unknown') AS slice, {_C} AS mean_confidence, count(confidence) AS n FROM compat_runs GROUP BY 1")
+def ag26_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG26: confidence by book."""
+    return slices(table(spark, sf_dir, "compat_runs"), "book_id")
+
+
+def slices(runs: DataFrame, column: str) -> DataFrame:
+    conf = F.round(F.col("confidence") * 1000).cast("long")
+    return runs.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias("slice")).agg(half_even(F.sum(conf).cast("double") / 1000 / F.count("confidence"), 4).alias("mean_confidence"), F.count("confidence").alias("n"))
+
+
+@query("ag27_gap", f"WITH s AS (SELECT coalesce(book_id, 'unknown') AS slice, {_C} AS c FROM compat_runs GROUP BY 1) SELECT round_even(max(c) - min(c), 4) AS gap, (SELECT min(slice) FROM s WHERE c = (SELECT max(c) FROM s)) AS best, (SELECT min(slice) FROM s WHERE c = (SELECT min(c) FROM s)) AS worst, round_even(max(c) - min(c), 4) >= 0.3 AS alert, round_even(max(c) - min(c), 4) >= 0.5 AS block FROM s")
+def ag27_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG27: the widest gap between slices; ties by the slice's name."""
+    s = slices(table(spark, sf_dir, "compat_runs"), "book_id").filter(F.col("mean_confidence").isNotNull())
+    c = F.col("mean_confidence")
+    g = s.agg(F.max(c).alias("hi"), F.min(c).alias("lo"), F.min(F.struct((-c).alias("k"), "slice"))["slice"].alias("best"), F.min(F.struct(c.alias("k"), "slice"))["slice"].alias("worst"))
+    gap = half_even(F.col("hi") - F.col("lo"), 4)
+    return g.select(gap.alias("gap"), "best", "worst", (gap >= 0.3).alias("alert"), (gap >= 0.5).alias("block"))
+
+
+def eta_squared(df: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
+    """(feature, groups, n, eta2, f, p): share of the variance between groups of at least `least` rows; group sums only leave the executors."""
+    g = df.filter(F.col(group).isNotNull() & (F.lower(group) != "unknown") & F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("s"), F.sum(F.col(value).cast("double") ** 2).alias("q")).filter(F.col("n") >= least)
+    t = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")).select("k", "n", (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("total"), (F.col("b") - F.col("s") * F.col("s") / F.col("n")).alias("between"))
+    f = F.try_divide(F.col("between") / (F.col("k") - 1), (F.col("total") - F.col("between")) / (F.col("n") - F.col("k")))
+    p = F.udf(f_tail, "double")
+    return t.select(F.lit(group).alias("feature"), F.col("k").alias("groups"), "n", half_even(F.try_divide(F.col("between"), F.col("total")), 6).alias("eta2"), half_even(f, 4).alias("f"), half_even(p(f, (F.col("k") - 1).cast("int"), (F.col("n") - F.col("k")).cast("int")), 6).alias("p"))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readers(spark, sf_dir).select("user_id", "sex", "layout_mode")
+    return edges(table(spark, sf_dir, "compat_runs")).join(r, "user_id", "left")
+
+
+_ETA = "SELECT '{0}' AS feature, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, round_even((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) AS eta2, round_even(((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))), 4) AS f FROM (SELECT {0} AS g, count(*) AS n, CAST(sum(think_r) AS DOUBLE) AS s, CAST(sum(think_r * think_r) AS DOUBLE) AS q FROM j WHERE {0} IS NOT NULL AND lower({0}) <> 'unknown' GROUP BY 1 HAVING count(*) >= 10)"
+
+
+@query("ag31_sensitivity", f"{with_once('readers')}, e AS (SELECT user_a AS user_id, think_r FROM compat_runs UNION ALL SELECT user_b, think_r FROM compat_runs), j AS (SELECT think_r, CASE WHEN lower(trim(gender)) <> '' THEN lower(trim(gender)) END AS sex, layout_mode FROM e LEFT JOIN readers r ON e.user_id = r.user_id) {_ETA.format('sex')} UNION ALL {_ETA.format('layout_mode')}")
+def ag31_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG31, FLT16, FLT17, WN08: how much of the scores' variance reader groups explain."""
+    p = _profiles(spark, sf_dir)
+    return eta_squared(p, "sex", "think_r").unionByName(eta_squared(p, "layout_mode", "think_r")).drop("p")
+
+
+@query("ag31_p_values")
+def ag31_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG31, H7, AG32: the same with p-values."""
+    return eta_squared(_profiles(spark, sf_dir), "layout_mode", "think_r")

@@ -1 +1,99 @@
-"""To come."""
+"""Queries of votes and rankings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from marginalia.functions.rounding import half_even
+from marginalia.operators.bradley_terry import blend_weights, blended, global_fit, per_user_fit
+from marginalia.operators.dedup import latest
+from marginalia.plans.registry import query, with_once
+from marginalia.tables import table
+
+VOTES = with_once("votes")
+
+
+def number(c: str):
+    return F.trim(c).try_cast("double").try_cast("long")
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, w, l, weight) of each vote once, between two different runs."""
+    once = latest(table(spark, sf_dir, "comparisons"), ["comparison_id"], "ingested_at")
+    return once.select("comparison_id", "user_id", number("winner_run_id").alias("w"), number("loser_run_id").alias("l"), F.lit(1.0).alias("weight")).filter("w != l")
+
+
+@query("ag24_vote_counts", f"{VOTES} SELECT user_id, count(*) AS n_comparisons, count(DISTINCT w) AS winners, CAST(max(w) AS BIGINT) AS last_run FROM votes WHERE w <> l GROUP BY user_id")
+def ag24_vote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG24: engagement per user."""
+    return votes(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_comparisons"), F.count_distinct("w").alias("winners"), F.max("w").alias("last_run"))
+
+
+@query("st04_items", f"{VOTES}, i AS (SELECT w AS run_id FROM votes WHERE w <> l UNION SELECT l FROM votes WHERE w <> l) SELECT run_id, EXISTS (SELECT 1 FROM compat_runs c WHERE c.run_id = i.run_id) AS known FROM i")
+def st04_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST01, ST03, ST04: all items that were voted on, and whether they are runs."""
+    v = votes(spark, sf_dir)
+    items = v.select(F.col("w").alias("run_id")).union(v.select("l")).distinct()
+    runs = table(spark, sf_dir, "compat_runs").select("run_id").distinct().withColumn("k", F.lit(True))
+    return items.join(runs, "run_id", "left").select("run_id", F.coalesce("k", F.lit(False)).alias("known"))
+
+
+@query("ag25_user_strengths")
+def ag25_user_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG25, UF07, H1, T17: a fit per user with enough votes."""
+    return per_user_fit(votes(spark, sf_dir))
+
+
+@query("ag25_global_strengths")
+def ag25_global_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG25: one fit over all votes."""
+    return global_fit(votes(spark, sf_dir))
+
+
+@query("ma08_blend_weights", f"{VOTES}, n AS (SELECT user_id, count(*) AS n FROM votes WHERE w <> l GROUP BY user_id) SELECT user_id, n, round_even(CAST(1 AS DOUBLE) - least(CAST(0.7 AS DOUBLE), CAST(0.1 AS DOUBLE) + n / CAST(50 AS DOUBLE) * CAST(0.6 AS DOUBLE)), 2) AS conf_weight, round_even(least(CAST(0.7 AS DOUBLE), CAST(0.1 AS DOUBLE) + n / CAST(50 AS DOUBLE) * CAST(0.6 AS DOUBLE)), 2) AS bt_weight FROM n")
+def ma08_blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MA08, D1."""
+    n = votes(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    c, b = blend_weights(F.col("n"))
+    return n.select("user_id", "n", c.alias("conf_weight"), b.alias("bt_weight"))
+
+
+@query("wn03_rankings")
+def wn03_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN03, WN06, SL04, ST02, ST10, PRJ10, O11: top five of every reader, book and passage in one window."""
+    v = votes(spark, sf_dir)
+    counts = v.groupBy("user_id").agg(F.count("*").alias("n_comparisons"))
+    return blended(table(spark, sf_dir, "compat_runs"), per_user_fit(v).drop("n_comparisons"), global_fit(v), counts)
+
+
+@query(
+    "wn04_ranks",
+    """WITH e AS (SELECT run_id, user_a AS user_id, user_b AS match_user, book_id, confidence FROM compat_runs UNION ALL SELECT run_id, user_b, user_a, book_id, confidence FROM compat_runs)
+    SELECT user_id, run_id, match_user, book_id, CAST(row_number() OVER (PARTITION BY user_id, book_id ORDER BY confidence DESC, run_id) AS INTEGER) AS book_rank, CAST(row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, run_id) AS INTEGER) AS profile_rank FROM e""",
+)
+def wn04_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN04, WN05, O2: ranks within book and profile from both sides of each run."""
+    e = edges(table(spark, sf_dir, "compat_runs"))
+    rank = lambda *k: F.row_number().over(W.partitionBy(*k).orderBy(F.desc("confidence"), "run_id"))
+    return e.select("user_id", "run_id", "match_user", "book_id", rank("user_id", "book_id").alias("book_rank"), rank("user_id").alias("profile_rank"))
+
+
+def edges(runs: DataFrame) -> DataFrame:
+    """Each run once for either of its users: an equi-join can follow where a join on 'a or b' would be a nested loop."""
+    side = lambda a, b: F.struct(F.col(a).alias("user_id"), F.col(b).alias("match_user"))
+    return runs.withColumn("__s", F.explode(F.array(side("user_a", "user_b"), side("user_b", "user_a")))).select(*runs.columns, "__s.*")
+
+
+@query("wn01_dedup_on_read", "SELECT comparison_id, CAST(count(*) AS BIGINT) AS deliveries, CAST(epoch_us(max(ingested_at)) AS BIGINT) AS last_us FROM comparisons GROUP BY comparison_id HAVING count(*) > 1")
+def wn01_dedup_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN01, WN02, SM04: the last delivery of those that came more than once."""
+    c = table(spark, sf_dir, "comparisons")
+    n = c.groupBy("comparison_id").agg(F.count("*").alias("deliveries")).filter("deliveries > 1")
+    return latest(c, ["comparison_id"], "ingested_at").join(n, "comparison_id").select("comparison_id", "deliveries", F.unix_micros("ingested_at").alias("last_us"))
+
+
+@query("wn09_top_per_verdict", "WITH r AS (SELECT dominant_think, run_id, confidence, CAST(row_number() OVER (PARTITION BY dominant_think ORDER BY confidence DESC, run_id) AS INTEGER) AS place FROM compat_runs) SELECT * FROM r WHERE place <= 3")
+def wn09_top_per_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN09: the three surest runs of each kind."""
+    place = F.row_number().over(W.partitionBy("dominant_think").orderBy(F.desc("confidence"), "run_id"))
+    return table(spark, sf_dir, "compat_runs").select("dominant_think", "run_id", "confidence", place.alias("place")).filter("place <= 3")
