@@ -1 +1,109 @@
-"""To come."""
+"""Queries that go through files of other formats: written to the shared scratch folder and read again."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from marginalia.plans.registry import query
+from marginalia.session import scratch
+from marginalia.sources.readers import list_files, parse_log_lines, read_all, read_any, read_csv, read_json, read_json_or_default, run_query
+from marginalia.sources.sinks import VersionedTable, write_any
+from marginalia.tables import table
+
+_BOOKS = "SELECT book_id, title, author, pub_year, book_lang FROM books"
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "books").select("book_id", "title", "author", "pub_year", "book_lang")
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    return f"{scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+@query("src01_json_lines", _BOOKS)
+def src01_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC01, SRC04, SRC07, SNK01, SNK20: JSON out and in again."""
+    write_any(_books(spark, sf_dir), path := _new(spark, "books.json"))
+    return read_json(spark, path, "book_id string, title string, author string, pub_year int, book_lang string")
+
+
+@query("src02_csv_keeps_empty", "SELECT book_id, coalesce(book_lang, '') AS book_lang, coalesce(CAST(pub_year AS VARCHAR), '') AS pub_year FROM books")
+def src02_csv_keeps_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC02: missing values are empty text."""
+    write_any(_books(spark, sf_dir), path := _new(spark, "books.csv"))
+    return read_csv(spark, path, keep_empty=True).select("book_id", "book_lang", "pub_year")
+
+
+@query("src03_csv_missing", "SELECT book_id, title, book_lang, pub_year FROM books")
+def src03_csv_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC03: signs of missing values are null."""
+    df = _books(spark, sf_dir).withColumn("book_lang", F.coalesce("book_lang", F.lit("N/A")))
+    write_any(df, path := _new(spark, "books.csv"))
+    return read_csv(spark, path, "book_id string, title string, author string, pub_year int, book_lang string").select("book_id", "title", "book_lang", "pub_year")
+
+
+@query("src05_files", "SELECT CAST(3 AS BIGINT) AS folders, true AS filled")
+def src05_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC05: files below a prefix."""
+    root = _new(spark, "many")
+    for fmt in ("csv", "json", "parquet"):
+        write_any(_books(spark, sf_dir), f"{root}/books.{fmt}")
+    files = list_files(spark, root, "part-*")
+    return files.agg(F.count_distinct(F.regexp_extract("path", r"books\.(\w+)/", 1)).alias("folders"), (F.min("size") > 0).alias("filled"))
+
+
+@query("src06_any_format", " UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS n, count(pub_year) AS dated FROM books" for f in ("csv", "json", "orc", "parquet")))
+def src06_any_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC06, SRC08, SRC09, SNK02: one reader and writer for every format."""
+    paths = {}
+    for fmt in ("csv", "json", "orc", "parquet"):
+        write_any(_books(spark, sf_dir), path := _new(spark, f"books.{fmt}"))
+        paths[fmt] = path
+    tables, _ = read_all(spark, paths | {"gone": _new(spark, "gone.csv")})
+    out = None
+    for fmt, df in tables.items():
+        row = df.agg(F.count("*").alias("n"), F.count("pub_year").alias("dated")).select(F.lit(fmt).alias("format"), "n", "dated")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("src15_parameters", "SELECT run_id, confidence FROM compat_runs WHERE confidence >= 0.7 AND dominant_think = 'diverge'")
+def src15_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC13-SRC15: a query with bound parameters."""
+    table(spark, sf_dir, "compat_runs").createOrReplaceTempView("marginalia_runs")
+    return run_query(spark, "SELECT run_id, confidence FROM marginalia_runs WHERE confidence >= :least AND dominant_think = :kind", least=0.7, kind="diverge")
+
+
+_LINES = r"SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE regexp_matches(text, 'rc=\d')"
+
+
+@query("src19_log_lines", rf"WITH l AS ({_LINES}), p AS (SELECT regexp_extract(line, '^\s*\[(\d{{2}}:\d{{2}}:\d{{2}})\]\s+(\w+)\s+(\S+)\s+rc=(\d+)', ['t', 'level', 'task', 'rc']) AS x FROM l WHERE regexp_matches(line, '^\s*\[(\d{{2}}:\d{{2}}:\d{{2}})\]\s+(\w+)\s+(\S+)\s+rc=(\d+)')) SELECT string_split(x.task, '.')[1] AS task, x.level AS level, count(*) AS n, CAST(sum(CAST(x.rc AS INTEGER)) AS BIGINT) AS rc FROM p GROUP BY 1, 2")
+def src19_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC19, AG43, AG44, TX34: log lines by task and level."""
+    lines = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"rc=\d")).select(F.explode(F.split("text", "\n")).alias("value"))
+    return parse_log_lines(lines).groupBy("task", "level").agg(F.count("*").alias("n"), F.sum("rc").alias("rc"))
+
+
+@query("src23_default", "SELECT CAST(0 AS BIGINT) AS n")
+def src23_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC23: a missing file is an empty table."""
+    return read_json_or_default(spark, _new(spark, "gone.json"), "id string").agg(F.count("*").alias("n"))
+
+
+@query("snk03_versions", "SELECT CAST(2 * count(*) AS BIGINT) AS n, count(DISTINCT book_id) AS books FROM books")
+def snk03_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK03, SNK04, SNK09, SNK17, H5: versions of a table, and the append that makes the next one."""
+    t = VersionedTable(spark, _new(spark, "versions"))
+    t.write(_books(spark, sf_dir))
+    t.write(t.read().unionByName(_books(spark, sf_dir)))
+    return t.read().agg(F.count("*").alias("n"), F.count_distinct("book_id").alias("books"))
+
+
+@query("src06_by_extension", _BOOKS)
+def src06_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC06: the format from the name."""
+    write_any(_books(spark, sf_dir), path := _new(spark, "books.parquet"))
+    return read_any(spark, path)

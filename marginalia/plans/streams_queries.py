@@ -1 +1,107 @@
-"""To come."""
+"""Queries of the continuous side: bounded streaming runs and their batch forms."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from marginalia.operators.tables_dml import upsert
+from marginalia.plans.ranking_queries import number
+from marginalia.plans.registry import query
+from marginalia.session import scratch
+from marginalia.sources.sinks import VersionedTable
+from marginalia.streaming.runs import breaches, last_n_stats, run_available, stream_table, to_table
+from marginalia.tables import table
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("sm01_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def sm01_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM01, SM07, SM09: counts by day as a stream keeps them."""
+    s = stream_table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return to_table(s, "complete")
+
+
+@query("sm04_dedup", "SELECT comparison_id, max(user_id) AS user_id FROM comparisons GROUP BY comparison_id")
+def sm04_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM04: a record delivered again within the watermark is dropped on the way in."""
+    s = stream_table(spark, sf_dir, "comparisons").withWatermark("ingested_at", "60 days").dropDuplicatesWithinWatermark(["comparison_id"])
+    return to_table(s.select("comparison_id", "user_id"))
+
+
+@query("sm06_joined", "SELECT c.dominant_think, count(*) AS n FROM comparisons v JOIN compat_runs c ON TRY_CAST(TRY_CAST(trim(v.winner_run_id) AS DOUBLE) AS BIGINT) = c.run_id GROUP BY 1")
+def sm06_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM06: a stream with a table of what is known."""
+    runs = table(spark, sf_dir, "compat_runs").select("run_id", "dominant_think")
+    s = stream_table(spark, sf_dir, "comparisons").withColumn("run_id", number("winner_run_id")).join(runs, "run_id").groupBy("dominant_think").agg(F.count("*").alias("n"))
+    return to_table(s, "complete")
+
+
+@query("sm03_feedback", "SELECT TRY_CAST(TRY_CAST(trim(winner_run_id) AS DOUBLE) AS BIGINT) AS run_id, count(DISTINCT comparison_id) AS wins FROM comparisons WHERE TRY_CAST(trim(winner_run_id) AS DOUBLE) IS NOT NULL GROUP BY 1")
+def sm03_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM02, SM03, SM05, SNK05: each batch of votes is merged into a table of wins; a batch that is run again finds its votes there."""
+    t = VersionedTable(spark, f"{scratch(spark)}/wins-{uuid.uuid4().hex}")
+
+    def each(batch: DataFrame, number_: int) -> None:
+        new = batch.select("comparison_id", number("winner_run_id").alias("run_id")).dropna().dropDuplicates(["comparison_id"])
+        t.write(upsert(t.read(new.schema), new, ["comparison_id"]))
+
+    run_available(stream_table(spark, sf_dir, "comparisons"), "append", each)
+    return t.read("comparison_id string, run_id long").groupBy("run_id").agg(F.count("*").alias("wins"))
+
+
+@query("sm10_sustained", """WITH w AS (SELECT event_type AS label, time_bucket(INTERVAL 6 HOURS, ts) AS tick, avg(value) AS mean FROM events GROUP BY 1, 2), b AS (SELECT label, tick, row_number() OVER (PARTITION BY label ORDER BY tick) - row_number() OVER (PARTITION BY label, mean > 50 ORDER BY tick) AS island, mean > 50 AS breach FROM w)
+    SELECT label, CAST(epoch_us(min(tick)) AS BIGINT) AS first_us, count(*) AS windows FROM b WHERE breach GROUP BY label, island HAVING count(*) >= 2""")
+def sm10_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM10: windows in a row whose mean exceeds the threshold. The islands are found over windows, not events."""
+    b = breaches(events(spark, sf_dir), 50.0, "6 hours")
+    island = F.row_number().over(W.partitionBy("label").orderBy("at")) - F.row_number().over(W.partitionBy("label", "breach").orderBy("at"))
+    return b.withColumn("island", island).filter("breach").groupBy("label", "island").agg(F.unix_micros(F.min("at")).alias("first_us"), F.count("*").alias("windows")).filter("windows >= 2").select("label", "first_us", "windows")
+
+
+@query("sm08_last_1000", "WITH r AS (SELECT event_type AS label, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value IS NOT NULL), l AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value) AS i, count(*) OVER (PARTITION BY label) AS n FROM r WHERE k <= 1000) SELECT label, CAST(max(n) AS INTEGER) AS n, round_even(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 / max(n), 4) AS mean, max(CASE WHEN i = CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) + 1 THEN value END) AS p95 FROM l GROUP BY label")
+def sm08_last_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM08, WN10: the last thousand observations of each label, kept as a stream's state."""
+    out = to_table(last_n_stats(stream_table(spark, sf_dir, "events"), "event_type", "value", "ts"), "update")
+    return out.select("label", "n", F.rint(F.col("mean") * 1e4).alias("m"), "p95").select("label", "n", (F.col("m") / 1e4).alias("mean"), "p95")
+
+
+@query("sm12_drift", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, n, n - lag(n) OVER (ORDER BY day) AS change FROM d")
+def sm12_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM12: a run's gauge against the run before; the window is over days."""
+    d = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return d.select(F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.lag("n").over(W.orderBy("day"))).alias("change"))
+
+
+@query("sm_tumbling", "SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def sm_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: hourly windows of a stream with a watermark."""
+    s = stream_table(spark, sf_dir, "events").withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return to_table(s.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n"), "complete")
+
+
+@query("sm_sliding", "WITH o AS (SELECT unnest([0, 1]) AS k), e AS (SELECT time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS s, value FROM events, o) SELECT CAST(epoch_us(s) AS BIGINT) AS start_us, count(*) AS n FROM e GROUP BY 1")
+def sm_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: hourly windows every half hour."""
+    s = stream_table(spark, sf_dir, "events").withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return to_table(s.select(F.unix_micros("w.start").alias("start_us"), "n"), "complete")
+
+
+@query("sm_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY user_id, k")
+def sm_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: sessions of a user, ended by six hours without an event."""
+    return events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+@query("sm11_rate_limit")
+def sm11_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM11: of the windows in breach, those that alert when at most one alert a day is let through; a label's windows are bounded by time."""
+    b = breaches(events(spark, sf_dir), 50.0, "1 hour").filter("breach").select("label", F.unix_micros("at").alias("at_us"))
+    day = 86_400_000_000
+    times = b.groupBy("label").agg(F.array_sort(F.collect_list("at_us")).alias("t"))
+    step = lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) >= day), F.concat(s, F.array(x))).otherwise(s)
+    return times.select("label", F.explode(F.aggregate("t", F.array().cast("array<bigint>"), step)).alias("alert_us"))

@@ -36,3 +36,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marginalia-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: beside the checkpoints; a temporary one only in local tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marginalia-ckpt-"))
+    return f"{sc.getCheckpointDir()}/scratch"
