@@ -96,7 +96,7 @@ class LanguageModel:
 
     def presence(self, parts: Sequence[str], out: np.ndarray | None = None) -> np.ndarray:
         """One row per text: 1 in the bins of the n-grams it has. `out`: rows of zeros to use."""
-        code = np.frombuffer("".join(f" {p} \0" for p in parts).encode("utf-32-le", "replace"), np.uint32)
+        code = np.frombuffer("".join(f" {p} \0" for p in (q.replace("\0", " ") for q in parts)).encode("utf-32-le", "replace"), np.uint32)
         ends = np.flatnonzero(code == 0)
         row = np.repeat(np.arange(len(parts)), np.diff(np.concatenate([[-1], ends])))
         folded = folding()[np.where(code < 65536, code, 32)]

@@ -161,3 +161,10 @@ class Maker:
                         text = text.lower()
                     out.append((text, spans))
         return out
+
+
+def plain_samples() -> list[tuple[str, str]]:
+    """(language, text) of the frames without private data, for models whose sample table is empty."""
+    import re
+
+    return [(lang, re.sub(r"\{\w+\}", "it", f)) for lang, frames in PLAIN.items() for f in frames]

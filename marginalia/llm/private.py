@@ -8,8 +8,10 @@ with numpy; sentences of like length are decoded together by Viterbi.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterable, Sequence
+from functools import cache
 
 import numpy as np
 
@@ -254,15 +256,20 @@ def segments(text: str, longest: int = 500, window: int = 300) -> list[tuple[int
     return out
 
 
+@cache
+def trained_field(seed: int) -> Crf:
+    """The field, trained on the made-up table with the lists of its own made-up names."""
+    maker = Maker(seed)
+    rows = maker.rows()
+    return Crf(Lists(maker.cast, [a for a, _ in maker.users] + FIRST[: len(FIRST) // 2], [b for _, b in maker.users])).fit(rows)
+
+
 class Redactor:
     """Sentences that can hold private data go through the field. `lists` are of the project's tables; the field is trained with lists of its own made-up names."""
 
     def __init__(self, lists: Lists, seed: int = 3):
-        maker = Maker(seed)
-        rows = maker.rows()
-        trained = Lists(maker.cast, [a for a, _ in maker.users] + FIRST[: len(FIRST) // 2], [b for _, b in maker.users])
-        self.crf = Crf(trained).fit(rows)
-        self.crf.lists = lists
+        self.crf = copy.copy(trained_field(seed))
+        self.crf.lists, self.crf.forms, self.crf.joints = lists, {}, {}
         self.lists = lists
         self.known: dict[str, list] = {}
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import bpe, lookalikes, packing, pieces, ranking
 from marginalia.llm.abuse import CATEGORIES, AbuseModel
-from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, fields, map_texts, pairs, remembered, sample_texts, spread_texts, words_of
+from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, built, fields, map_texts, pairs, remembered, sample_texts, spread_texts, words_of
 from marginalia.llm.garbled import Repairer
 from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows
+from marginalia.llm.pii_seeds import plain_samples
 from marginalia.llm.private import Lists, Redactor
 from marginalia.llm.quality import NAMES, ProseModel
 from marginalia.tables import table
@@ -103,7 +104,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
     """Trained on the driver from the fixed sample tables; `sample_rows` of the operator bounds them."""
     good = sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text") + sample_texts(table(spark, sf_dir, "reviewed_texts"), "review_id", "text")
-    return ProseModel(good, sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
+    return built(ProseModel, good or [t for _, t in plain_samples()], sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
 
 
 def _redactor(spark: SparkSession, sf_dir: str) -> Redactor:
@@ -163,8 +164,8 @@ def _language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
     samples = pairs(table(spark, sf_dir, "lang_samples"), "sample_id", "lang", "text")
     words = pairs(table(spark, sf_dir, "common_words"), "word_no", "lang", "word")
     english = [("en", t) for t in sample_texts(table(spark, sf_dir, "reviewed_texts"), "review_id", "text")]
-    rows = samples + english + word_rows(words)
-    return LanguageModel([t for _, t in rows], [lang for lang, _ in rows])
+    rows = (samples or plain_samples()) + english + word_rows(words)
+    return built(LanguageModel, [t for _, t in rows], [lang for lang, _ in rows])
 
 
 def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +243,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _abuse_scores(spark: SparkSession, sf_dir: str, which: tuple, extra: dict[str, str] | None = None) -> DataFrame:
     reviewed = pairs(table(spark, sf_dir, "reviewed_texts"), "review_id", "text", "category")
     usual = [t for kind in (INTERPRETATION, WHISPER) for t in spread_texts(fields(spark, sf_dir, (kind,)), UNLABELLED)]
-    model = AbuseModel(reviewed, sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text"), usual)
+    model = built(AbuseModel, reviewed, sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text"), usual)
     names = ["tbl", "fld", "rec_id", *(extra or {})]
 
     def make():
