@@ -62,7 +62,8 @@ def src06_any_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     for fmt in ("csv", "json", "orc", "parquet"):
         write_any(_books(spark, sf_dir), path := _new(spark, f"books.{fmt}"))
         paths[fmt] = path
-    tables, _ = read_all(spark, paths | {"gone": _new(spark, "gone.csv")})
+    schema = "book_id string, title string, author string, pub_year int, book_lang string"
+    tables, _ = read_all(spark, paths | {"gone": _new(spark, "gone.csv")}, dict.fromkeys(paths, schema))
     out = None
     for fmt, df in tables.items():
         row = df.agg(F.count("*").alias("n"), F.count("pub_year").alias("dated")).select(F.lit(fmt).alias("format"), "n", "dated")

@@ -45,7 +45,8 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, **options)
     if fmt == "json":
         return read_json(spark, path, **options)
     if fmt in ("parquet", "orc"):
-        return spark.read.format(fmt).load(path)
+        schema = options.get("schema")
+        return (spark.read if schema is None else spark.read.schema(schema)).format(fmt).load(path)
     raise ValueError(f"unsupported format: {path}")
 
 
@@ -56,12 +57,13 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def read_all(spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """(tables, failures) by name; ValueError when all fail."""
+    """(tables, failures) by name; ValueError when all fail. A source that may be empty needs a schema, as none can be inferred."""
     tables, failures = {}, {}
     for name, path in paths.items():
         try:
-            df = read_any(spark, path)
-            df.schema  # noqa: B018 - resolves the path
+            schema = (schemas or {}).get(name)
+            df = read_any(spark, path, **({} if schema is None else {"schema": schema}))
+            df.limit(0).count()  # a source that isn't there fails here
             tables[name] = df
         except Exception as e:  # noqa: BLE001 - a source that can't be read is reported, not fatal
             failures[name] = str(e).split("\n")[0][:200]
