@@ -17,7 +17,7 @@ from collections.abc import Iterable
 
 import ahocorasick
 
-from marginalia.llm.lookalikes import JOINED, LOOKALIKE, script
+from marginalia.llm.lookalikes import JOINED, LOOKALIKE, WEAK, script
 
 #: Encodings that UTF-8 is misread with, and pairs of single-byte encodings (written in, read with).
 UTF8_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859-15", "koi8-r")
@@ -160,12 +160,12 @@ class Repairer:
                     continue
                 fits = ch.islower() == (then.islower() if after else prev.islower()) or ch.isupper() and not before
                 if s in PUNCTUATION or s in "–—·°ºª":
-                    if before and after and fits:
-                        out.append((ch, pair, known))
+                    if before and after and fits:  # low quotes never stand within a word
+                        out.append((ch, pair, known or s in "\u201a\u201e" and prev.islower() and then.islower()))
                 elif s.isalpha() and script(s) != "latin":
                     others = {script(c) for c in word if c != s.lower()}
                     if others <= {"latin", script(s)} and fits:
-                        out.append((ch, pair, known or "latin" in others and s not in LOOKALIKE))
+                        out.append((ch, pair, known or "latin" in others and (s not in LOOKALIKE or s in WEAK)))
                 elif s in JOINED:
                     if before and (known or ch == "ß"):
                         out.append((ch, pair, known))
@@ -211,7 +211,7 @@ class Repairer:
                 if all(c.isalpha() for c in seq):  # letters of one other script, or Latin ones
                     kind = script(seq[0])
                     if kind == "latin":
-                        certain = len(seq) > 2 and not any(map(str.isascii, seq)) or before.islower() and seq[0].isupper() and not seq.isupper()
+                        certain = len(seq) > 2 and not any(map(str.isascii, seq)) or seq[0] in "ÃÂãâ" and seq[1] in "ŸªºŠŒŽžšœƒ" or before.islower() and seq[0].isupper() and not seq.isupper()
                     else:
                         certain = not any(c.isalpha() and script(c) == kind for c in (before, after) if c)
                         certain = certain and (len(seq) > 2 or before.isalpha() or after.isalpha() or not before.strip())

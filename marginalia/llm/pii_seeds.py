@@ -123,7 +123,7 @@ class Maker:
             kind = {"e": "email", "p": "phone", "i": "id_number", "a": "address", "n": "person_name", "l": "person_name", "r": "person_name"}.get(slot)
             if slot == "n":
                 a, b = self.person()
-                text = r.choice([f"{a} {b}"] * 8 + [f"{a[0]}. {b}", f"{a} {self.surname(1)[0]}. {b}", f"{a} {r.choice(['van', 'de', 'von', 'da'])} {b}"])
+                text = r.choice([f"{a} {b}"] * 8 + [f"{a[0]}. {b}", f"{a[0]}. {b}", f"{a} {self.surname(1)[0]}. {b}", f"{a} {r.choice(['van', 'de', 'von', 'da'])} {b}"])
             elif slot == "l":
                 text = f"{r.choice(TITLES[lang])} {self.person()[1]}"
             elif slot == "r":
