@@ -10,6 +10,8 @@ from marginalia.functions.rounding import half_even
 from marginalia.session import cut_lineage
 
 MIN_COMPARISONS, STEPS, PRIOR = 5, 200, 1e-3
+#: Pairs of one user up to which a fit is done in one task.
+GATHERED_PAIRS = 200_000
 
 
 def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, steps: int = STEPS, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -28,39 +30,54 @@ def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, steps: int =
     return items, s / s.sum()
 
 
-def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS) -> DataFrame:
+def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS, gathered: int = GATHERED_PAIRS, steps: int = 40) -> DataFrame:
     """(user_id, run_id, bt_score, n_comparisons) of each user with at least `least` votes.
 
-    Votes (user_id, w, l, weight) are summed by user and pair before they are
-    gathered, so that one user with a third of all votes is at most a row per pair.
+    Votes (user_id, w, l, weight) are summed by user and pair first. Users with up to
+    `gathered` pairs are fitted in memory, one task each; those with more by the same
+    iteration on DataFrames, so no task ever holds an unbounded group.
     """
     enough = votes.groupBy("user_id").agg(F.count("*").alias("n_comparisons")).filter(F.col("n_comparisons") >= least)
-    pairs = votes.groupBy("user_id", "w", "l").agg(F.sum("weight").alias("weight")).join(enough, "user_id")
+    pairs = votes.groupBy("user_id", "w", "l").agg(F.sum("weight").alias("weight"))
+    size = pairs.groupBy("user_id").agg(F.count("*").alias("n_pairs"))
+    sizes = enough.join(size, "user_id")
+    small = pairs.join(sizes.filter(F.col("n_pairs") <= gathered).drop("n_pairs"), "user_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["w", "l"])
         items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float))
         return pd.DataFrame({"user_id": [str(pdf["user_id"].iloc[0])] * len(items), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": int(pdf["n_comparisons"].iloc[0])})
 
-    return pairs.groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")
-
-
-def global_fit(votes: DataFrame, steps: int = 12, cut_every: int = 1) -> DataFrame:
-    """(run_id, bt_score) over all votes by the same iteration on DataFrames: edges never leave the executors."""
-    edges = cut_lineage(votes.groupBy("w", "l").agg(F.sum("weight").alias("n"))).persist()
-    sides = edges.select(F.col("w").alias("i"), F.col("l").alias("j"), "n", F.col("n").alias("won")).unionByName(edges.select(F.col("l").alias("i"), F.col("w").alias("j"), "n", F.lit(0.0).alias("won")))
-    nodes = cut_lineage(sides.groupBy("i").agg(F.sum("won").alias("wins"))).persist()
-    s = nodes.select("i", (F.col("wins") + 1.0).alias("s"))
-    for k in range(steps):
-        of = lambda n: s.select(F.col("i").alias(n), F.col("s").alias(f"s{n}"))
-        load = sides.select("i", "j", "n").join(of("j"), "j").join(of("i"), "i").groupBy("i").agg(F.sum(F.col("n") / (F.col("si") + F.col("sj"))).alias("load"))
-        s = nodes.join(load, "i").select("i", ((F.col("wins") + PRIOR) / (F.col("load") + PRIOR)).alias("s"))
-        if k % cut_every == cut_every - 1:
-            s = cut_lineage(s)
-    total = s.agg(F.sum("s")).first()[0]
+    out = small.groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")
+    large = sizes.filter(F.col("n_pairs") > gathered).drop("n_pairs")
+    if large.limit(1).count() == 0:
+        return out
+    big = grouped_fit(pairs.join(large.select("user_id"), "user_id", "left_semi"), ["user_id"], steps)
+    return out.unionByName(big.join(large, "user_id").select("user_id", "run_id", "bt_score", "n_comparisons"))
+
+
+def global_fit(votes: DataFrame, steps: int = 12) -> DataFrame:
+    """(run_id, bt_score) over all votes."""
+    return grouped_fit(votes, [], steps)
+
+
+def grouped_fit(votes: DataFrame, by: list[str], steps: int) -> DataFrame:
+    """(by…, run_id, bt_score) of each group by the same iteration on DataFrames: edges never leave the executors."""
+    edges = cut_lineage(votes.groupBy(*by, "w", "l").agg(F.sum("weight").alias("n"))).persist()
+    sides = edges.select(*by, F.col("w").alias("i"), F.col("l").alias("j"), "n", F.col("n").alias("won")).unionByName(edges.select(*by, F.col("l").alias("i"), F.col("w").alias("j"), "n", F.lit(0.0).alias("won")))
+    nodes = cut_lineage(sides.groupBy(*by, "i").agg(F.sum("won").alias("wins"))).persist()
+    s = nodes.select(*by, "i", (F.col("wins") + 1.0).alias("s"))
+    for _ in range(steps):
+        of = lambda n: s.select(*by, F.col("i").alias(n), F.col("s").alias(f"s{n}"))
+        load = sides.select(*by, "i", "j", "n").join(of("j"), [*by, "j"]).join(of("i"), [*by, "i"]).groupBy(*by, "i").agg(F.sum(F.col("n") / (F.col("si") + F.col("sj"))).alias("load"))
+        s = cut_lineage(nodes.join(load, [*by, "i"]).select(*by, "i", ((F.col("wins") + PRIOR) / (F.col("load") + PRIOR)).alias("s")))
     edges.unpersist()
     nodes.unpersist()
-    return s.select(F.col("i").alias("run_id"), half_even(F.col("s") / F.lit(total).cast("double"), 6).alias("bt_score"))
+    if not by:
+        total = s.agg(F.sum("s")).first()[0]
+        return s.select(F.col("i").alias("run_id"), half_even(F.col("s") / F.lit(total).cast("double"), 6).alias("bt_score"))
+    totals = s.groupBy(*by).agg(F.sum("s").alias("total"))
+    return s.join(totals, by).select(*by, F.col("i").alias("run_id"), half_even(F.col("s") / F.col("total"), 6).alias("bt_score"))
 
 
 def blend_weights(n: Column) -> tuple[Column, Column]:

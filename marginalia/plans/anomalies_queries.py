@@ -8,7 +8,7 @@ from marginalia.functions import text as X
 from marginalia.functions.rounding import half_even
 from marginalia.operators.anomalies import nearest_rank_bounds, outside, positive_mean_std, similar_texts, tfidf
 from marginalia.plans.registry import query, with_once
-from marginalia.plans.text_queries import texts
+from marginalia.plans.text_queries import each_once, raw_texts
 from marginalia.tables import table
 
 MOMENTS = with_once("moments")
@@ -16,7 +16,7 @@ _WC = r"m AS (SELECT interpretation_id, len(regexp_extract_all(coalesce(interpre
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("interpretation_id", X.word_count(F.coalesce("text", F.lit(""))).alias("wc"))
+    return each_once(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", X.word_count(F.coalesce("text", F.lit(""))).alias("wc")))
 
 
 @query("ag40_bounds", f"{MOMENTS}, {_WC} SELECT CAST(q1 AS DOUBLE) AS q1, CAST(q3 AS DOUBLE) AS q3, CAST(q3 - q1 AS DOUBLE) AS iqr, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper FROM q")

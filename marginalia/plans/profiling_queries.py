@@ -9,7 +9,7 @@ from marginalia.functions.rounding import half_even, ratio
 from marginalia.operators.dedup import latest
 from marginalia.operators.profiling import distribution, flattened, null_shares, numeric_profile, outlier_shares, schema_violations, top_values
 from marginalia.plans.registry import query, with_once
-from marginalia.plans.text_queries import moments, validated
+from marginalia.plans.text_queries import each_once, moments, validated
 from marginalia.tables import table
 
 BOTH = with_once("moments", "readers")
@@ -72,7 +72,7 @@ def ag03_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ag05_word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG05, AG06: lengths by book; a null book is a group."""
-    t = moments(spark, sf_dir).filter(F.col("interpretation").isNotNull()).select("book_id", X.word_count(F.col("interpretation")).alias("wc"))
+    t = each_once(table(spark, sf_dir, "interpretations").filter(F.col("interpretation").isNotNull()).select("interpretation_id", "ingested_at", "book_id", X.word_count(F.col("interpretation")).alias("wc")))
     return t.groupBy("book_id").agg(F.count("*").alias("n"), F.sum("wc").alias("words"), half_even(F.sum("wc") / F.count("*"), 2).alias("mean_words"), F.min("wc").alias("least"), F.max("wc").alias("most"), F.percentile("wc", 0.5).alias("median_words"))
 
 
@@ -169,7 +169,7 @@ def ag16_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ag19_stage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG19, AG50, D4: volume and validity before any gate."""
-    v = validated(moments(spark, sf_dir).select("user_id", F.col("interpretation").alias("text")))
+    v = each_once(validated(table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", "user_id", F.col("interpretation").alias("text"))).select("interpretation_id", "ingested_at", "user_id", "is_valid"))
     s = v.agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("readers"), F.count_if("is_valid").alias("valid"))
     bad = ratio(F.col("n") - F.col("valid"), F.col("n"))
     return s.withColumns({"valid_rate": half_even(ratio(F.col("valid"), F.col("n")), 4), "status": F.when((F.col("n") < 100) | (F.col("readers") < 5) | (bad > 0.2), "FAILED").when(F.col("n") > F.col("valid"), "WARNING").otherwise("PASSED")})
@@ -182,7 +182,7 @@ def ag19_stage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ag20_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG20, SM12: distribution gauges of every daily run."""
-    t = moments(spark, sf_dir).select(F.to_date("created_at").cast("string").alias("run_date"), X.word_count(F.coalesce("interpretation", F.lit(""))).alias("wc"))
+    t = each_once(table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", F.to_date("created_at").cast("string").alias("run_date"), X.word_count(F.coalesce("interpretation", F.lit(""))).alias("wc")))
     return t.groupBy("run_date").agg(F.count("*").alias("n"), half_even(F.sum("wc") / F.count("*"), 4).alias("mean_words"), half_even(F.percentile("wc", 0.5), 4).alias("p50_words"), half_even(F.percentile("wc", 0.95), 4).alias("p95_words"))
 
 

@@ -25,6 +25,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments(spark, sf_dir).select("interpretation_id", F.col("interpretation").alias("text"))
 
 
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", F.col("interpretation").alias("text"))
+
+
+def each_once(measured: DataFrame) -> DataFrame:
+    """One row per moment of what was worked out per delivery: the texts themselves are never shuffled."""
+    return latest(measured, ["interpretation_id"], "ingested_at").drop("ingested_at")
+
+
 @query("tx01_slugs", "SELECT DISTINCT author, CASE WHEN coalesce(author, '') = '' THEN 'unknown' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(author), '[''\\-]', '', 'g'), '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') END AS slug FROM books")
 def tx01_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX01."""
@@ -85,8 +94,8 @@ def tx09_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def nfc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
 
-    t = texts(spark, sf_dir).filter(F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("n", nfc("text"))
-    return t.select("interpretation_id", F.length("n").cast("long").alias("nfc_length"), F.md5("n").alias("nfc_md5"))
+    t = raw_texts(spark, sf_dir).filter(F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("n", nfc("text"))
+    return each_once(t.select("interpretation_id", "ingested_at", F.length("n").cast("long").alias("nfc_length"), F.md5("n").alias("nfc_md5")))
 
 
 _PARTS = r"list_filter(string_split(regexp_replace(regexp_replace(interpretation, '([.!?])\s+', '\1'||chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g')) >= 3)"
@@ -101,8 +110,8 @@ _PARTS = r"list_filter(string_split(regexp_replace(regexp_replace(interpretation
 def tx12_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX12-TX14, TX26, TX27."""
     x = F.col("text")
-    t = texts(spark, sf_dir).filter(x.rlike(r"\S")).withColumn("wc", X.word_count(x)).withColumn("sc", F.size(X.sentences(x)))
-    return t.select("interpretation_id", F.col("wc").alias("word_count"), F.length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))).alias("char_count"), F.col("sc").alias("sentence_count"), half_even(F.length(F.regexp_replace(x, "[^a-zA-Z]", "")) / F.col("wc"), 2).alias("avg_word_length"), half_even(F.col("wc") / F.col("sc"), 2).alias("avg_sentence_length"))
+    t = raw_texts(spark, sf_dir).filter(x.rlike(r"\S")).withColumn("wc", X.word_count(x)).withColumn("sc", F.size(X.sentences(x)))
+    return each_once(t.select("interpretation_id", "ingested_at", F.col("wc").alias("word_count"), F.length(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))).alias("char_count"), F.col("sc").alias("sentence_count"), half_even(F.length(F.regexp_replace(x, "[^a-zA-Z]", "")) / F.col("wc"), 2).alias("avg_word_length"), half_even(F.col("wc") / F.col("sc"), 2).alias("avg_sentence_length")))
 
 
 def validated(t: DataFrame, language: Column | None = None) -> DataFrame:
@@ -130,7 +139,7 @@ def validated(t: DataFrame, language: Column | None = None) -> DataFrame:
 )
 def tx16_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX16-TX19, TX45, FLT10 without the language check (TX15 is in tx15_language)."""
-    return validated(texts(spark, sf_dir)).select("interpretation_id", "word_count", F.array_join("issues", ",").alias("issues"), "quality_score", "is_valid")
+    return each_once(validated(raw_texts(spark, sf_dir)).select("interpretation_id", "ingested_at", "word_count", F.array_join("issues", ",").alias("issues"), "quality_score", "is_valid"))
 
 
 #: Very frequent words by language, for the validation stage's language guess.
@@ -154,7 +163,7 @@ _CASES = " ".join(f"WHEN {k} = m AND m > 0 THEN '{k}'" for k in FREQUENT)
 @query("tx15_language", f"{MOMENTS}, h AS (SELECT interpretation_id, interpretation, {_HITS} FROM moments WHERE interpretation IS NOT NULL), g AS (SELECT *, greatest({', '.join(FREQUENT)}) AS m FROM h) SELECT interpretation_id, CASE WHEN length(interpretation) < 20 THEN 'en' {_CASES} ELSE 'unknown' END AS language FROM g")
 def tx15_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX15, UF04: the stage's plain guess (the trained model is a separate package)."""
-    return texts(spark, sf_dir).filter(F.col("text").isNotNull()).select("interpretation_id", guessed_language(F.col("text")).alias("language"))
+    return each_once(raw_texts(spark, sf_dir).filter(F.col("text").isNotNull()).select("interpretation_id", "ingested_at", guessed_language(F.col("text")).alias("language")))
 
 
 @query(
@@ -170,20 +179,20 @@ def tx20_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX20-TX23, FLT11-FLT13."""
     x = F.coalesce("text", F.lit(""))
     none = lambda c: F.coalesce(c, F.lit(False))
-    return texts(spark, sf_dir).select("interpretation_id", x.rlike(rf"\b{X.EMAIL}\b").alias("has_email"), x.rlike(X.SSN).alias("has_ssn"), x.rlike(X.CARD).alias("has_card"), X.has_phone(x).alias("has_phone"), X.profanity_ratio(x).alias("profanity_ratio"), none(X.caps_ratio(x) > CAPS).alias("many_caps"), none(X.punctuation_ratio(x) > PUNCT).alias("many_signs"))
+    return each_once(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", x.rlike(rf"\b{X.EMAIL}\b").alias("has_email"), x.rlike(X.SSN).alias("has_ssn"), x.rlike(X.CARD).alias("has_card"), X.has_phone(x).alias("has_phone"), X.profanity_ratio(x).alias("profanity_ratio"), none(X.caps_ratio(x) > CAPS).alias("many_caps"), none(X.punctuation_ratio(x) > PUNCT).alias("many_signs")))
 
 
 @query("tx24_repeats")
 def tx24_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX24, TX25: runs of one character, and the share of the most frequent word."""
     x = F.coalesce("text", F.lit(""))
-    return texts(spark, sf_dir).select("interpretation_id", x.rlike(rf"(.)\1{{{RUN - 1},}}").alias("repetitive_chars"), F.coalesce(X.top_word_share(x) > TOP_WORD, F.lit(False)).alias("repetitive_words"))
+    return each_once(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", x.rlike(rf"(.)\1{{{RUN - 1},}}").alias("repetitive_chars"), F.coalesce(X.top_word_share(x) > TOP_WORD, F.lit(False)).alias("repetitive_words")))
 
 
 @query("tx28_reading_ease")
 def tx28_reading_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX28, UF05."""
-    return texts(spark, sf_dir).filter(F.col("text").rlike(r"\S")).select("interpretation_id", half_even(X.reading_ease(F.col("text")), 2).alias("readability_score"))
+    return each_once(raw_texts(spark, sf_dir).filter(F.col("text").rlike(r"\S")).select("interpretation_id", "ingested_at", half_even(X.reading_ease(F.col("text")), 2).alias("readability_score")))
 
 
 @query("flt09_injection")
@@ -202,7 +211,7 @@ def outcomes(t: DataFrame) -> DataFrame:
 @query("flt14_outcomes")
 def flt14_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT10-FLT14: how many texts end at which gate."""
-    return outcomes(texts(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+    return each_once(outcomes(raw_texts(spark, sf_dir)).select("interpretation_id", "ingested_at", "outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("tx29_author_names", "SELECT book_id, trim(regexp_replace(author, '^([^,]*),\\s*(.*)$', '\\2 \\1')) AS author_name, CASE WHEN title = upper(title) THEN 'capitals' ELSE 'mixed' END AS title_case FROM books")
