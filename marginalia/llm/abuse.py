@@ -15,8 +15,8 @@ import numpy as np
 import xxhash
 
 from marginalia.llm import abuse_seeds
-from marginalia.llm.languages import sentences
 from marginalia.llm.lookalikes import SUSPECT, readable
+from marginalia.llm.private import segments
 
 CATEGORIES = ("abuse", "hate", "sexual")
 BITS, RANK, EPOCHS, BATCH, RATE = 22, 8, 24, 64, 0.06
@@ -137,7 +137,7 @@ class FactorizationMachine:
 def windows(text: str) -> list[str]:
     """Sentences; long ones without an end in windows that overlap by half."""
     out = []
-    for a, z in sentences(text, longest=10**9):
+    for a, z in segments(text, longest=10**9):
         if z - a <= 300:
             out.append(text[a:z])
             continue
