@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.plans.registry import ORACLES, QUERIES
 
-MODULES = ("sources", "text", "profiling", "anomalies", "scoring", "ranking", "gates", "serving", "relational", "streams")
+MODULES = ("sources", "text", "profiling", "anomalies", "scoring", "ranking", "gates", "serving", "relational", "values", "streams")
 
 
 def _load() -> None:

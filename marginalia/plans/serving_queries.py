@@ -114,8 +114,8 @@ def flt24_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn22_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN22, SL07: books by their runs; those without come last. The window is over the fixed table of books."""
     n = table(spark, sf_dir, "compat_runs").groupBy("book_id").agg(F.count("*").alias("c"))
-    ranked = n.withColumn("n", F.row_number().over(W.orderBy(F.desc("c"), "book_id")).cast("long"))
-    return table(spark, sf_dir, "books").join(ranked, "book_id", "left").select("book_id", F.coalesce("n", F.lit(9999)).alias("place"))
+    ranked = n.select("book_id", F.row_number().over(W.orderBy(F.desc("c"), "book_id")).cast("long").alias("n"))
+    return table(spark, sf_dir, "books").select("book_id").join(ranked, "book_id", "left").select("book_id", F.coalesce("n", F.lit(9999)).alias("place"))
 
 
 @query("jn20_nearest")
