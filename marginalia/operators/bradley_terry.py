@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marginalia.functions.rounding import half_even
 from marginalia.session import cut_lineage
 
-MIN_COMPARISONS, STEPS, PRIOR = 5, 200, 1e-3
-#: Pairs of one user up to which a fit is done in one task.
+#: Steps and prior are those of survey H1; a fit whose strengths, of mean 1, move by less than TOLERANCE stops before.
+MIN_COMPARISONS, STEPS, PRIOR, TOLERANCE = 5, 200, 1e-3, 1e-10
+#: Pairs of one fit up to which it is done in one task.
 GATHERED_PAIRS = 200_000
+#: Strengths that the driver holds and sends to the tasks at each step.
+SENT_STRENGTHS = 500_000
 
 
 def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, steps: int = STEPS, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -24,7 +27,7 @@ def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, steps: int =
         share = weight / (s[a] + s[b])
         new = wins / (np.bincount(a, share, n) + np.bincount(b, share, n) + 2 * prior / (s + 1))
         new /= new.mean()
-        if np.abs(new - s).max() < 1e-10:
+        if np.abs(new - s).max() < TOLERANCE:
             break
         s = new
     return items, s / s.sum()
@@ -56,21 +59,29 @@ def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS, gathered: int =
     return out.unionByName(big.join(large, "user_id").select("user_id", "run_id", "bt_score", "n_comparisons"))
 
 
-def global_fit(votes: DataFrame, steps: int = 12) -> DataFrame:
-    """(run_id, bt_score) over all votes."""
-    return grouped_fit(votes, [], steps)
+def global_fit(votes: DataFrame, steps: int = STEPS, gathered: int = GATHERED_PAIRS) -> DataFrame:
+    """(run_id, bt_score) over all votes: up to `gathered` pairs in one task, more by the same iteration on DataFrames."""
+    pairs = cut_lineage(votes.groupBy("w", "l").agg(F.sum("weight").alias("weight")))
+    if pairs.count() > gathered:
+        return grouped_fit(pairs, [], steps)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["w", "l"])
+        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float), steps)
+        return pd.DataFrame({"run_id": items, "bt_score": np.round(s, 6)})
+
+    return pairs.groupBy().applyInPandas(run, "run_id long, bt_score double")
+
+
+def grouped_fit(votes: DataFrame, by: list[str], steps: int = STEPS, sent: int = SENT_STRENGTHS) -> DataFrame:
+    """(by…, run_id, bt_score) of each group by the iteration of `fit`: edges never leave the executors.
 
-def grouped_fit(votes: DataFrame, by: list[str], steps: int) -> DataFrame:
-    """(by…, run_id, bt_score) of each group by the same iteration on DataFrames: edges never leave the executors."""
+    Up to `sent` strengths are held by the driver and sent out at each step; more stay in DataFrames.
+    """
     edges = cut_lineage(votes.groupBy(*by, "w", "l").agg(F.sum("weight").alias("n"))).persist()
     sides = edges.select(*by, F.col("w").alias("i"), F.col("l").alias("j"), "n", F.col("n").alias("won")).unionByName(edges.select(*by, F.col("l").alias("i"), F.col("w").alias("j"), "n", F.lit(0.0).alias("won")))
-    nodes = cut_lineage(sides.groupBy(*by, "i").agg(F.sum("won").alias("wins"))).persist()
-    s = nodes.select(*by, "i", (F.col("wins") + 1.0).alias("s"))
-    for _ in range(steps):
-        of = lambda n: s.select(*by, F.col("i").alias(n), F.col("s").alias(f"s{n}"))
-        load = sides.select(*by, "i", "j", "n").join(of("j"), [*by, "j"]).join(of("i"), [*by, "i"]).groupBy(*by, "i").agg(F.sum(F.col("n") / (F.col("si") + F.col("sj"))).alias("load"))
-        s = cut_lineage(nodes.join(load, [*by, "i"]).select(*by, "i", ((F.col("wins") + PRIOR) / (F.col("load") + PRIOR)).alias("s")))
+    nodes = cut_lineage(sides.groupBy(*by, "i").agg((F.sum("won") + PRIOR).alias("wins"))).persist()
+    s = (_strengths_sent if nodes.count() <= sent else _strengths_joined)(edges, sides, nodes, by, steps)
     edges.unpersist()
     nodes.unpersist()
     if not by:
@@ -80,6 +91,52 @@ def grouped_fit(votes: DataFrame, by: list[str], steps: int) -> DataFrame:
     return s.join(totals, by).select(*by, F.col("i").alias("run_id"), half_even(F.col("s") / F.col("total"), 6).alias("bt_score"))
 
 
+def _strengths_sent(edges: DataFrame, sides: DataFrame, nodes: DataFrame, by: list[str], steps: int) -> DataFrame:
+    """(by…, i, s): each task sums the loads of its edges under the strengths it is sent."""
+    spark = edges.sparkSession
+    held = nodes.toPandas().sort_values([*by, "i"]).reset_index(drop=True)
+    n, wins = len(held), held["wins"].to_numpy()
+    group = held.groupby(by).ngroup().to_numpy() if by else np.zeros(n, int)
+    sizes = np.bincount(group)
+    coded = spark.createDataFrame(held[[*by, "i"]].assign(k=range(n)))
+    code = lambda c, k: coded.select(*by, F.col("i").alias(c), F.col("k").alias(k))
+    pairs = edges.join(code("w", "a"), [*by, "w"]).join(code("l", "b"), [*by, "l"]).select("a", "b", "n")
+    blocks = pairs.rdd.mapPartitions(lambda rows: [np.array(list(rows), float).reshape(-1, 3)]).map(lambda x: (x[:, 0].astype(int), x[:, 1].astype(int), x[:, 2])).persist()
+    s = np.ones(n)
+    for _ in range(steps):
+        sent = spark.sparkContext.broadcast(s)
+
+        def load(x: tuple, sent=sent) -> np.ndarray:
+            a, b, weight = x
+            share = weight / (sent.value[a] + sent.value[b])
+            return np.bincount(a, share, n) + np.bincount(b, share, n)
+
+        new = wins / (blocks.map(load).treeReduce(np.add) + 2 * PRIOR / (s + 1))
+        new /= (np.bincount(group, new) / sizes)[group]
+        sent.destroy()
+        if np.abs(new - s).max() < TOLERANCE:
+            break
+        s = new
+    blocks.unpersist()
+    return spark.createDataFrame(held[[*by, "i"]].assign(s=s))
+
+
+def _strengths_joined(edges: DataFrame, sides: DataFrame, nodes: DataFrame, by: list[str], steps: int) -> DataFrame:
+    """(by…, i, s): each edge is joined with the strengths of both its ends."""
+    s = nodes.withColumn("s", F.lit(1.0))
+    for _ in range(steps):
+        other = s.select(*by, F.col("i").alias("j"), F.col("s").alias("sj"))
+        load = sides.select(*by, "i", "j", "n").join(other, [*by, "j"]).join(s, [*by, "i"]).groupBy(*by, "i", "wins", "s").agg(F.sum(F.col("n") / (F.col("s") + F.col("sj"))).alias("load"))
+        new = cut_lineage(load.select(*by, "i", "wins", "s", (F.col("wins") / (F.col("load") + 2 * PRIOR / (F.col("s") + 1))).alias("new")))
+        mean = F.mean("new").alias("mean")
+        new = new.join(new.groupBy(*by).agg(mean), by) if by else new.withColumn("mean", F.lit(new.agg(mean).first()[0]))
+        new = new.withColumn("new", F.col("new") / F.col("mean"))
+        if new.agg(F.max(F.abs(F.col("new") - F.col("s")))).first()[0] < TOLERANCE:
+            break
+        s = new.select(*by, "i", "wins", F.col("new").alias("s"))
+    return s.select(*by, "i", "s")
+
+
 def blend_weights(n: Column) -> tuple[Column, Column]:
     """(confidence's, votes') weights by the number of votes."""
     bt = F.least(F.lit(0.7), F.lit(0.1) + n / F.lit(50.0) * F.lit(0.6))

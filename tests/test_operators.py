@@ -17,7 +17,7 @@ from marginalia.functions import text as X
 from marginalia.functions.rounding import half_even, largest_of, to_hundred
 from marginalia.functions.stats import f_tail, incomplete_beta
 from marginalia.operators.anomalies import nearest_rank_bounds, similar_texts
-from marginalia.operators.bradley_terry import blend_weights, fit, global_fit, per_user_fit
+from marginalia.operators.bradley_terry import blend_weights, fit, global_fit, grouped_fit, per_user_fit
 from marginalia.operators.dedup import latest
 from marginalia.operators.profiling import distribution, flattened, null_shares, schema_violations
 from marginalia.operators.search import nearest
@@ -129,6 +129,24 @@ def test_strengths(spark):
     assert [tuple(r) for r in n.select(*blend_weights(F.col("n"))).collect()] == [(0.9, 0.1), (0.84, 0.16), (0.3, 0.7), (0.3, 0.7)]
 
 
+def uneven_votes(spark):
+    """Votes with an unbeaten item, one without a win, and items of a single vote; and the same as arrays."""
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b), 1.0) for a, b in rng.integers(0, 12, (150, 2)) if a != b] + [(90, k, 1.0) for k in range(6)] + [(k, 91, 1.0) for k in range(4)] + [(92, 3, 1.0), (5, 93, 1.0), (92, 94, 1.0)]
+    return spark.createDataFrame(rows, "w long, l long, weight double"), tuple(np.array(x) for x in zip(*rows))
+
+
+def test_global_strengths_are_those_of_the_fit(spark):
+    df, votes = uneven_votes(spark)
+    want = dict(zip(*fit(*votes)))
+    for got in (global_fit(df), global_fit(df, gathered=0)):
+        got = {r.run_id: r.bt_score for r in got.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(x, abs=1.1e-6) for k, x in want.items())
+    want = dict(zip(*fit(*votes, steps=6)))
+    got = {r.run_id: r.bt_score for r in grouped_fit(df, [], steps=6, sent=0).collect()}
+    assert all(got[k] == pytest.approx(x, abs=1.1e-6) for k, x in want.items())
+
+
 def test_statistics_functions():
     assert incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
     assert f_tail(4.0, 2, 10) == pytest.approx(0.05301, abs=1e-4) and f_tail(None, 1, 1) is None
