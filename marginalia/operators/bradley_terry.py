@@ -33,7 +33,7 @@ def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, steps: int =
     return items, s / s.sum()
 
 
-def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS, gathered: int = GATHERED_PAIRS, steps: int = 40) -> DataFrame:
+def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS, gathered: int = GATHERED_PAIRS, steps: int = STEPS) -> DataFrame:
     """(user_id, run_id, bt_score, n_comparisons) of each user with at least `least` votes.
 
     Votes (user_id, w, l, weight) are summed by user and pair first. Users with up to
@@ -48,7 +48,7 @@ def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS, gathered: int =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["w", "l"])
-        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float))
+        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float), steps)
         return pd.DataFrame({"user_id": [str(pdf["user_id"].iloc[0])] * len(items), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": int(pdf["n_comparisons"].iloc[0])})
 
     out = small.groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")

@@ -147,6 +147,16 @@ def test_global_strengths_are_those_of_the_fit(spark):
     assert all(got[k] == pytest.approx(x, abs=1.1e-6) for k, x in want.items())
 
 
+def test_users_of_any_size_get_the_same_strengths(spark):
+    df, _ = uneven_votes(spark)
+    own = df.withColumn("user_id", F.lit("u")).unionByName(df.filter("w < 9").withColumn("user_id", F.lit("v")))
+    near, far = ({(r.user_id, r.run_id): r.bt_score for r in per_user_fit(own, gathered=g).collect()} for g in (10_000, 0))
+    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1.1e-6) for k in near)
+    slow = {(r.user_id, r.run_id): r.bt_score for r in grouped_fit(own, ["user_id"], steps=4, sent=0).collect()}
+    fast = {(r.user_id, r.run_id): r.bt_score for r in per_user_fit(own, steps=4).collect()}
+    assert slow.keys() == fast.keys() and all(slow[k] == pytest.approx(fast[k], abs=1.1e-6) for k in slow)
+
+
 def test_statistics_functions():
     assert incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
     assert f_tail(4.0, 2, 10) == pytest.approx(0.05301, abs=1e-4) and f_tail(None, 1, 1) is None
