@@ -228,6 +228,8 @@ class Crf:
 _AT = r"\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s(?=[\w ]+\sdot\s)"
 _MAIL_GATE = re.compile(r"@|[\[(]\s?at\s?[\])]|\sdot\s", re.I)
 _DIGIT = re.compile(r"\d")
+#: Any white space but the plain space and the line break.
+_ODD_SPACE = re.compile(r"[^\S \n]")
 _MANY_DIGITS = re.compile(r"(?:\d[\s().\-/+]{0,2}){6}|(?<![A-Za-z])[A-Za-z]{1,2}[\s-]?\d{2,}")
 _STREET_GATE = re.compile(r"(?:straße|strasse|str\.|gasse|platz|allee|ufer|damm|ring|straat|laan|kade|plein|gracht|dijk|singel|steeg|weg)(?![^\W\d_])", re.I)
 _EDGES = str.maketrans(dict.fromkeys(".,;:!?()[]\"“”\n/", " "))
@@ -280,7 +282,7 @@ class Redactor:
         """Whether a sentence can hold any kind: a sign of address or number, a name that isn't a character's, a title, a known surname."""
         if _MAIL_GATE.search(s):
             return True
-        if 40 * s.count(" ") < len(s) - 40:  # no text at all
+        if 40 * (s.count(" ") + s.count("\n")) < len(s) - 40:  # no text at all
             return False
         words = s.lower().translate(_EDGES).split()
         if _DIGIT.search(s) and (_MANY_DIGITS.search(s) or not _STREET.isdisjoint(words) or _STREET_GATE.search(s)):
@@ -341,6 +343,7 @@ class Redactor:
             self.known.clear()
         known, todo, cut = self.known, [], []
         for t in texts:
+            t = t and _ODD_SPACE.sub(" ", t)  # one to one: places stay
             own = []
             for a, z in segments(t) if t and not t.isspace() else []:
                 s = t[a:z]

@@ -131,7 +131,7 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(3).to_pylist()
             found = [(i, sorted({k for _, _, k in s}), redactor.redact(t, s)) for i, (t, s) in enumerate(zip(texts, redactor.spans(texts))) if s]
-            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _, _ in found]) for k in range(3)), pa.array([k for _, k, _ in found], pa.list_(pa.string())), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "redacted"])
+            return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array([i for i, _, _ in found], pa.int64())) for k in range(3)), pa.array([k for _, k, _ in found], pa.list_(pa.string())), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "redacted"])
 
         return do
 

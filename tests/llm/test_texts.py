@@ -112,6 +112,14 @@ def test_private_data_held_out():
     assert r.spans([None, "", " ", "I read page 12 in 1999."]) == [[], [], [], []]
 
 
+@pytest.mark.parametrize("space", ["\u3000", "\u2009", "\u00a0", "\u202f", "\t", "\n"])
+def test_private_data_between_odd_spaces(space):
+    r = Redactor(Lists(["Corin Kestle"], ["Nadira", "Dagny"], ["Halloway"]))
+    for text, name in (("It happened to my cousin Dagny Drutosley almost word for word. The sentence is stubborn.", "Dagny Drutosley"), ("Nadie había hablado de el orgullo en aquella casa. Mi vecina Nadira Halloway me prestó el libro.", "Nadira Halloway"), ("You can always reach me by phone on 617-555-0166 in the evening.", "617-555-0166")):
+        odd = text.replace(" ", space)
+        assert [odd[a:z] for a, z, _ in r.spans([odd])[0]] == [name.replace(" ", space)]
+
+
 def test_viterbi_is_the_best_path():
     crf = Crf(Lists([], [], [])).fit(Maker(5).rows(1)[:60], epochs=1)
     text = "Call 555 1234567"
