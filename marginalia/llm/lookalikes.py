@@ -11,12 +11,16 @@ import re
 import unicodedata
 from functools import lru_cache
 
-#: Letters of Cyrillic and Greek that look like a Latin letter.
-CYRILLIC = dict(zip("аеорсухіјѕԁһӏѵԛԝАВЕКМНОРСТУХІЈЅԌԚԜҮ", "aeopcyxijsdhlvqwABEKMHOPCTYXIJSGQWY"))
-GREEK = dict(zip("οανιρυκχγτωηΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oavipukxytwnABEZHIKMNOPTYXcj"))
-#: Of the Greek ones, those that differ enough in print to be no disguise on their own.
-WEAK = set("γτωηκυχ")
-LOOKALIKE = CYRILLIC | GREEK
+#: Letters of other scripts that look like a Latin letter.
+CYRILLIC = dict(zip("аеорсухіјѕԁһӏѵԛԝАВЕКМНОРСТУХІЈЅԌԚԜҮкгпьЬӀѴүҺ", "aeopcyxijsdhlvqwABEKMHOPCTYXIJSGQWYkrnbblVyh"))
+GREEK = dict(zip("οανιρυκχγτωηΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳσϱϹͿ", "oavipukxytwnABEZHIKMNOPTYXcjopCJ"))
+ARMENIAN = dict(zip("օոսհցզՕՍՏԼ", "onuhgqOUSL"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏔᏙᏚᏟᏢᏦᏞᏴ", "DRTAJEWMHYGZWVSCPKLB"))
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE
+#: Those that differ enough in print to be a sign of garbling too (problem 1).
+WEAK = set("γτωηκυχ" "кгпьЬӀѴүҺσϱϹͿ") | set(ARMENIAN) | set(CHEROKEE)
+#: With the composed letters whose first part is one of them.
+LISTED = {c for n in (*range(0x370, 0x590), *range(0x13A0, 0x13F6), *range(0x1F00, 0x2000)) if unicodedata.normalize("NFD", c := chr(n))[0] in LOOKALIKE}
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "\u2010\u2011⁃\u058a\u1806\ufe63\uff0d"
@@ -24,7 +28,8 @@ JOINED = "".join(map(chr, (*range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C4, 0
 MARKS = "\u0300-\u036f\u1ab0-᫿\u1dc0-\u1dff"
 
 #: What may be a case, in one scan; − only between letters.
-SUSPECT = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{JOINED}{MARKS}\uff01-\uff5e\uffe0-\uffe6{''.join(LOOKALIKE)}]|(?<=[^\\W\\d_])\u2212(?=[^\\W\\d_])")
+SUSPECT = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{JOINED}{MARKS}\uff01-\uff5e\uffe0-\uffe6{''.join(sorted(LISTED))}]|(?<=[^\\W\\d_])\u2212(?=[^\\W\\d_])")
+_MARK = re.compile(f"[{MARKS}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _EMOJI = re.compile("[\u203c-\u3299\U0001f000-\U0001faff\ufe0f\u20e3]")
 
@@ -52,6 +57,11 @@ def skeleton(text: str | None) -> str | None:
     return unicodedata.normalize("NFD", "".join(map(prototype, first)))
 
 
+def differs(text: str | None) -> bool:
+    """Whether a text isn't its own skeleton, which ways of setting accents don't show in: those count apart."""
+    return bool(text) and not text.isascii() and (skeleton(text) != unicodedata.normalize("NFD", text) or bool(_MARK.search(text)))
+
+
 def _joins_emoji(text: str, at: int) -> bool:
     return text[at] == "\u200d" and 0 < at < len(text) - 1 and bool(_EMOJI.match(text[at - 1]) and _EMOJI.match(text[at + 1]))
 
@@ -65,20 +75,19 @@ def script(ch: str) -> str:
 
 
 def disguised(word: str) -> bool:
-    """Whether a word of Latin letters holds look-alike letters of another script, and no other letters of it."""
-    scripts = {script(c) for c in word}
-    return "latin" in scripts and len(scripts) > 1 and any(c in LOOKALIKE for c in word) and all(c in LOOKALIKE for c in word if script(c) in ("greek", "cyrillic")) and any(c in LOOKALIKE and c not in WEAK for c in word)
+    """Whether a word with Latin letters holds a look-alike letter of another script."""
+    return any(c in LISTED for c in word) and any(script(c) == "latin" for c in word)
 
 
 def kinds(text: str | None) -> set[str]:
     """The kinds of disguise in a text: wide, joined, accent, invisible, space, hyphen, script."""
     found: set[str] = set()
-    if not text or text.isascii():
+    if not differs(text):
         return found
     letters = False
     for m in SUSPECT.finditer(text):
         ch, at = m[0], m.start()
-        if ch in LOOKALIKE:
+        if ch in LISTED:
             letters = True
         elif ch in INVISIBLE:
             if not _joins_emoji(text, at):
@@ -100,6 +109,11 @@ def kinds(text: str | None) -> set[str]:
     return found
 
 
+def _latin(ch: str) -> str:
+    first, *marks = unicodedata.normalize("NFD", ch)
+    return unicodedata.normalize("NFC", LOOKALIKE[first] + "".join(marks)) if ch in LISTED else ch
+
+
 _DROP = {ord(c): None for c in INVISIBLE if c != "\u200d"}
 
 
@@ -120,4 +134,4 @@ def readable(text: str | None) -> str | None:
         else:
             out.append(ch)
     whole = unicodedata.normalize("NFC", "".join(out))
-    return _WORD.sub(lambda m: "".join(LOOKALIKE.get(c, c) for c in m[0]) if not m[0].isascii() and disguised(m[0]) else m[0], whole)
+    return _WORD.sub(lambda m: "".join(map(_latin, m[0])) if not m[0].isascii() and disguised(m[0]) else m[0], whole)

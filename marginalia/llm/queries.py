@@ -70,7 +70,7 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [(i, *r) for i, t in enumerate(b.column(3).to_pylist()) if (r := look(t))]
-            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _, _ in found]) for k in range(3)), pa.array([x for _, x, _ in found], pa.string()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "form"])
+            return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array([i for i, _, _ in found], pa.int64())) for k in range(3)), pa.array([x for _, x, _ in found], pa.string()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "form"])
 
         return do
 
@@ -83,7 +83,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_key, n_rows, n_spellings, form) of the quotations, grouped by equal skeleton.
+    """(group_key, n_rows, n_spellings, form) of the texts of all three fields, grouped by equal skeleton.
 
     Equal texts are counted before the skeleton is made, so a passage quoted by a
     third of all rows is one row here.
@@ -96,7 +96,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return do
 
-    texts = fields(spark, sf_dir, (PASSAGE,)).filter(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("n"))
+    texts = fields(spark, sf_dir, (INTERPRETATION, DOCUMENT, PASSAGE)).filter(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("n"))
     made = map_texts(texts, make, "skeleton string, form string, n long")
     return made.groupBy(F.md5("skeleton").alias("group_key")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"), F.min("form").alias("form"))
 

@@ -52,6 +52,12 @@ def test_no_case(text):
     assert lookalikes.kinds(text) == set() and lookalikes.readable(text) == text
 
 
+@pytest.mark.parametrize("text,form", [("bоoк", "book"), ("bооkж", "bookж"), ("lioη", "lion"), ("naїve", "naïve"), ("hօuse", "house"), ("ᎪBC", "ABC")])
+def test_any_look_alike_letter_is_a_case(text, form):
+    assert lookalikes.differs(text) and lookalikes.kinds(text) == {"script"}
+    assert lookalikes.readable(text) == form and lookalikes.kinds(form) == set()
+
+
 def test_skeletons_of_equal_looking_texts():
     assert lookalikes.skeleton("ｃａｆé​") == lookalikes.skeleton("café") == lookalikes.skeleton("cаfé")
     assert lookalikes.skeleton("cafe") != lookalikes.skeleton("café")
