@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -49,6 +49,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[dict[str,
     return df.mapInArrow(run, schema)
 
 
+def record_keys(b: pa.RecordBatch, rows: Sequence[int]) -> list[pa.Array]:
+    """(tbl, fld, rec_id) of the given rows of a batch; a batch without finds gives empty columns."""
+    at = pa.array(rows, pa.int64())
+    return [b.column(k).take(at) for k in range(3)]
+
+
 def remembered(fn: Callable[[str], object], chars: int = 1000, entries: int = 20_000) -> Callable[[str], object]:
     """`fn` with a bounded memory of its results for short texts, which readers quote again and again."""
     known: dict[str, object] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import bpe, lookalikes, packing, pieces, ranking
 from marginalia.llm.abuse import CATEGORIES, AbuseModel
-from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, built, fields, map_texts, pairs, remembered, sample_texts, spread_texts, words_of
+from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, built, fields, map_texts, pairs, record_keys, remembered, sample_texts, spread_texts, words_of
 from marginalia.llm.garbled import Repairer
 from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows
 from marginalia.llm.pii_seeds import plain_samples
@@ -43,7 +43,7 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [(i, r[1], r[0]) for i, t in enumerate(b.column(3).to_pylist()) if (r := repair(t))[1]]
-            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _, _ in found]) for k in range(3)), pa.array([n for _, n, _ in found], pa.int32()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "n_garbled", "restored"])
+            return pa.RecordBatch.from_arrays([*record_keys(b, [i for i, _, _ in found]), pa.array([n for _, n, _ in found], pa.int32()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "n_garbled", "restored"])
 
         return do
 
@@ -70,7 +70,7 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [(i, *r) for i, t in enumerate(b.column(3).to_pylist()) if (r := look(t))]
-            return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array([i for i, _, _ in found], pa.int64())) for k in range(3)), pa.array([x for _, x, _ in found], pa.string()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "form"])
+            return pa.RecordBatch.from_arrays([*record_keys(b, [i for i, _, _ in found]), pa.array([x for _, x, _ in found], pa.string()), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "form"])
 
         return do
 
@@ -131,7 +131,7 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(3).to_pylist()
             found = [(i, sorted({k for _, _, k in s}), redactor.redact(t, s)) for i, (t, s) in enumerate(zip(texts, redactor.spans(texts))) if s]
-            return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array([i for i, _, _ in found], pa.int64())) for k in range(3)), pa.array([k for _, k, _ in found], pa.list_(pa.string())), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "redacted"])
+            return pa.RecordBatch.from_arrays([*record_keys(b, [i for i, _, _ in found]), pa.array([k for _, k, _ in found], pa.list_(pa.string())), pa.array([t for _, _, t in found], pa.string())], names=["tbl", "fld", "rec_id", "kinds", "redacted"])
 
         return do
 
@@ -182,7 +182,7 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [(i, k, *s) for i, r in enumerate(labeller.stretches([t if t and not t.isspace() else "" for t in b.column(3).to_pylist()])) for k, s in enumerate(r)]
             cols = list(zip(*found)) or [[]] * 7
-            return pa.RecordBatch.from_arrays([*(b.column(k).take(list(cols[0])) for k in range(3)), *(pa.array(cols[k], pa.int32()) for k in (1, 2, 3)), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.float64())], names=["tbl", "fld", "rec_id", "stretch_no", "first_char", "end_char", "true_lang", "confidence"])
+            return pa.RecordBatch.from_arrays([*record_keys(b, cols[0]), *(pa.array(cols[k], pa.int32()) for k in (1, 2, 3)), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.float64())], names=["tbl", "fld", "rec_id", "stretch_no", "first_char", "end_char", "true_lang", "confidence"])
 
         return do
 
@@ -207,7 +207,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
                 p = prose.score([texts[i] for i, _ in cases])[1]
                 cases = [c for c, x in zip(cases, p) if x >= 0.5]
             rows = [(i, lang) for i, langs in cases for lang in langs]
-            return pa.RecordBatch.from_arrays([*(b.column(k).take([i for i, _ in rows]) for k in range(3)), pa.array([lang for _, lang in rows], pa.string())], names=["tbl", "fld", "rec_id", "true_lang"])
+            return pa.RecordBatch.from_arrays([*record_keys(b, [i for i, _ in rows]), pa.array([lang for _, lang in rows], pa.string())], names=["tbl", "fld", "rec_id", "true_lang"])
 
         return do
 
