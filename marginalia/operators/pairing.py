@@ -18,23 +18,23 @@ MODES = ("philosophical", "prosecutorial", "empathetic", "observational", "aesth
 UNKNOWN_WEIGHT, QUIET = 0.10, 0.3
 
 
-def on_passages(moments: DataFrame) -> DataFrame:
-    return moments.select("book_id", "passage_id", "user_id").dropna().distinct()
+def on_passages(notes: DataFrame) -> DataFrame:
+    return notes.select("book_id", "passage_id", "user_id").dropna().distinct()
 
 
-def pair_counts(moments: DataFrame) -> DataFrame:
+def pair_counts(notes: DataFrame) -> DataFrame:
     """(book_id, passages, pairs): n(n-1)/2 summed over the passages; no pair is formed."""
-    per = on_passages(moments).groupBy("book_id", "passage_id").agg(F.count("*").alias("n"))
+    per = on_passages(notes).groupBy("book_id", "passage_id").agg(F.count("*").alias("n"))
     return per.groupBy("book_id").agg(F.count("*").alias("passages"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"))
 
 
-def reader_pairs(moments: DataFrame, salts: int = 8) -> DataFrame:
+def reader_pairs(notes: DataFrame, salts: int = 8) -> DataFrame:
     """(book_id, passage_id, user_a, user_b) with user_a < user_b.
 
     An equi-join on passage and a salt: one side has its own salt, the other every
     salt, so a passage that a third of all readers wrote on is spread over tasks.
     """
-    d = on_passages(moments)
+    d = on_passages(notes)
     a = d.select("book_id", "passage_id", F.col("user_id").alias("user_a"), F.pmod(F.xxhash64("user_id"), F.lit(salts)).alias("salt"))
     b = d.select("book_id", "passage_id", F.col("user_id").alias("user_b"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))).alias("salt"))
     return a.join(b, ["book_id", "passage_id", "salt"]).filter("user_a < user_b").select("book_id", "passage_id", "user_a", "user_b")
@@ -61,10 +61,10 @@ def split_claims(df: DataFrame, text_col: str = "interpretation", splitter: Call
     return evaluated(df, subclaims=claims).drop("__s", "__n", "__t", "__w", "__z")
 
 
-def cached_split(moments: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+def cached_split(notes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """(user_id, book_id, passage_id, n_claims, from_cache): latest text per slot; the splitter sees only slots that the cache lacks."""
     slots = ["user_id", "book_id", "passage_id"]
-    newest = latest(moments.filter(F.col("book_id").isNotNull() & F.col("passage_id").isNotNull() & F.col("interpretation").rlike(r"\S")), slots, "created_at", ["interpretation_id"])
+    newest = latest(notes.filter(F.col("book_id").isNotNull() & F.col("passage_id").isNotNull() & F.col("interpretation").rlike(r"\S")), slots, "created_at", ["interpretation_id"])
     known = newest.limit(0).select(*slots, F.lit(0).alias("n_claims")) if cache is None else cache
     missed = split_claims(newest.join(known, slots, "left_anti")).select(*slots, F.size("subclaims").alias("n_claims"), F.lit(False).alias("from_cache"))
     return newest.select(*slots).join(known, slots).withColumn("from_cache", F.lit(True)).unionByName(missed)
@@ -74,14 +74,14 @@ def _bagged(x: Column) -> Column:
     return F.struct(x["weight"].alias("w"), F.array_distinct(F.regexp_extract_all(F.lower(x["claim"]), F.lit(r"\p{L}+"), F.lit(0))).alias("bag"), F.size(words(x["claim"])).alias("wc"))
 
 
-def score_pairs(runs: DataFrame, moments: DataFrame) -> DataFrame:
+def score_pairs(runs: DataFrame, notes: DataFrame) -> DataFrame:
     """(run_id, think_*, feel_*, dominants, match_count, confidence) of the runs whose readers both wrote on the passage.
 
     Claims match when they share the most words, one to one by place; agreement is
     the share of common words. Everything is one expression per row after two joins.
     """
     slots = ["user_id", "book_id", "passage_id"]
-    newest = latest(moments.filter(F.col("book_id").isNotNull()), slots, "created_at", ["interpretation_id"])
+    newest = latest(notes.filter(F.col("book_id").isNotNull()), slots, "created_at", ["interpretation_id"])
     claims = split_claims(newest).select(*slots, "subclaims")
     side = lambda s: claims.select(F.col("user_id").alias(f"user_{s}"), "book_id", "passage_id", F.col("subclaims").alias(s))
     claims = evaluated(claims.withColumnRenamed("subclaims", "s0"), subclaims=F.transform("s0", _bagged)).select(*slots, "subclaims")

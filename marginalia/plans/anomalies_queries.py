@@ -11,15 +11,15 @@ from marginalia.plans.registry import query, with_once
 from marginalia.plans.text_queries import each_once, raw_texts
 from marginalia.tables import table
 
-MOMENTS = with_once("moments")
-_WC = r"m AS (SELECT interpretation_id, len(regexp_extract_all(coalesce(interpretation, ''), '\S+')) AS wc FROM moments), s AS (SELECT wc, row_number() OVER (ORDER BY wc) - 1 AS k, count(*) OVER () AS n FROM m WHERE wc > 0), q AS (SELECT max(CASE WHEN k = n // 4 THEN wc END) AS q1, max(CASE WHEN k = (3 * n) // 4 THEN wc END) AS q3 FROM s)"
+NOTES = with_once("notes")
+_WC = r"m AS (SELECT interpretation_id, len(regexp_extract_all(coalesce(interpretation, ''), '\S+')) AS wc FROM notes), s AS (SELECT wc, row_number() OVER (ORDER BY wc) - 1 AS k, count(*) OVER () AS n FROM m WHERE wc > 0), q AS (SELECT max(CASE WHEN k = n // 4 THEN wc END) AS q1, max(CASE WHEN k = (3 * n) // 4 THEN wc END) AS q3 FROM s)"
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_once(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", X.word_count(F.coalesce("text", F.lit(""))).alias("wc")))
 
 
-@query("ag40_bounds", f"{MOMENTS}, {_WC} SELECT CAST(q1 AS DOUBLE) AS q1, CAST(q3 AS DOUBLE) AS q3, CAST(q3 - q1 AS DOUBLE) AS iqr, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper FROM q")
+@query("ag40_bounds", f"{NOTES}, {_WC} SELECT CAST(q1 AS DOUBLE) AS q1, CAST(q3 AS DOUBLE) AS q3, CAST(q3 - q1 AS DOUBLE) AS iqr, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper FROM q")
 def ag40_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG40, FLT26, D14."""
     b = nearest_rank_bounds(_counts(spark, sf_dir), ["wc"])["wc"]
@@ -27,7 +27,7 @@ def ag40_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(float(b[n]) for n in names) if b else (None,) * 5], ", ".join(f"{n} double" for n in names))
 
 
-@query("ag42_flags", f"{MOMENTS}, {_WC}, z AS (SELECT avg(wc) AS mean, stddev_pop(wc) AS std FROM m WHERE wc > 0) SELECT interpretation_id, wc AS word_count, wc > 0 AND (wc < q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) OR wc > q3 + CAST(1.5 AS DOUBLE) * (q3 - q1)) AS length_outlier, round_even((wc - mean) / std, 4) AS z, abs((wc - mean) / std) > 2.5 AS z_outlier FROM (SELECT interpretation_id, CAST(wc AS INTEGER) AS wc FROM m) x, q, z")
+@query("ag42_flags", f"{NOTES}, {_WC}, z AS (SELECT avg(wc) AS mean, stddev_pop(wc) AS std FROM m WHERE wc > 0) SELECT interpretation_id, wc AS word_count, wc > 0 AND (wc < q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) OR wc > q3 + CAST(1.5 AS DOUBLE) * (q3 - q1)) AS length_outlier, round_even((wc - mean) / std, 4) AS z, abs((wc - mean) / std) > 2.5 AS z_outlier FROM (SELECT interpretation_id, CAST(wc AS INTEGER) AS wc FROM m) x, q, z")
 def ag42_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG41, AG42, WN11, MA09, O9: each text against baselines of all."""
     t = _counts(spark, sf_dir)

@@ -9,10 +9,10 @@ from marginalia.functions.rounding import half_even, ratio
 from marginalia.operators.dedup import latest
 from marginalia.operators.profiling import distribution, flattened, null_shares, numeric_profile, outlier_shares, schema_violations, top_values
 from marginalia.plans.registry import query, with_once
-from marginalia.plans.text_queries import each_once, moments, validated
+from marginalia.plans.text_queries import each_once, notes, validated
 from marginalia.tables import table
 
-BOTH = with_once("moments", "readers")
+BOTH = with_once("notes", "readers")
 READERS = with_once("readers")
 _GENDER = "CASE WHEN lower(trim(gender)) = '' THEN NULL ELSE lower(trim(gender)) END"
 
@@ -23,51 +23,51 @@ def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "users"), ["user_id"], "ingested_at").withColumn("sex", F.when(g != "", g))
 
 
-def moments_with_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN01: every moment, with its reader where known."""
-    return moments(spark, sf_dir).join(readers(spark, sf_dir).select("user_id", "sex", "layout_mode"), "user_id", "left")
+def notes_with_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN01: every note, with its reader where known."""
+    return notes(spark, sf_dir).join(readers(spark, sf_dir).select("user_id", "sex", "layout_mode"), "user_id", "left")
 
 
 @query(
     "ag01_gender_shares",
-    f"""{BOTH}, j AS (SELECT m.interpretation_id, {_GENDER.replace('gender', 'u.gender')} AS value FROM moments m LEFT JOIN readers u ON m.user_id = u.user_id), g AS (SELECT value, count(*) AS n FROM j GROUP BY value),
+    f"""{BOTH}, j AS (SELECT m.interpretation_id, {_GENDER.replace('gender', 'u.gender')} AS value FROM notes m LEFT JOIN readers u ON m.user_id = u.user_id), g AS (SELECT value, count(*) AS n FROM j GROUP BY value),
     t AS (SELECT CAST(sum(n) AS DOUBLE) AS total, count(value) AS k FROM g) SELECT value, n, round_even(CAST(100 AS DOUBLE) * n / total, 1) AS pct, round_even(CAST(100 AS DOUBLE) / k, 1) AS expected,
     round_even(round_even(CAST(100 AS DOUBLE) * n / total, 1) - round_even(CAST(100 AS DOUBLE) / k, 1), 1) AS deviation FROM g, t WHERE value IS NOT NULL""",
 )
 def ag01_gender_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG01, JN01, T3: shares by gender, nulls in the denominator only."""
-    return distribution(moments_with_readers(spark, sf_dir), "sex")
+    return distribution(notes_with_readers(spark, sf_dir), "sex")
 
 
 @query(
     "ag02_verdicts",
-    f"""{BOTH}, j AS (SELECT {_GENDER.replace('gender', 'u.gender')} AS gender, u.layout_mode AS layout FROM moments m LEFT JOIN readers u ON m.user_id = u.user_id), t AS (SELECT count(*) AS total FROM j),
+    f"""{BOTH}, j AS (SELECT {_GENDER.replace('gender', 'u.gender')} AS gender, u.layout_mode AS layout FROM notes m LEFT JOIN readers u ON m.user_id = u.user_id), t AS (SELECT count(*) AS total FROM j),
     g AS (SELECT 'gender' AS dimension, gender AS value, count(*) AS n FROM j WHERE gender IS NOT NULL GROUP BY gender UNION ALL SELECT 'layout', layout, count(*) FROM j WHERE layout IS NOT NULL GROUP BY layout),
     k AS (SELECT dimension, count(*) AS k FROM g GROUP BY dimension), d AS (SELECT g.dimension, abs(round_even(round_even(CAST(100 AS DOUBLE) * n / total, 1) - round_even(CAST(100 AS DOUBLE) / k, 1), 1)) AS dev FROM g JOIN k ON g.dimension = k.dimension, t)
     SELECT dimension, max(dev) AS max_deviation, CASE WHEN max(dev) < 10 THEN 'BALANCED' ELSE 'IMBALANCED' END AS verdict FROM d GROUP BY dimension""",
 )
 def ag02_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG02, AG09: the largest deviation of each dimension and its label."""
-    j = moments_with_readers(spark, sf_dir)
+    j = notes_with_readers(spark, sf_dir)
     parts = [distribution(j, c).select(F.lit(n).alias("dimension"), F.abs("deviation").alias("dev")) for n, c in (("gender", "sex"), ("layout", "layout_mode"))]
     return parts[0].unionByName(parts[1]).groupBy("dimension").agg(F.max("dev").alias("max_deviation")).withColumn("verdict", F.when(F.col("max_deviation") < 10, "BALANCED").otherwise("IMBALANCED"))
 
 
 @query(
     "ag03_crosstab",
-    f"""{BOTH}, j AS (SELECT {_GENDER.replace('gender', 'u.gender')} AS g, m.book_id FROM moments m JOIN readers u ON m.user_id = u.user_id WHERE m.book_id IS NOT NULL)
+    f"""{BOTH}, j AS (SELECT {_GENDER.replace('gender', 'u.gender')} AS g, m.book_id FROM notes m JOIN readers u ON m.user_id = u.user_id WHERE m.book_id IS NOT NULL)
     SELECT book_id, count(*) FILTER (g = 'female') AS female, count(*) FILTER (g = 'male') AS male, count(*) FILTER (g = 'nonbinary') AS nonbinary, round_even(CAST(100 AS DOUBLE) * count(*) FILTER (g = 'female') / nullif(count(g), 0), 1) AS female_pct FROM j GROUP BY book_id""",
 )
 def ag03_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG03, AG04: counts by book and gender, and a row share."""
-    j = moments(spark, sf_dir).filter(F.col("book_id").isNotNull()).join(readers(spark, sf_dir).select("user_id", "sex"), "user_id")
+    j = notes(spark, sf_dir).filter(F.col("book_id").isNotNull()).join(readers(spark, sf_dir).select("user_id", "sex"), "user_id")
     wide = j.groupBy("book_id").agg(*(F.count_if(F.col("sex") == g).alias(g) for g in ("female", "male", "nonbinary")), F.count("sex").alias("known"))
     return wide.withColumn("female_pct", half_even(F.try_divide(F.lit(100.0) * F.col("female"), F.col("known").cast("double")), 1)).drop("known")
 
 
 @query(
     "ag05_word_stats",
-    rf"""{with_once('moments')}, m AS (SELECT book_id, len(regexp_extract_all(interpretation, '\S+')) AS wc FROM moments WHERE interpretation IS NOT NULL)
+    rf"""{with_once('notes')}, m AS (SELECT book_id, len(regexp_extract_all(interpretation, '\S+')) AS wc FROM notes WHERE interpretation IS NOT NULL)
     SELECT book_id, count(*) AS n, CAST(sum(wc) AS BIGINT) AS words, round_even(CAST(sum(wc) AS DOUBLE) / count(*), 2) AS mean_words, CAST(min(wc) AS INTEGER) AS least, CAST(max(wc) AS INTEGER) AS most, CAST(quantile_cont(wc, 0.5) AS DOUBLE) AS median_words FROM m GROUP BY book_id""",
 )
 def ag05_word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +76,21 @@ def ag05_word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("book_id").agg(F.count("*").alias("n"), F.sum("wc").alias("words"), half_even(F.sum("wc") / F.count("*"), 2).alias("mean_words"), F.min("wc").alias("least"), F.max("wc").alias("most"), F.percentile("wc", 0.5).alias("median_words"))
 
 
-@query("ag07_structure", f"{with_once('moments')}, p AS (SELECT user_id, count(*) AS n, count(DISTINCT book_id) AS books FROM moments GROUP BY user_id) SELECT n AS moments_per_reader, count(*) AS readers, CAST(max(books) AS BIGINT) AS most_books FROM p GROUP BY n")
+@query("ag07_structure", f"{with_once('notes')}, p AS (SELECT user_id, count(*) AS n, count(DISTINCT book_id) AS books FROM notes GROUP BY user_id) SELECT n AS notes_per_reader, count(*) AS readers, CAST(max(books) AS BIGINT) AS most_books FROM p GROUP BY n")
 def ag07_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG07: aggregation of an aggregation."""
-    per = moments(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("book_id").alias("books"))
-    return per.groupBy(F.col("n").alias("moments_per_reader")).agg(F.count("*").alias("readers"), F.max("books").alias("most_books"))
+    per = notes(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("book_id").alias("books"))
+    return per.groupBy(F.col("n").alias("notes_per_reader")).agg(F.count("*").alias("readers"), F.max("books").alias("most_books"))
 
 
 @query(
     "ag08_group_deviation",
-    rf"""{BOTH}, j AS (SELECT {_GENDER.replace('gender', 'u.gender')} AS g, len(regexp_extract_all(coalesce(m.interpretation, ''), '\S+')) AS wc FROM moments m JOIN readers u ON m.user_id = u.user_id), o AS (SELECT CAST(sum(wc) AS DOUBLE) / count(*) AS mean FROM j)
+    rf"""{BOTH}, j AS (SELECT {_GENDER.replace('gender', 'u.gender')} AS g, len(regexp_extract_all(coalesce(m.interpretation, ''), '\S+')) AS wc FROM notes m JOIN readers u ON m.user_id = u.user_id), o AS (SELECT CAST(sum(wc) AS DOUBLE) / count(*) AS mean FROM j)
     SELECT g AS sex, count(*) AS n, round_even(CAST(100 AS DOUBLE) * (CAST(sum(wc) AS DOUBLE) / count(*) - any_value(mean)) / any_value(mean), 1) AS deviation_pct, abs(CAST(100 AS DOUBLE) * (CAST(sum(wc) AS DOUBLE) / count(*) - any_value(mean)) / any_value(mean)) > 20 AS flagged FROM j, o WHERE g IS NOT NULL GROUP BY g""",
 )
 def ag08_group_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG08, AG32: group means against the mean of all rows; that of all rows comes from the groups' sums."""
-    j = moments(spark, sf_dir).join(readers(spark, sf_dir).select("user_id", "sex"), "user_id").select("sex", X.word_count(F.coalesce("interpretation", F.lit(""))).alias("wc"))
+    j = notes(spark, sf_dir).join(readers(spark, sf_dir).select("user_id", "sex"), "user_id").select("sex", X.word_count(F.coalesce("interpretation", F.lit(""))).alias("wc"))
     sums = j.groupBy("sex").agg(F.count("*").alias("n"), F.sum("wc").alias("words"))
     total = sums.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     mean = float(total["words"]) / total["n"] if total["n"] else None
@@ -98,10 +98,10 @@ def ag08_group_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.filter(F.col("sex").isNotNull()).select("sex", "n", half_even(dev, 1).alias("deviation_pct"), (F.abs(dev) > 20).alias("flagged"))
 
 
-@query("ag10_reader_books", f"{with_once('moments')} SELECT user_id, count(*) AS n, coalesce(string_agg(DISTINCT book_id, ';' ORDER BY book_id), '') AS books FROM moments GROUP BY user_id")
+@query("ag10_reader_books", f"{with_once('notes')} SELECT user_id, count(*) AS n, coalesce(string_agg(DISTINCT book_id, ';' ORDER BY book_id), '') AS books FROM notes GROUP BY user_id")
 def ag10_reader_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG10, AJ07: count and sorted distinct books of each reader. A reader's books are few: at most the table of books."""
-    return moments(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("book_id")), ";").alias("books"))
+    return notes(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("book_id")), ";").alias("books"))
 
 
 _NULLS = ("book_id", "passage_id", "page_num", "interpretation", "lang", "chapter")
@@ -163,7 +163,7 @@ def ag16_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ag19_stage_checks",
-    rf"""{with_once('moments')}, m AS (SELECT coalesce(interpretation, '') AS x, user_id FROM moments), f AS (SELECT user_id, len(regexp_extract_all(x, '\S+')) AS wc, length(replace(x, ' ', '')) AS ch, len(regexp_extract_all(x, '\p{{L}}')) AS lt, len(regexp_extract_all(lower(x), '[aeiou]')) AS vo FROM m),
+    rf"""{with_once('notes')}, m AS (SELECT coalesce(interpretation, '') AS x, user_id FROM notes), f AS (SELECT user_id, len(regexp_extract_all(x, '\S+')) AS wc, length(replace(x, ' ', '')) AS ch, len(regexp_extract_all(x, '\p{{L}}')) AS lt, len(regexp_extract_all(lower(x), '[aeiou]')) AS vo FROM m),
     v AS (SELECT user_id, NOT (wc = 0 OR wc < 10 OR wc > 600 OR ch < 50 OR (lt >= 10 AND (CAST(vo AS DOUBLE) / lt < 0.15 OR CAST(vo AS DOUBLE) / lt > 0.6))) AS ok FROM f),
     s AS (SELECT count(*) AS n, count(DISTINCT user_id) AS readers, count(*) FILTER (ok) AS valid FROM v) SELECT n, readers, valid, round_even(CAST(valid AS DOUBLE) / n, 4) AS valid_rate, CASE WHEN n < 100 OR readers < 5 OR CAST(n - valid AS DOUBLE) / n > 0.2 THEN 'FAILED' WHEN n > valid THEN 'WARNING' ELSE 'PASSED' END AS status FROM s""",
 )
@@ -177,7 +177,7 @@ def ag19_stage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ag20_gauges",
-    rf"""{with_once('moments')}, m AS (SELECT CAST(created_at AS DATE) AS d, len(regexp_extract_all(coalesce(interpretation, ''), '\S+')) AS wc FROM moments)
+    rf"""{with_once('notes')}, m AS (SELECT CAST(created_at AS DATE) AS d, len(regexp_extract_all(coalesce(interpretation, ''), '\S+')) AS wc FROM notes)
     SELECT CAST(d AS VARCHAR) AS run_date, count(*) AS n, round_even(CAST(sum(wc) AS DOUBLE) / count(*), 4) AS mean_words, round_even(quantile_cont(CAST(wc AS DOUBLE), 0.5), 4) AS p50_words, round_even(quantile_cont(CAST(wc AS DOUBLE), 0.95), 4) AS p95_words FROM m GROUP BY d""",
 )
 def ag20_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ ORACLES: dict[str, str] = {}
 
 #: CTE texts for oracles: one row per key where a record may be delivered twice.
 ONCE = {
-    "moments": "moments AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interpretation_id ORDER BY ingested_at DESC) AS rn FROM interpretations) t WHERE rn = 1)",
+    "notes": "notes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interpretation_id ORDER BY ingested_at DESC) AS rn FROM interpretations) t WHERE rn = 1)",
     "readers": "readers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ingested_at DESC) AS rn FROM users) t WHERE rn = 1)",
     "messages": "messages AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ingested_at DESC) AS rn FROM whisper_messages) t WHERE rn = 1)",
     "votes": "votes AS (SELECT comparison_id, user_id, TRY_CAST(TRY_CAST(trim(winner_run_id) AS DOUBLE) AS BIGINT) AS w, TRY_CAST(TRY_CAST(trim(loser_run_id) AS DOUBLE) AS BIGINT) AS l FROM (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY ingested_at DESC) AS rn FROM comparisons) t WHERE rn = 1)",

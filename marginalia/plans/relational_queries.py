@@ -8,10 +8,10 @@ from marginalia.operators.dedup import first_seen, latest
 from marginalia.operators.tables_dml import cascade, delete, insert_absent, update, upsert, with_columns_of
 from marginalia.plans.profiling_queries import readers
 from marginalia.plans.registry import query, with_once
-from marginalia.plans.text_queries import moments
+from marginalia.plans.text_queries import notes
 from marginalia.tables import table
 
-MOMENTS = with_once("moments")
+NOTES = with_once("notes")
 #: Changes made to the runs: confidences of runs with an odd sum of ids' last digits, and a run that isn't there.
 _CHANGES = "SELECT run_id, user_a, user_b, least(confidence + 0.05, 0.95) AS confidence FROM compat_runs WHERE run_id % 3 = 0 UNION ALL SELECT CAST(1 AS BIGINT), 'a', 'b', CAST(0.5 AS DOUBLE)"
 
@@ -50,11 +50,11 @@ def snk13_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update(m, (F.col("state") == "unread") & (F.col("msg_type") == "whisper"), {"state": F.lit("marked")}).select("message_id", F.col("ingested_at").isNotNull().alias("stored"), "state")
 
 
-@query("snk14_soft_delete", f"{MOMENTS} SELECT interpretation_id, is_deleted OR interpretation IS NULL OR trim(interpretation) = '' AS is_deleted FROM moments")
+@query("snk14_soft_delete", f"{NOTES} SELECT interpretation_id, is_deleted OR interpretation IS NULL OR trim(interpretation) = '' AS is_deleted FROM notes")
 def snk14_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK14: a flag instead of a removal."""
     gone = F.col("interpretation").isNull() | (F.trim("interpretation") == "")
-    return update(moments(spark, sf_dir), gone, {"is_deleted": F.lit(True)}).select("interpretation_id", "is_deleted")
+    return update(notes(spark, sf_dir), gone, {"is_deleted": F.lit(True)}).select("interpretation_id", "is_deleted")
 
 
 @query("snk15_cascade", "WITH d AS (SELECT user_id FROM users WHERE consent_given = false) SELECT 'interpretations' AS tbl, count(*) AS n FROM interpretations WHERE user_id NOT IN (SELECT user_id FROM d) UNION ALL SELECT 'whisper_messages', count(*) FROM whisper_messages WHERE sender_id NOT IN (SELECT user_id FROM d) UNION ALL SELECT 'compat_runs', count(*) FROM compat_runs WHERE user_a NOT IN (SELECT user_id FROM d) AND user_b NOT IN (SELECT user_id FROM d)")
@@ -112,34 +112,34 @@ def flt01_live_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.groupBy(F.to_date(c).cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("flt04_same_passage", f"{MOMENTS} SELECT interpretation_id FROM moments WHERE passage_id = (SELECT min(passage_id) FROM moments) AND user_id <> (SELECT min(user_id) FROM moments WHERE passage_id = (SELECT min(passage_id) FROM moments))")
+@query("flt04_same_passage", f"{NOTES} SELECT interpretation_id FROM notes WHERE passage_id = (SELECT min(passage_id) FROM notes) AND user_id <> (SELECT min(user_id) FROM notes WHERE passage_id = (SELECT min(passage_id) FROM notes))")
 def flt04_same_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT03, FLT04, FLT25, JN10, JN15: the other readers of a passage."""
-    m = moments(spark, sf_dir)
+    m = notes(spark, sf_dir)
     passage = m.agg(F.min("passage_id")).first()[0]
     on = m.filter(F.col("passage_id") == F.lit(passage))
     anchor = on.agg(F.min("user_id")).first()[0]
     return on.filter(F.col("user_id") != F.lit(anchor)).select("interpretation_id")
 
 
-@query("jn05_passage_readers", f"{MOMENTS} SELECT book_id, passage_id, count(DISTINCT user_id) AS readers, count(*) AS texts FROM moments WHERE passage_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT user_id) > 1")
+@query("jn05_passage_readers", f"{NOTES} SELECT book_id, passage_id, count(DISTINCT user_id) AS readers, count(*) AS texts FROM notes WHERE passage_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT user_id) > 1")
 def jn05_passage_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN05, FLT17: passages with more than one reader."""
-    return moments(spark, sf_dir).filter(F.col("passage_id").isNotNull()).groupBy("book_id", "passage_id").agg(F.count_distinct("user_id").alias("readers"), F.count("*").alias("texts")).filter("readers > 1")
+    return notes(spark, sf_dir).filter(F.col("passage_id").isNotNull()).groupBy("book_id", "passage_id").agg(F.count_distinct("user_id").alias("readers"), F.count("*").alias("texts")).filter("readers > 1")
 
 
-@query("jn16_linked_books", f"{MOMENTS} SELECT book_id, title FROM books WHERE book_id IN (SELECT book_id FROM moments WHERE created_at >= TIMESTAMPTZ '2025-06-01 00:00:00+00')")
+@query("jn16_linked_books", f"{NOTES} SELECT book_id, title FROM books WHERE book_id IN (SELECT book_id FROM notes WHERE created_at >= TIMESTAMPTZ '2025-06-01 00:00:00+00')")
 def jn16_linked_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN16, FLT02, SRC11, SRC12, O5: semi-join instead of a list built on the driver."""
-    late = moments(spark, sf_dir).filter(F.col("created_at") >= F.lit("2025-06-01").cast("timestamp"))
+    late = notes(spark, sf_dir).filter(F.col("created_at") >= F.lit("2025-06-01").cast("timestamp"))
     return table(spark, sf_dir, "books").join(late, "book_id", "left_semi").select("book_id", "title")
 
 
-@query("jn11_lookup", f"{MOMENTS} SELECT m.interpretation_id, coalesce(b.title, 'Unknown') AS title, coalesce(b.book_lang, 'Unknown') AS book_lang FROM moments m LEFT JOIN books b ON m.book_id = b.book_id")
+@query("jn11_lookup", f"{NOTES} SELECT m.interpretation_id, coalesce(b.title, 'Unknown') AS title, coalesce(b.book_lang, 'Unknown') AS book_lang FROM notes m LEFT JOIN books b ON m.book_id = b.book_id")
 def jn11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN11, JN24, FLT15, O8: a lookup with defaults; Spark sends the small side by its size."""
     b = table(spark, sf_dir, "books").select("book_id", "title", "book_lang")
-    return moments(spark, sf_dir).join(b, "book_id", "left").select("interpretation_id", F.coalesce("title", F.lit("Unknown")).alias("title"), F.coalesce("book_lang", F.lit("Unknown")).alias("book_lang"))
+    return notes(spark, sf_dir).join(b, "book_id", "left").select("interpretation_id", F.coalesce("title", F.lit("Unknown")).alias("title"), F.coalesce("book_lang", F.lit("Unknown")).alias("book_lang"))
 
 
 @query("jn12_both_sides", "SELECT c.run_id, a.readername AS name_a, b.readername AS name_b FROM compat_runs c JOIN (SELECT user_id, any_value(readername) AS readername FROM users GROUP BY 1) a ON c.user_a = a.user_id JOIN (SELECT user_id, any_value(readername) AS readername FROM users GROUP BY 1) b ON c.user_b = b.user_id")
@@ -152,7 +152,7 @@ def jn12_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wn07_first_seen", "SELECT user_id, book_id, interpretation_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY created_at, interpretation_id) AS k FROM interpretations WHERE book_id IS NOT NULL) t WHERE k = 1")
 def wn07_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN07: a reader's first moment of each book."""
+    """WN07: a reader's first note of each book."""
     return first_seen(table(spark, sf_dir, "interpretations").filter(F.col("book_id").isNotNull()), ["user_id", "book_id"], "created_at", ["interpretation_id"]).select("user_id", "book_id", "interpretation_id")
 
 
@@ -196,8 +196,8 @@ def ag46_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 10).alias("label")).agg(F.count("*").alias("n"), F.max(F.struct("ts", "event_id", "value")).alias("x")).select("event_type", "label", "n", F.col("x.value").alias("gauge"))
 
 
-@query("ag45_book_order", f"{MOMENTS}, f AS (SELECT user_id, book_id, min(created_at) AS first, count(*) AS n FROM moments WHERE book_id IS NOT NULL GROUP BY 1, 2) SELECT user_id, book_id, n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first, book_id) AS INTEGER) AS place FROM f")
+@query("ag45_book_order", f"{NOTES}, f AS (SELECT user_id, book_id, min(created_at) AS first, count(*) AS n FROM notes WHERE book_id IS NOT NULL GROUP BY 1, 2) SELECT user_id, book_id, n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first, book_id) AS INTEGER) AS place FROM f")
 def ag45_book_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG45: a reader's books in the order of their first moment."""
-    f = moments(spark, sf_dir).filter(F.col("book_id").isNotNull()).groupBy("user_id", "book_id").agg(F.min("created_at").alias("first"), F.count("*").alias("n"))
+    """AG45: a reader's books in the order of their first note."""
+    f = notes(spark, sf_dir).filter(F.col("book_id").isNotNull()).groupBy("user_id", "book_id").agg(F.min("created_at").alias("first"), F.count("*").alias("n"))
     return f.select("user_id", "book_id", "n", F.row_number().over(W.partitionBy("user_id").orderBy("first", "book_id")).alias("place"))

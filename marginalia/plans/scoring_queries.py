@@ -8,10 +8,10 @@ from marginalia.functions.rounding import half_even, largest_of, to_hundred
 from marginalia.operators.pairing import cached_split, pair_counts, reader_pairs, score_pairs, split_claims
 from marginalia.operators.rollups import book_level, profile_level
 from marginalia.plans.registry import query, with_once
-from marginalia.plans.text_queries import moments
+from marginalia.plans.text_queries import notes
 from marginalia.tables import table
 
-MOMENTS = with_once("moments")
+NOTES = with_once("notes")
 _AVG = ", ".join(f"round_even(CAST(sum({c}) AS DOUBLE) / count({c}), 2) AS {c}" for c in ("think_r", "think_c", "think_d", "feel_r", "feel_c", "feel_d"))
 _DOM = "CASE WHEN round_even({0}_r, 0) >= round_even({0}_c, 0) AND round_even({0}_r, 0) >= round_even({0}_d, 0) THEN 'resonate' WHEN round_even({0}_c, 0) >= round_even({0}_d, 0) THEN 'contradict' ELSE 'diverge' END AS dominant_{0}"
 _VERDICT = "CASE WHEN (think_r + feel_r) / 2 >= (think_c + feel_c) / 2 AND (think_r + feel_r) / 2 >= (think_d + feel_d) / 2 THEN 'resonate' WHEN (think_c + feel_c) / 2 >= (think_d + feel_d) / 2 THEN 'contradict' ELSE 'diverge' END AS verdict"
@@ -47,35 +47,35 @@ def prj12_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "compat_runs").select("run_id", *(((c(f"think_{k}") + c(f"feel_{k}")) / F.lit(2.0)).alias(k) for k in "rcd"), largest_of(c("think_r"), c("think_c"), c("think_d")).alias("top"))
 
 
-@query("ag33_pair_counts", f"{MOMENTS}, d AS (SELECT DISTINCT book_id, passage_id, user_id FROM moments WHERE book_id IS NOT NULL AND passage_id IS NOT NULL), p AS (SELECT book_id, passage_id, count(*) AS n FROM d GROUP BY 1, 2) SELECT book_id, count(*) AS passages, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM p GROUP BY 1")
+@query("ag33_pair_counts", f"{NOTES}, d AS (SELECT DISTINCT book_id, passage_id, user_id FROM notes WHERE book_id IS NOT NULL AND passage_id IS NOT NULL), p AS (SELECT book_id, passage_id, count(*) AS n FROM d GROUP BY 1, 2) SELECT book_id, count(*) AS passages, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM p GROUP BY 1")
 def ag33_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG33: how many reader pairs each book's passages have, without forming them."""
-    return pair_counts(moments(spark, sf_dir))
+    return pair_counts(notes(spark, sf_dir))
 
 
-@query("jn14_pairs", f"{MOMENTS}, d AS (SELECT DISTINCT book_id, passage_id, user_id FROM moments WHERE book_id IS NOT NULL AND passage_id IS NOT NULL) SELECT a.book_id, a.passage_id, a.user_id AS user_a, b.user_id AS user_b FROM d a JOIN d b ON a.book_id = b.book_id AND a.passage_id = b.passage_id AND a.user_id < b.user_id")
+@query("jn14_pairs", f"{NOTES}, d AS (SELECT DISTINCT book_id, passage_id, user_id FROM notes WHERE book_id IS NOT NULL AND passage_id IS NOT NULL) SELECT a.book_id, a.passage_id, a.user_id AS user_a, b.user_id AS user_b FROM d a JOIN d b ON a.book_id = b.book_id AND a.passage_id = b.passage_id AND a.user_id < b.user_id")
 def jn14_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN14, D8, H8: all unordered pairs of readers of a passage: the reference's own output, which grows with the passages."""
-    return reader_pairs(moments(spark, sf_dir))
+    """JN14, D8, H8: all unordered pairs of readers of a passage."""
+    return reader_pairs(notes(spark, sf_dir))
 
 
-@query("jn18_open_pairs", f"{MOMENTS}, d AS (SELECT DISTINCT book_id, passage_id, user_id FROM moments WHERE book_id IS NOT NULL AND passage_id IS NOT NULL), p AS (SELECT a.book_id, a.passage_id, a.user_id AS user_a, b.user_id AS user_b FROM d a JOIN d b ON a.book_id = b.book_id AND a.passage_id = b.passage_id AND a.user_id < b.user_id) SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM compat_runs c WHERE c.book_id = p.book_id AND least(c.user_a, c.user_b) = p.user_a AND greatest(c.user_a, c.user_b) = p.user_b)")
+@query("jn18_open_pairs", f"{NOTES}, d AS (SELECT DISTINCT book_id, passage_id, user_id FROM notes WHERE book_id IS NOT NULL AND passage_id IS NOT NULL), p AS (SELECT a.book_id, a.passage_id, a.user_id AS user_a, b.user_id AS user_b FROM d a JOIN d b ON a.book_id = b.book_id AND a.passage_id = b.passage_id AND a.user_id < b.user_id) SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM compat_runs c WHERE c.book_id = p.book_id AND least(c.user_a, c.user_b) = p.user_a AND greatest(c.user_a, c.user_b) = p.user_b)")
 def jn18_open_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN18, O6, SM05: pairs without a run on the book yet."""
     done = table(spark, sf_dir, "compat_runs").select("book_id", F.least("user_a", "user_b").alias("user_a"), F.greatest("user_a", "user_b").alias("user_b")).distinct()
-    return reader_pairs(moments(spark, sf_dir)).join(done, ["book_id", "user_a", "user_b"], "left_anti").select("book_id", "passage_id", "user_a", "user_b")
+    return reader_pairs(notes(spark, sf_dir)).join(done, ["book_id", "user_a", "user_b"], "left_anti").select("book_id", "passage_id", "user_a", "user_b")
 
 
 @query("uf01_claims")
 def uf01_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UF01, AJ02, AJ05, AG39: every text split into weighted claims by the pluggable splitter's plain default."""
-    return split_claims(moments(spark, sf_dir).select("interpretation_id", "interpretation")).select("interpretation_id", F.size("subclaims").alias("n_claims"), half_even(F.aggregate("subclaims", F.lit(0.0), lambda a, x: a + x["weight"]), 6).alias("weight"), half_even(F.aggregate("subclaims", F.lit(0.0), lambda a, x: a - x["weight"] * F.log2(x["weight"])), 6).alias("entropy"), F.aggregate("subclaims", F.lit(0), lambda a, x: a + F.size(F.split(x["claim"], r"\s+"))).alias("n_words"))
+    return split_claims(notes(spark, sf_dir).select("interpretation_id", "interpretation")).select("interpretation_id", F.size("subclaims").alias("n_claims"), half_even(F.aggregate("subclaims", F.lit(0.0), lambda a, x: a + x["weight"]), 6).alias("weight"), half_even(F.aggregate("subclaims", F.lit(0.0), lambda a, x: a - x["weight"] * F.log2(x["weight"])), 6).alias("entropy"), F.aggregate("subclaims", F.lit(0), lambda a, x: a + F.size(F.split(x["claim"], r"\s+"))).alias("n_words"))
 
 
 @query("ag21_pair_scores")
 def ag21_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG21, UF02, UF03, JN12, JN21, MA05, MA06: every pair of readers of a passage scored from both readers' claims."""
-    m = moments(spark, sf_dir).filter(F.col("passage_id").isNotNull() & F.col("interpretation").rlike(r"\S"))
+    m = notes(spark, sf_dir).filter(F.col("passage_id").isNotNull() & F.col("interpretation").rlike(r"\S"))
     key = F.md5(F.concat_ws("|", "user_a", "user_b", "book_id", "passage_id"))
     return score_pairs(reader_pairs(m).withColumn("run_id", key), m)
 
@@ -83,4 +83,4 @@ def ag21_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn23_cached_claims")
 def jn23_cached_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN23, O7, SM06: latest claims per reader, passage and book; only texts without any are split."""
-    return cached_split(moments(spark, sf_dir))
+    return cached_split(notes(spark, sf_dir))

@@ -1,4 +1,4 @@
-"""Queries that serve readers: matches, threads, search, moments."""
+"""Queries that serve readers: matches, threads, search, notes."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ from marginalia.operators.search import nearest
 from marginalia.plans.profiling_queries import readers
 from marginalia.plans.ranking_queries import edges
 from marginalia.plans.registry import query, with_once
-from marginalia.plans.text_queries import moments
+from marginalia.plans.text_queries import notes
 from marginalia.tables import table
 
-BOTH = with_once("moments", "readers")
+BOTH = with_once("notes", "readers")
 _NAME = "CASE WHEN trim(concat_ws(' ', first_name, last_name)) = '' THEN 'Unknown' ELSE trim(concat_ws(' ', first_name, last_name)) END"
 
 
@@ -31,10 +31,10 @@ def jn04_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(names, "match_user", "left").select("user_id", "place", "run_id", "match_user", F.coalesce("match_name", F.lit("Unknown")).alias("match_name"), "confidence")
 
 
-@query("jn06_moment_cards", f"{BOTH} SELECT m.interpretation_id, b.title, {_NAME.replace('first_name', 'u.first_name').replace('last_name', 'u.last_name')} AS reader, u.readername FROM moments m JOIN books b ON m.book_id = b.book_id JOIN readers u ON m.user_id = u.user_id WHERE NOT m.is_deleted")
-def jn06_moment_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN02, JN03, JN06, FLT30: live moments with book and reader."""
-    m = moments(spark, sf_dir).filter(~F.col("is_deleted")).select("interpretation_id", "book_id", "user_id")
+@query("jn06_note_cards", f"{BOTH} SELECT m.interpretation_id, b.title, {_NAME.replace('first_name', 'u.first_name').replace('last_name', 'u.last_name')} AS reader, u.readername FROM notes m JOIN books b ON m.book_id = b.book_id JOIN readers u ON m.user_id = u.user_id WHERE NOT m.is_deleted")
+def jn06_note_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN02, JN03, JN06, FLT30: live notes with book and reader."""
+    m = notes(spark, sf_dir).filter(~F.col("is_deleted")).select("interpretation_id", "book_id", "user_id")
     u = readers(spark, sf_dir).select("user_id", display_name().alias("reader"), "readername")
     return m.join(table(spark, sf_dir, "books").select("book_id", "title"), "book_id").join(u, "user_id").select("interpretation_id", "title", "reader", "readername")
 
@@ -54,11 +54,11 @@ def ag48_thread_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("thread_id").agg(F.count_if(F.col("msg_type") == "shared").alias("cards"), F.count_if(F.col("msg_type") == "whisper").alias("texts"), F.count_distinct("interpretation_id").alias("shared"))
 
 
-@query("jn13_shared_moments", f"{with_once('messages', 'moments')} SELECT s.message_id, m.interpretation_id IS NOT NULL AS resolved FROM messages s LEFT JOIN moments m ON s.interpretation_id = m.interpretation_id WHERE s.msg_type = 'shared'")
-def jn13_shared_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN13, PRJ16: shared moments, and whether they can be resolved."""
+@query("jn13_shared_notes", f"{with_once('messages', 'notes')} SELECT s.message_id, m.interpretation_id IS NOT NULL AS resolved FROM messages s LEFT JOIN notes m ON s.interpretation_id = m.interpretation_id WHERE s.msg_type = 'shared'")
+def jn13_shared_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN13, PRJ16: shared notes, and whether they can be resolved."""
     s = latest(table(spark, sf_dir, "whisper_messages"), ["message_id"], "ingested_at").filter("msg_type = 'shared'").select("message_id", "interpretation_id")
-    known = moments(spark, sf_dir).select("interpretation_id", F.lit(True).alias("k"))
+    known = notes(spark, sf_dir).select("interpretation_id", F.lit(True).alias("k"))
     return s.join(known, "interpretation_id", "left").select("message_id", F.coalesce("k", F.lit(False)).alias("resolved"))
 
 
@@ -90,12 +90,12 @@ def flt23_profile_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "compat_runs").filter((c("think_r") > 45) | (c("feel_c") > 25)).select("run_id", (c("think_r") > 45).alias("by_thought"), (c("feel_c") > 25).alias("by_feeling"), ((c("think_r") > c("think_c")) & (c("think_r") > c("think_d"))).alias("strictly_r"))
 
 
-@query("flt28_constraints", f"{with_once('messages', 'moments')} SELECT 'short text' AS \"constraint\", count(*) FILTER (length(interpretation) < 12) AS violations FROM moments UNION ALL SELECT 'content or moment', count(*) FILTER ((content IS NULL) = (interpretation_id IS NULL)) FROM messages UNION ALL SELECT 'self pair', (SELECT count(*) FILTER (user_a = user_b) FROM compat_runs) UNION ALL SELECT 'pair order', (SELECT count(*) FILTER (user_a > user_b) FROM compat_runs)")
+@query("flt28_constraints", f"{with_once('messages', 'notes')} SELECT 'short text' AS \"constraint\", count(*) FILTER (length(interpretation) < 12) AS violations FROM notes UNION ALL SELECT 'content or note', count(*) FILTER ((content IS NULL) = (interpretation_id IS NULL)) FROM messages UNION ALL SELECT 'self pair', (SELECT count(*) FILTER (user_a = user_b) FROM compat_runs) UNION ALL SELECT 'pair order', (SELECT count(*) FILTER (user_a > user_b) FROM compat_runs)")
 def flt28_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT28: rows that break the declared constraints."""
     m = latest(table(spark, sf_dir, "whisper_messages"), ["message_id"], "ingested_at")
     r = table(spark, sf_dir, "compat_runs")
-    rules = (("short text", moments(spark, sf_dir), F.length("interpretation") < 12), ("content or moment", m, F.col("content").isNull() == F.col("interpretation_id").isNull()), ("self pair", r, F.col("user_a") == F.col("user_b")), ("pair order", r, F.col("user_a") > F.col("user_b")))
+    rules = (("short text", notes(spark, sf_dir), F.length("interpretation") < 12), ("content or note", m, F.col("content").isNull() == F.col("interpretation_id").isNull()), ("self pair", r, F.col("user_a") == F.col("user_b")), ("pair order", r, F.col("user_a") > F.col("user_b")))
     out = None
     for name, df, broken in rules:
         row = df.agg(F.count_if(broken).alias("violations")).select(F.lit(name).alias("constraint"), "violations")

@@ -11,18 +11,18 @@ from marginalia.operators.dedup import latest
 from marginalia.plans.registry import query, with_once
 from marginalia.tables import table
 
-MOMENTS = with_once("moments")
+NOTES = with_once("notes")
 #: Limits of the validation and issue stages.
 MIN_WORDS, MAX_WORDS, MIN_CHARS, THRESHOLD, CAPS, PUNCT, RUN, TOP_WORD, PROFANE = 10, 600, 50, 0.5, 0.5, 0.1, 4, 0.3, 0.3
 
 
-def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpretations, each once."""
     return latest(table(spark, sf_dir, "interpretations"), ["interpretation_id"], "ingested_at")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments(spark, sf_dir).select("interpretation_id", F.col("interpretation").alias("text"))
+    return notes(spark, sf_dir).select("interpretation_id", F.col("interpretation").alias("text"))
 
 
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def each_once(measured: DataFrame) -> DataFrame:
-    """One row per moment of what was worked out per delivery: the texts themselves are never shuffled."""
+    """One row per note of what was worked out per delivery: the texts themselves are never shuffled."""
     return latest(measured, ["interpretation_id"], "ingested_at").drop("ingested_at")
 
 
@@ -42,15 +42,15 @@ def tx01_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tx02_ids",
-    f"""{MOMENTS} SELECT interpretation_id, concat('moment_', substr(md5(concat(user_id, coalesce(passage_id, ''), substr(coalesce(interpretation, ''), 1, 100))), 1, 8)) AS moment_key,
-    concat('user_', substr(md5(user_id), 1, 8)) AS user_key FROM moments""",
+    f"""{NOTES} SELECT interpretation_id, concat('note_', substr(md5(concat(user_id, coalesce(passage_id, ''), substr(coalesce(interpretation, ''), 1, 100))), 1, 8)) AS note_key,
+    concat('user_', substr(md5(user_id), 1, 8)) AS user_key FROM notes""",
 )
 def tx02_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX02, TX03: deterministic ids."""
     c = F.col
-    return moments(spark, sf_dir).select(
+    return notes(spark, sf_dir).select(
         "interpretation_id",
-        F.concat(F.lit("moment_"), X.short_md5(F.concat("user_id", F.coalesce("passage_id", F.lit("")), F.substring(F.coalesce("interpretation", F.lit("")), 1, 100)))).alias("moment_key"),
+        F.concat(F.lit("note_"), X.short_md5(F.concat("user_id", F.coalesce("passage_id", F.lit("")), F.substring(F.coalesce("interpretation", F.lit("")), 1, 100)))).alias("note_key"),
         F.concat(F.lit("user_"), X.short_md5(c("user_id"))).alias("user_key"),
     )
 
@@ -59,7 +59,7 @@ def tx02_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tx04_passage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX04: the passage is cut before it is lowered and trimmed. No SQL: engines lower some letters differently."""
     key = F.sha2(F.concat(F.coalesce("book_id", F.lit("")), F.lit("|"), F.trim(F.lower(F.substring("passage", 1, 200)))), 256)
-    return moments(spark, sf_dir).select("interpretation_id", F.substring(key, 1, 32).alias("passage_key"))
+    return notes(spark, sf_dir).select("interpretation_id", F.substring(key, 1, 32).alias("passage_key"))
 
 
 @query("tx05_run_ids", "SELECT run_id, concat('run_', substr(md5(concat_ws('|', least(user_a, user_b), greatest(user_a, user_b), book_id, passage_id)), 1, 16)) AS pair_run, concat(least(user_a, user_b), '__', greatest(user_a, user_b)) AS pair_key FROM compat_runs")
@@ -79,14 +79,14 @@ def tx07_latin1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(translate(translate(interpretation, chr(8203)||chr(8204)||chr(8205)||chr(65279), ''), '‘’‚“”„–—'||chr(160), '''''''"""+'"""'+r"""-- '), '…', '...'), '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[EMAIL REMOVED]', 'g'), chr(9), ' '), chr(13)||chr(10), chr(10)), chr(13), chr(10)), ' {2,}', ' ', 'g'), chr(10)||'{3,}', chr(10)||chr(10), 'g'), ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"""
 
 
-@query("tx08_clean", f"{MOMENTS} SELECT interpretation_id, {_CLEAN_SQL} AS cleaned FROM moments WHERE interpretation IS NOT NULL")
+@query("tx08_clean", f"{NOTES} SELECT interpretation_id, {_CLEAN_SQL} AS cleaned FROM notes WHERE interpretation IS NOT NULL")
 def tx08_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX08, TX10, TX11, TX37: signs, e-mail addresses and white space."""
     t = texts(spark, sf_dir).filter(F.col("text").isNotNull())
     return t.select("interpretation_id", X.even_space(X.without_emails(X.plain_signs(F.col("text")))).alias("cleaned"))
 
 
-@query("tx09_nfc", f"{MOMENTS} SELECT interpretation_id, length(nfc_normalize(interpretation)) AS nfc_length, md5(nfc_normalize(interpretation)) AS nfc_md5 FROM moments WHERE NOT regexp_full_match(interpretation, '[\\x00-\\x7F]*')")
+@query("tx09_nfc", f"{NOTES} SELECT interpretation_id, length(nfc_normalize(interpretation)) AS nfc_length, md5(nfc_normalize(interpretation)) AS nfc_md5 FROM notes WHERE NOT regexp_full_match(interpretation, '[\\x00-\\x7F]*')")
 def tx09_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX09, UF06: canonical composition of the texts that aren't ASCII."""
 
@@ -103,7 +103,7 @@ _PARTS = r"list_filter(string_split(regexp_replace(regexp_replace(interpretation
 
 @query(
     "tx12_measures",
-    rf"""{MOMENTS}, m AS (SELECT interpretation_id, interpretation, len(regexp_extract_all(interpretation, '\S+')) AS wc, greatest(len({_PARTS}), 1) AS sc FROM moments WHERE regexp_matches(interpretation, '\S'))
+    rf"""{NOTES}, m AS (SELECT interpretation_id, interpretation, len(regexp_extract_all(interpretation, '\S+')) AS wc, greatest(len({_PARTS}), 1) AS sc FROM notes WHERE regexp_matches(interpretation, '\S'))
     SELECT interpretation_id, CAST(wc AS INTEGER) AS word_count, CAST(length(replace(replace(interpretation, ' ', ''), chr(10), '')) AS INTEGER) AS char_count, CAST(sc AS INTEGER) AS sentence_count,
     round_even(CAST(length(regexp_replace(interpretation, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / wc, 2) AS avg_word_length, round_even(CAST(wc AS DOUBLE) / sc, 2) AS avg_sentence_length FROM m""",
 )
@@ -130,7 +130,7 @@ def validated(t: DataFrame, language: Column | None = None) -> DataFrame:
 
 @query(
     "tx16_validation",
-    rf"""{MOMENTS}, m AS (SELECT interpretation_id, coalesce(interpretation, '') AS x FROM moments), f AS (SELECT interpretation_id, len(regexp_extract_all(x, '\S+')) AS wc, length(replace(x, ' ', '')) AS ch,
+    rf"""{NOTES}, m AS (SELECT interpretation_id, coalesce(interpretation, '') AS x FROM notes), f AS (SELECT interpretation_id, len(regexp_extract_all(x, '\S+')) AS wc, length(replace(x, ' ', '')) AS ch,
     len(regexp_extract_all(x, '\p{{L}}')) AS letters, len(regexp_extract_all(lower(x), '[aeiou]')) AS vowels FROM m),
     g AS (SELECT *, wc = 0 AS e, wc < 10 AS s, wc > 600 AS l, ch < 50 AS c, letters >= 10 AND (CAST(vowels AS DOUBLE) / letters < 0.15 OR CAST(vowels AS DOUBLE) / letters > 0.6) AS o FROM f)
     SELECT interpretation_id, CAST(wc AS INTEGER) AS word_count, CASE WHEN e THEN 'empty_text' ELSE concat_ws(',', CASE WHEN s THEN 'too_short' END, CASE WHEN l THEN 'too_long' END, CASE WHEN c THEN 'too_few_chars' END, CASE WHEN o THEN 'gibberish_detected' END) END AS issues,
@@ -160,7 +160,7 @@ _HITS = ", ".join(f"len(list_intersect({_WORDS}, string_split('{w}', ' '))) AS {
 _CASES = " ".join(f"WHEN {k} = m AND m > 0 THEN '{k}'" for k in FREQUENT)
 
 
-@query("tx15_language", f"{MOMENTS}, h AS (SELECT interpretation_id, interpretation, {_HITS} FROM moments WHERE interpretation IS NOT NULL), g AS (SELECT *, greatest({', '.join(FREQUENT)}) AS m FROM h) SELECT interpretation_id, CASE WHEN length(interpretation) < 20 THEN 'en' {_CASES} ELSE 'unknown' END AS language FROM g")
+@query("tx15_language", f"{NOTES}, h AS (SELECT interpretation_id, interpretation, {_HITS} FROM notes WHERE interpretation IS NOT NULL), g AS (SELECT *, greatest({', '.join(FREQUENT)}) AS m FROM h) SELECT interpretation_id, CASE WHEN length(interpretation) < 20 THEN 'en' {_CASES} ELSE 'unknown' END AS language FROM g")
 def tx15_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX15, UF04: the stage's plain guess (the trained model is a separate package)."""
     return each_once(raw_texts(spark, sf_dir).filter(F.col("text").isNotNull()).select("interpretation_id", "ingested_at", guessed_language(F.col("text")).alias("language")))
@@ -168,7 +168,7 @@ def tx15_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tx20_issues",
-    rf"""{MOMENTS}, m AS (SELECT interpretation_id, coalesce(interpretation, '') AS x FROM moments), f AS (SELECT interpretation_id, x, list_filter(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'), lambda q: regexp_full_match(q, '[a-z]+')) AS w FROM m)
+    rf"""{NOTES}, m AS (SELECT interpretation_id, coalesce(interpretation, '') AS x FROM notes), f AS (SELECT interpretation_id, x, list_filter(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'), lambda q: regexp_full_match(q, '[a-z]+')) AS w FROM m)
     SELECT interpretation_id, regexp_matches(x, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b') AS has_email, regexp_matches(x, '\b\d{{3}}[-\s]\d{{2}}[-\s]\d{{4}}\b') AS has_ssn,
     regexp_matches(x, '\b\d{{4}}[\s\-]?\d{{4}}[\s\-]?\d{{4}}[\s\-]?\d{{4}}\b') AS has_card, len(list_filter(regexp_extract_all(x, '(\+?1?\s?)?(\(?\d{{3}}\)?[\s.\-]?)(\d{{3}}[\s.\-]?\d{{4}})'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 10)) > 0 AS has_phone,
     round_even(CAST(len(list_filter(w, lambda t: t IN ({', '.join(repr(p) for p in X.PROFANITY)}))) AS DOUBLE) / greatest(len(w), 1), 4) AS profanity_ratio,

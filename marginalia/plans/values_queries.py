@@ -12,8 +12,8 @@ from marginalia.plans.text_queries import each_once
 from marginalia.tables import table
 
 
-@query("src10_daily_moments", f"{with_once('moments')} SELECT interpretation_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(len(regexp_extract_all(interpretation, '\\S+')) AS INTEGER) AS word_count FROM moments WHERE NOT is_deleted AND trim(interpretation) <> ''")
-def src10_daily_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("src10_daily_notes", f"{with_once('notes')} SELECT interpretation_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(len(regexp_extract_all(interpretation, '\\S+')) AS INTEGER) AS word_count FROM notes WHERE NOT is_deleted AND trim(interpretation) <> ''")
+def src10_daily_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC10, SRC22, SRC25, PRJ13: live texts with their day and length."""
     t = table(spark, sf_dir, "interpretations").filter(~F.col("is_deleted") & (F.trim("interpretation") != ""))
     return each_once(t.select("interpretation_id", "ingested_at", F.to_date("created_at").cast("string").alias("day"), X.word_count(F.col("interpretation")).alias("word_count")))
@@ -93,11 +93,11 @@ def ma12_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "compat_runs").select("run_id", half_even(ratio(F.col("think_c"), F.col("think_r")), 6).alias("c_of_r"), half_even(ratio(F.col("feel_c"), F.greatest("feel_r", F.lit(1))), 6).alias("guarded"))
 
 
-@query("prj07_two_outputs", f"{with_once('moments')} SELECT 'moments' AS output, count(*) AS n FROM moments UNION ALL SELECT 'passages', count(DISTINCT passage_id) FROM moments")
+@query("prj07_two_outputs", f"{with_once('notes')} SELECT 'notes' AS output, count(*) AS n FROM notes UNION ALL SELECT 'passages', count(DISTINCT passage_id) FROM notes")
 def prj07_two_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ07: two outputs of one pass."""
-    m = latest(table(spark, sf_dir, "interpretations"), ["interpretation_id"], "ingested_at").agg(F.count("*").alias("moments"), F.count_distinct("passage_id").alias("passages"))
-    return m.unpivot([], ["moments", "passages"], "output", "n")
+    m = latest(table(spark, sf_dir, "interpretations"), ["interpretation_id"], "ingested_at").agg(F.count("*").alias("notes"), F.count_distinct("passage_id").alias("passages"))
+    return m.unpivot([], ["notes", "passages"], "output", "n")
 
 
 @query("st11_distinct_in_order")
