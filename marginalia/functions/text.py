@@ -155,3 +155,15 @@ def trailing_number(x: Column) -> Column:
 def whole_number(x: Column) -> Column:
     """int(float(x)) of dirty text; 0 where it is none."""
     return F.coalesce(x.try_cast("double").try_cast("int"), F.lit(0))
+
+
+def paragraphs(x: Column, longer_than: int) -> Column:
+    """The paragraphs of more than so many characters, parted by blank lines."""
+    return F.filter(F.split(x, r"\n\n+"), lambda p: F.length(p) > longer_than)
+
+
+def issue_texts(words: Column, chars: Column, min_words: int, max_words: int, min_chars: int) -> Column:
+    """A text's issues with their numbers: too short or too long, and, apart from it, too few characters."""
+    n, c = words.cast("string"), chars.cast("string")
+    length = F.when(words < min_words, F.concat(F.lit("too_short: "), n, F.lit(f" words (min {min_words})"))).when(words > max_words, F.concat(F.lit("too_long: "), n, F.lit(f" words (max {max_words})")))
+    return F.array_compact(F.array(length, F.when(chars < min_chars, F.concat(F.lit("too_few_chars: "), c))))

@@ -144,7 +144,7 @@ def jn11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn12_both_sides", "SELECT c.run_id, a.readername AS name_a, b.readername AS name_b FROM compat_runs c JOIN (SELECT user_id, any_value(readername) AS readername FROM users GROUP BY 1) a ON c.user_a = a.user_id JOIN (SELECT user_id, any_value(readername) AS readername FROM users GROUP BY 1) b ON c.user_b = b.user_id")
 def jn12_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN12, SRC24: runs with both readers."""
+    """JN12: runs with both readers."""
     u = readers(spark, sf_dir)
     side = lambda s: u.select(F.col("user_id").alias(f"user_{s}"), F.col("readername").alias(f"name_{s}"))
     return table(spark, sf_dir, "compat_runs").join(side("a"), "user_a").join(side("b"), "user_b").select("run_id", "name_a", "name_b")
@@ -171,7 +171,7 @@ def st07_unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sl03_recent_threads", f"{with_once('messages')}, t AS (SELECT thread_id, max(created_at) AS last, max(read_at) AS seen FROM messages GROUP BY thread_id) SELECT thread_id, CAST(epoch_us(last) AS BIGINT) AS last_us FROM t ORDER BY last DESC NULLS LAST, thread_id LIMIT 50")
 def sl03_recent_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SL01-SL03, SL09-SL12, O24: a top-k report; only k rows of each task are sent on."""
+    """SL02, SL03, O24: a top-k report; only k rows of each task are sent on."""
     m = latest(table(spark, sf_dir, "whisper_messages"), ["message_id"], "ingested_at")
     return m.groupBy("thread_id").agg(F.max("created_at").alias("last")).orderBy(F.desc_nulls_last("last"), "thread_id").limit(50).select("thread_id", F.unix_micros("last").alias("last_us"))
 

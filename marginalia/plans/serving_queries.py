@@ -56,7 +56,7 @@ def ag48_thread_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn13_shared_notes", f"{with_once('messages', 'notes')} SELECT s.message_id, m.interpretation_id IS NOT NULL AS resolved FROM messages s LEFT JOIN notes m ON s.interpretation_id = m.interpretation_id WHERE s.msg_type = 'shared'")
 def jn13_shared_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN13, PRJ16: shared notes, and whether they can be resolved."""
+    """JN13: shared notes, and whether they can be resolved."""
     s = latest(table(spark, sf_dir, "whisper_messages"), ["message_id"], "ingested_at").filter("msg_type = 'shared'").select("message_id", "interpretation_id")
     known = notes(spark, sf_dir).select("interpretation_id", F.lit(True).alias("k"))
     return s.join(known, "interpretation_id", "left").select("message_id", F.coalesce("k", F.lit(False)).alias("resolved"))
@@ -71,7 +71,7 @@ def ag37_match_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt21_book_search", "SELECT book_id, title FROM books WHERE contains(lower(title), 'harbour') OR contains(lower(author), 'harbour') ORDER BY title, book_id LIMIT 8")
 def flt21_book_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT20, FLT21, SL08: the first eight books that hold a word."""
+    """FLT20, FLT21: the first eight books that hold a word."""
     word = F.lit("harbour")
     return table(spark, sf_dir, "books").filter(F.contains(F.lower("title"), word) | F.contains(F.lower("author"), word)).orderBy("title", "book_id").limit(8).select("book_id", "title")
 
@@ -105,7 +105,7 @@ def flt28_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt24_unseen", "SELECT DISTINCT user_b AS user_id FROM compat_runs WHERE user_b NOT IN (SELECT user_a FROM compat_runs WHERE user_a IS NOT NULL)")
 def flt24_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT24, ST12, ST13, JN17."""
+    """FLT24, ST12, JN17."""
     r = table(spark, sf_dir, "compat_runs")
     return r.select(F.col("user_b").alias("user_id")).distinct().join(r.select(F.col("user_a").alias("user_id")), "user_id", "left_anti")
 

@@ -83,7 +83,7 @@ _LINES = r"SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHE
 
 @query("src19_log_lines", rf"WITH l AS ({_LINES}), p AS (SELECT regexp_extract(line, '^\s*\[(\d{{2}}:\d{{2}}:\d{{2}})\]\s+(\w+)\s+(\S+)\s+rc=(\d+)', ['t', 'level', 'task', 'rc']) AS x FROM l WHERE regexp_matches(line, '^\s*\[(\d{{2}}:\d{{2}}:\d{{2}})\]\s+(\w+)\s+(\S+)\s+rc=(\d+)')) SELECT string_split(x.task, '.')[1] AS task, x.level AS level, count(*) AS n, CAST(sum(CAST(x.rc AS INTEGER)) AS BIGINT) AS rc FROM p GROUP BY 1, 2")
 def src19_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC19, AG43, AG44, TX34: log lines by task and level."""
+    """SRC19, AG43: log lines by task and level."""
     lines = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"rc=\d")).select(F.explode(F.split("text", "\n")).alias("value"))
     return parse_log_lines(lines).groupBy("task", "level").agg(F.count("*").alias("n"), F.sum("rc").alias("rc"))
 

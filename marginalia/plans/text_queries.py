@@ -216,7 +216,7 @@ def flt14_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx29_author_names", "SELECT book_id, trim(regexp_replace(author, '^([^,]*),\\s*(.*)$', '\\2 \\1')) AS author_name, CASE WHEN title = upper(title) THEN 'capitals' ELSE 'mixed' END AS title_case FROM books")
 def tx29_author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX29, TX31: names in natural order, and how the title is written."""
+    """TX29: names in natural order, and how the title is written."""
     return table(spark, sf_dir, "books").select("book_id", X.natural_name(F.col("author")).alias("author_name"), F.when(F.col("title") == F.upper("title"), "capitals").otherwise("mixed").alias("title_case"))
 
 
@@ -228,7 +228,7 @@ def tx30_trailing_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx35_book_pages", f"SELECT page_id, CAST(len(list_filter(string_split(content, chr(10)||chr(10)), lambda p: length(p) > 60)) AS INTEGER) AS paragraphs FROM book_pages")
 def tx35_book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC21, TX35, TX46: paragraphs that are long enough, of each page."""
+    """TX35: paragraphs that are long enough, of each page."""
     return table(spark, sf_dir, "book_pages").select("page_id", F.size(F.filter(F.split("content", "\n\n"), lambda p: F.length(p) > 60)).alias("paragraphs"))
 
 
@@ -241,7 +241,7 @@ def tx36_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx44_compact_counts", "SELECT book_id, count(*) AS n, CASE WHEN count(*) >= 1000 THEN concat(CAST(count(*) // 1000 AS VARCHAR), '.', CAST((count(*) % 1000) // 100 AS VARCHAR), 'k') ELSE CAST(count(*) AS VARCHAR) END AS shown FROM documents GROUP BY book_id")
 def tx44_compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX44, TX42: counts as they are shown; cut, not rounded."""
+    """TX44: counts as they are shown; cut, not rounded."""
     n = F.col("n")
     shown = F.when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.floor((n % 1000) / 100).cast("string"), F.lit("k"))).otherwise(n.cast("string"))
     return table(spark, sf_dir, "documents").groupBy("book_id").agg(F.count("*").alias("n")).withColumn("shown", shown)

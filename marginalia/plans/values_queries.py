@@ -14,7 +14,7 @@ from marginalia.tables import table
 
 @query("src10_daily_notes", f"{with_once('notes')} SELECT interpretation_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(len(regexp_extract_all(interpretation, '\\S+')) AS INTEGER) AS word_count FROM notes WHERE NOT is_deleted AND trim(interpretation) <> ''")
 def src10_daily_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC10, SRC22, SRC25, PRJ13: live texts with their day and length."""
+    """SRC10, PRJ13: live texts with their day and length."""
     t = table(spark, sf_dir, "interpretations").filter(~F.col("is_deleted") & (F.trim("interpretation") != ""))
     return each_once(t.select("interpretation_id", "ingested_at", F.to_date("created_at").cast("string").alias("day"), X.word_count(F.col("interpretation")).alias("word_count")))
 
@@ -71,7 +71,7 @@ def flt19_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt27_own_threads", f"{with_once('messages')} SELECT message_id FROM messages WHERE thread_id IN (SELECT thread_id FROM messages WHERE sender_id = (SELECT min(sender_id) FROM messages))")
 def flt27_own_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT27, SRC26: messages of the threads that a reader is a member of."""
+    """FLT27: messages of the threads that a reader is a member of."""
     m = latest(table(spark, sf_dir, "whisper_messages"), ["message_id"], "ingested_at").select("message_id", "thread_id", "sender_id")
     who = m.agg(F.min("sender_id")).first()[0]
     return m.join(m.filter(F.col("sender_id") == F.lit(who)).select("thread_id").distinct(), "thread_id", "left_semi").select("message_id")
