@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from marginalia.operators.order import order_statistics
+from marginalia.session import cut_lineage
 
-def nearest_rank_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> dict[str, dict[str, float] | None]:
-    """Outlier bounds from the order statistics n // 4 and 3n // 4 of the positive values; None without any.
 
-    The two order statistics come from a count and percentile_disc-like picks over
-    value counts, so no task holds all values of a column: the distinct values are
-    ranked by range partitions through exact percentiles.
-    """
+def nearest_rank_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> dict[str, dict[str, float] | None]:
+    """Outlier bounds from the order statistics n // 4 and 3n // 4 of the positive values; None without any."""
     out: dict[str, dict[str, float] | None] = {}
     counts = df.agg(*(F.count_if(F.col(c) > 0).alias(c) for c in columns)).first()
-    live = [c for c in columns if counts[c]]
-    picks = []
-    for c in live:
-        n = counts[c]
-        v = F.when(F.col(c) > 0, F.col(c).cast("double"))
-        # percentile() interpolates at (n - 1) * p; at p = k / (n - 1) it is the k-th order statistic
-        picks += [F.percentile(v, min(1.0, k / max(n - 1, 1))).alias(f"{c}_{q}") for q, k in (("q1", n // 4), ("q3", 3 * n // 4))]
-    row = df.agg(*picks).first() if picks else {}
     for c in columns:
-        if c not in live:
+        n = counts[c]
+        if not n:
             out[c] = None
             continue
-        q1, q3 = round(row[f"{c}_q1"], 9), round(row[f"{c}_q3"], 9)
+        q1, q3 = order_statistics(df, F.when(F.col(c) > 0, F.col(c)), [n // 4, 3 * n // 4])
         out[c] = {"q1": q1, "q3": q3, "iqr": q3 - q1, "lower": q1 - multiplier * (q3 - q1), "upper": q3 + multiplier * (q3 - q1)}
     return out
 
@@ -44,56 +37,85 @@ def outside(c: Column, bounds: dict[str, float] | None) -> Column:
     return F.lit(False) if bounds is None else (c > 0) & ((c < bounds["lower"]) | (c > bounds["upper"]))
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str, least_df: int = 2) -> DataFrame:
-    """(id, term, weight): words of two letters and more, smooth idf, each text's weights of length 1."""
-    n = df.count()
-    terms = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
-    raw = tf.join(df_, "term").withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+def terms_of(x: Column, stop_words: Sequence[str] = (), pairs: bool = True) -> Column:
+    """A text's words of two letters and more without the stop words, and the pairs of neighbours among what is left."""
+    w = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    if stop_words:
+        w = F.filter(w, lambda t: ~t.isin(*stop_words))
+    if not pairs:
+        return w
+    return F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def shingle_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, class_id): equal texts share a class, named by the least id of its members."""
-    keyed = df.select(id_col, F.sha2(text_col, 256).alias("h"))
-    names = keyed.groupBy("h").agg(F.min(id_col).alias("class_id"))
-    return keyed.join(names, "h").select(id_col, "class_id")
+def term_features(terms: DataFrame, least_df: int, features: int) -> DataFrame:
+    """(term, df, idx): of the terms in `least_df` texts and more the `features` most frequent ones, ties by the term, numbered from rare to common. At most `features` rows."""
+    seen = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= least_df)
+    top = seen.orderBy(F.desc("cf"), "term").limit(features)
+    return top.select("term", "df", F.row_number().over(W.orderBy("df", "term")).alias("idx"))
+
 
+def tfidf(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), least_df: int = 2, features: int = 5000) -> DataFrame:
+    """(id, term, idx, df, weight): words and pairs of them, smooth idf, each text's weights of length 1.
 
-def similar_texts(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, n_links, first_link) of every text that isn't null.
+    A null text has no terms and counts as a text. Only the features, a bounded number,
+    are sent to the tasks; a text's terms are counted before they are shuffled.
+    """
+    n = df.count()
+    terms = df.select(id_col, F.explode(terms_of(F.col(text_col), stop_words)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    kept = terms.join(F.broadcast(cut_lineage(term_features(terms, least_df, features))), "term")
+    raw = kept.withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
+    return raw.select(id_col, "term", "idx", "df", (F.col("w") / norm).alias("weight"))
 
-    Copies share a class and are compared once. Two classes are linked if their sets
-    of `words`-word shingles have a Jaccard similarity of `threshold` or more.
-    Candidates share a shingle of their prefixes: shingles are ordered from rare to
-    frequent, and the first n - ceil(threshold * n) + 1 of each set suffice, so that
-    no linked pair is lost and frequent shingles are hardly ever used. Texts with
-    fewer words are one shingle.
+
+def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, other): equal texts share a class named by the least id of its members; `other` is the least of the other ids."""
+    keyed = df.select(id_col, F.sha2(text_col, 256).alias("h"))
+    names = keyed.groupBy("h").agg(F.min(id_col).alias("class_id"))
+    keyed = keyed.join(names, "h")
+    second = keyed.filter(F.col(id_col) != F.col("class_id")).groupBy("class_id").agg(F.min(id_col).alias("second"))
+    return keyed.join(second, "class_id", "left").select(id_col, "class_id", F.when(F.col(id_col) == F.col("class_id"), F.col("second")).otherwise(F.col("class_id")).alias("other"))
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ia, ib, similarity) of rows (ia, ib, ta, wa, tb, wb): the products of common terms of a whole batch at once."""
+    for b in batches:
+        flat = []
+        for t, w in ((2, 3), (4, 5)):
+            terms, weights = b.column(t), b.column(w)
+            row = np.repeat(np.arange(b.num_rows, dtype=np.int64), np.diff(terms.offsets.to_numpy()))
+            flat.append((row << 32 | terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)))
+        (ka, wa), (kb, wb) = flat
+        common, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(common >> 32, wa[i] * wb[j], b.num_rows))], names=["ia", "ib", "similarity"])
+
+
+def similar_texts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), threshold: float = 0.85, features: int = 5000, crowd: int = 2000) -> DataFrame:
+    """(id, class_id, n_links, first_match) of every text that isn't null: first_match is the least other id at least `threshold` similar by the cosine of term weights.
+
+    Copies share a class and are compared once; `n_links` counts the other classes
+    similar to it. Two unit vectors of so high a cosine share a term of their
+    prefixes: with the terms in order from rare to common, the rest of a vector behind
+    its prefix is shorter than the threshold, so their rarest common term can't lie
+    there. No linked pair is lost and common terms hardly count. A term of more than
+    `crowd` texts is split by a salt. Texts without features are similar to none.
     """
-    from marginalia.session import cut_lineage
-
-    classes = cut_lineage(shingle_classes(df.filter(F.col(text_col).isNotNull()), id_col, text_col))
-    reps = df.join(classes.filter(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias(id_col)), id_col, "left_semi")
-    w = F.regexp_extract_all(F.lower(text_col), F.lit(r"\S+"), F.lit(0))
-    k = F.greatest(F.size("w") - words + 1, F.lit(1))
-    hashed = F.array_distinct(F.transform(F.sequence(F.lit(1), k), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, words), " "))))
-    sets = reps.select(F.col(id_col).alias("id"), w.alias("w")).filter(F.size("w") > 0).select("id", hashed.alias("s"))
-    sets = cut_lineage(sets)
-    single = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    frequency = single.groupBy("h").agg(F.count("*").alias("f"))
-    # a shingle of only one text links nothing, but keeps its place in the order
-    ordered = single.join(frequency, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
-    need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int")
-    prefix = ordered.select("id", "n", F.posexplode(F.slice("o", 1, F.col("n") - need + 1)).alias("at", "x")).filter("x.f > 1").select("id", "n", "at", F.col("x.h").alias("h"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
-    # what can still be shared after the place of the common shingle bounds the overlap
-    room = 1 + F.least(F.col("a.n") - F.col("a.at") - 1, F.col("b.n") - F.col("b.at") - 1)
-    enough = room + F.least("a.at", "b.at") >= F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near & enough).select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.join(sets.select(F.col("id").alias("ia"), F.col("s").alias("sa")), "ia").join(sets.select(F.col("id").alias("ib"), F.col("s").alias("sb")), "ib").filter(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common) - 1e-9)
-    links = linked.select(F.explode(F.array(F.struct(F.col("ia").alias("class_id"), F.col("ib").alias("o")), F.struct(F.col("ib").alias("class_id"), F.col("ia").alias("o")))).alias("x")).select("x.*").groupBy("class_id").agg(F.count("*").alias("n_links"), F.min("o").alias("first_link"))
-    return classes.join(links, "class_id", "left").select(id_col, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_link")
+    classes = cut_lineage(copy_classes(df.filter(F.col(text_col).isNotNull()), id_col, text_col))
+    firsts = df.join(classes.filter(F.col(id_col) == F.col("class_id")).select(id_col), id_col, "left_semi")
+    v = tfidf(firsts, id_col, text_col, stop_words, features=features)
+    vectors = v.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", "df", "weight"))).alias("v"))
+    room = threshold * threshold - 1e-9
+    # how many of the commonest terms can be left out: their weights' squares sum to less than the threshold's
+    left_out = F.aggregate(F.reverse("v"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(True).alias("on")), lambda a, x: F.when(a["on"] & (a["s"] + x["weight"] * x["weight"] < room), F.struct((a["s"] + x["weight"] * x["weight"]).alias("s"), (a["k"] + 1).alias("k"), F.lit(True).alias("on"))).otherwise(F.struct(a["s"].alias("s"), a["k"].alias("k"), F.lit(False).alias("on"))), lambda a: a["k"])
+    vectors = cut_lineage(vectors.withColumn("left_out", left_out))
+    prefix = vectors.select("id", F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("left_out"))).alias("x")).select("id", F.col("x.idx").alias("idx"), F.ceil(F.col("x.df") / crowd).cast("int").alias("parts"))
+    a = prefix.select(F.col("id").alias("ia"), "idx", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
+    b = prefix.select(F.col("id").alias("ib"), "idx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    pairs = a.join(b, ["idx", "salt"]).filter("ia < ib").select("ia", "ib").distinct()
+    side = lambda n: vectors.select(F.col("id").alias(f"i{n}"), F.col("v.idx").alias(f"t{n}"), F.col("v.weight").alias(f"w{n}"))
+    kind = df.schema[id_col].dataType.simpleString()
+    both = pairs.join(side("a"), "ia").join(side("b"), "ib").select("ia", "ib", "ta", "wa", "tb", "wb")
+    linked = both.mapInArrow(_dots, f"ia {kind}, ib {kind}, similarity double").filter(F.col("similarity") >= threshold - 1e-9)
+    ends = linked.select(F.explode(F.array(F.struct(F.col("ia").alias("class_id"), F.col("ib").alias("o")), F.struct(F.col("ib").alias("class_id"), F.col("ia").alias("o")))).alias("x")).select("x.*")
+    links = ends.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min("o").alias("first_link"))
+    return classes.join(links, "class_id", "left").select(id_col, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("other", "first_link").alias("first_match"))

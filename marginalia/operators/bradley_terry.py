@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -9,132 +11,168 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marginalia.functions.rounding import half_even
 from marginalia.session import cut_lineage
 
-#: Steps and prior are those of survey H1; a fit whose strengths, of mean 1, move by less than TOLERANCE stops before.
-MIN_COMPARISONS, STEPS, PRIOR, TOLERANCE = 5, 200, 1e-3, 1e-10
+#: Prior of survey H1: so many votes won and lost by each item against one of strength 1. A fit ends where no log strength moves by TOLERANCE.
+MIN_COMPARISONS, PRIOR, TOLERANCE = 5, 1e-3, 1e-9
+#: Most steps of a fit and of the solution of each, and a step's largest move; a fit that needs more raises an error.
+STEPS, INNER, LONGEST = 100, 1000, 1.5
 #: Pairs of one fit up to which it is done in one task.
 GATHERED_PAIRS = 200_000
-#: Strengths that the driver holds and sends to the tasks at each step.
-SENT_STRENGTHS = 500_000
+#: Items up to which the strengths of a fit (8 bytes each) are held by the driver and sent to the tasks.
+SENT_ITEMS = 5_000_000
+
 
+def maximum(wins: np.ndarray, group: np.ndarray, sums: Callable[[np.ndarray, np.ndarray | None], np.ndarray], prior: float = PRIOR) -> np.ndarray:
+    """Log strengths at the maximum of the votes' likelihood with the prior, by Newton's method; each step is solved by conjugate gradients.
 
-def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray, steps: int = STEPS, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(items, strengths of sum 1) by the minorise-maximise iteration for weighted votes; the prior keeps separable data finite."""
+    `wins` are an item's weighted wins, `group` numbers the fit it belongs to: fits are
+    independent. The votes are seen only through `sums(t, None)`, the wins that each
+    item is expected to have at log strengths t, and `sums(t, v)`, the curvature's
+    product with v; both may be summed anywhere.
+    """
+    n, k = len(wins), int(group.max()) + 1 if len(group) else 0
+    dot = lambda x, y: np.bincount(group, x * y, k)
+    of = lambda x, y: np.divide(x, y, out=np.zeros(k), where=y > 0)[group]
+    t = np.zeros(n)
+    for _ in range(STEPS):
+        even = 1 / (1 + np.exp(-t))
+        slope = wins + prior - sums(t, None) - 2 * prior * even
+        bend = 2 * prior * even * (1 - even)
+        # the curvature's diagonal, bounded by the votes an item has, steers the gradients
+        scale = 1 / (bend + sums(t, np.zeros(0)))
+        x, r = np.zeros(n), slope.copy()
+        z = scale * r
+        p, rz = z.copy(), dot(r, z)
+        least = rz * 1e-18
+        for _ in range(INNER):
+            if not (rz > least).any():
+                break
+            q = sums(t, p) + bend * p
+            step = of(np.where(rz > least, rz, 0), dot(p, q))
+            x += step * p
+            r -= step * q
+            z = scale * r
+            new = dot(r, z)
+            p = z + of(new, rz) * p
+            rz = new
+        most = np.zeros(k)
+        np.maximum.at(most, group, np.abs(x))
+        t = t + x * np.minimum(1, LONGEST / np.maximum(most, 1e-300))[group]
+        if most.max(initial=0) < TOLERANCE:
+            return t
+    raise ArithmeticError("the strengths don't settle")
+
+
+def vote_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
+    """The sums that `maximum` needs of votes (winner a, loser b, weight); an empty `v` asks for the curvature's diagonal."""
+    p = 1 / (1 + np.exp(t[b] - t[a]))
+    if v is None:
+        return np.bincount(a, weight * p, n) + np.bincount(b, weight * (1 - p), n)
+    c = weight * p * (1 - p)
+    if not len(v):
+        return np.bincount(a, c, n) + np.bincount(b, c, n)
+    d = c * (v[a] - v[b])
+    return np.bincount(a, d, n) - np.bincount(b, d, n)
+
+
+def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, strengths of sum 1) at the maximum for weighted votes; the prior keeps separable data finite."""
     items, code = np.unique(np.concatenate([winner, loser]), return_inverse=True)
     a, b, n = code[: len(winner)], code[len(winner) :], len(items)
-    s = np.ones(n)
-    wins = np.bincount(a, weight, n) + prior
-    for _ in range(steps):
-        share = weight / (s[a] + s[b])
-        new = wins / (np.bincount(a, share, n) + np.bincount(b, share, n) + 2 * prior / (s + 1))
-        new /= new.mean()
-        if np.abs(new - s).max() < TOLERANCE:
-            break
-        s = new
+    t = maximum(np.bincount(a, weight, n), np.zeros(n, int), lambda t, v: vote_sums(a, b, weight, n, t, v))
+    s = np.exp(t - t.max(initial=0))
     return items, s / s.sum()
 
 
-def per_user_fit(votes: DataFrame, least: int = MIN_COMPARISONS, gathered: int = GATHERED_PAIRS, steps: int = STEPS) -> DataFrame:
+def counted(votes: DataFrame) -> DataFrame:
+    """(user_id, w, l, n): votes counted by user and pair, before anything is joined or gathered."""
+    return votes.groupBy("user_id", "w", "l").agg(F.count("*").alias("n"))
+
+
+def engagement(values: DataFrame) -> DataFrame:
+    """(user_id, run_id, engagement) from (user_id, run_id, value, at): the last value of each user and run; nulls are no values, ties go to the larger one."""
+    last = F.max(F.struct("at", "value"))["value"]
+    return values.filter(F.col("value").isNotNull()).groupBy("user_id", "run_id").agg(last.alias("engagement"))
+
+
+def run_engagement(own: DataFrame) -> DataFrame:
+    """(run_id, engagement): the largest over users."""
+    return own.groupBy("run_id").agg(F.max("engagement").alias("engagement"))
+
+
+def weighted(pairs: DataFrame, values: DataFrame | None, by: list[str]) -> DataFrame:
+    """Counted votes with their weight: 1 and the winner's engagement each; `by`: keys of `values` besides the run."""
+    if values is None:
+        return pairs.withColumn("weight", F.col("n").cast("double"))
+    joined = pairs.join(values.withColumnRenamed("run_id", "w"), [*by, "w"], "left")
+    return joined.withColumn("weight", F.col("n") * (1 + F.coalesce("engagement", F.lit(0.0)))).drop("engagement")
+
+
+def per_user_fit(pairs: DataFrame, least: int = MIN_COMPARISONS, gathered: int = GATHERED_PAIRS) -> DataFrame:
     """(user_id, run_id, bt_score, n_comparisons) of each user with at least `least` votes.
 
-    Votes (user_id, w, l, weight) are summed by user and pair first. Users with up to
-    `gathered` pairs are fitted in memory, one task each; those with more by the same
-    iteration on DataFrames, so no task ever holds an unbounded group.
+    `pairs`: (user_id, w, l, n, weight), a row per user and pair. Users with up to
+    `gathered` pairs are fitted in memory, one task each; for those with more the same
+    fit runs over their pairs where they lie, so no task ever holds an unbounded group.
     """
-    enough = votes.groupBy("user_id").agg(F.count("*").alias("n_comparisons")).filter(F.col("n_comparisons") >= least)
-    pairs = votes.groupBy("user_id", "w", "l").agg(F.sum("weight").alias("weight"))
-    size = pairs.groupBy("user_id").agg(F.count("*").alias("n_pairs"))
-    sizes = enough.join(size, "user_id")
+    pairs = cut_lineage(pairs.select("user_id", "w", "l", "n", "weight"))
+    sizes = pairs.groupBy("user_id").agg(F.sum("n").alias("n_comparisons"), F.count("*").alias("n_pairs")).filter(F.col("n_comparisons") >= least)
     small = pairs.join(sizes.filter(F.col("n_pairs") <= gathered).drop("n_pairs"), "user_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["w", "l"])
-        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float), steps)
+        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float))
         return pd.DataFrame({"user_id": [str(pdf["user_id"].iloc[0])] * len(items), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": int(pdf["n_comparisons"].iloc[0])})
 
     out = small.groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")
     large = sizes.filter(F.col("n_pairs") > gathered).drop("n_pairs")
     if large.limit(1).count() == 0:
         return out
-    big = grouped_fit(pairs.join(large.select("user_id"), "user_id", "left_semi"), ["user_id"], steps)
+    big = spread_fit(pairs.join(large.select("user_id"), "user_id", "left_semi"), ["user_id"])
     return out.unionByName(big.join(large, "user_id").select("user_id", "run_id", "bt_score", "n_comparisons"))
 
 
-def global_fit(votes: DataFrame, steps: int = STEPS, gathered: int = GATHERED_PAIRS) -> DataFrame:
-    """(run_id, bt_score) over all votes: up to `gathered` pairs in one task, more by the same iteration on DataFrames."""
-    pairs = cut_lineage(votes.groupBy("w", "l").agg(F.sum("weight").alias("weight")))
+def global_fit(pairs: DataFrame, gathered: int = GATHERED_PAIRS) -> DataFrame:
+    """(run_id, bt_score) over all votes (w, l, weight): up to `gathered` pairs in one task, more by the same fit where they lie."""
+    pairs = cut_lineage(pairs.groupBy("w", "l").agg(F.sum("weight").alias("weight")))
     if pairs.count() > gathered:
-        return grouped_fit(pairs, [], steps)
+        return spread_fit(pairs, [])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["w", "l"])
-        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float), steps)
+        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float))
         return pd.DataFrame({"run_id": items, "bt_score": np.round(s, 6)})
 
     return pairs.groupBy().applyInPandas(run, "run_id long, bt_score double")
 
 
-def grouped_fit(votes: DataFrame, by: list[str], steps: int = STEPS, sent: int = SENT_STRENGTHS) -> DataFrame:
-    """(by…, run_id, bt_score) of each group by the iteration of `fit`: edges never leave the executors.
+def spread_fit(pairs: DataFrame, by: list[str], sent: int = SENT_ITEMS) -> DataFrame:
+    """(by…, run_id, bt_score) of each group: votes never leave the executors, the driver holds a number per item.
 
-    Up to `sent` strengths are held by the driver and sent out at each step; more stay in DataFrames.
+    More than `sent` items are refused: their strengths are past what a driver should hold.
     """
-    edges = cut_lineage(votes.groupBy(*by, "w", "l").agg(F.sum("weight").alias("n"))).persist()
-    sides = edges.select(*by, F.col("w").alias("i"), F.col("l").alias("j"), "n", F.col("n").alias("won")).unionByName(edges.select(*by, F.col("l").alias("i"), F.col("w").alias("j"), "n", F.lit(0.0).alias("won")))
-    nodes = cut_lineage(sides.groupBy(*by, "i").agg((F.sum("won") + PRIOR).alias("wins"))).persist()
-    s = (_strengths_sent if nodes.count() <= sent else _strengths_joined)(edges, sides, nodes, by, steps)
-    edges.unpersist()
-    nodes.unpersist()
-    if not by:
-        total = s.agg(F.sum("s")).first()[0]
-        return s.select(F.col("i").alias("run_id"), half_even(F.col("s") / F.lit(total).cast("double"), 6).alias("bt_score"))
-    totals = s.groupBy(*by).agg(F.sum("s").alias("total"))
-    return s.join(totals, by).select(*by, F.col("i").alias("run_id"), half_even(F.col("s") / F.col("total"), 6).alias("bt_score"))
-
-
-def _strengths_sent(edges: DataFrame, sides: DataFrame, nodes: DataFrame, by: list[str], steps: int) -> DataFrame:
-    """(by…, i, s): each task sums the loads of its edges under the strengths it is sent."""
-    spark = edges.sparkSession
+    spark = pairs.sparkSession
+    ends = pairs.select(*by, F.col("w").alias("i"), F.col("weight").alias("won")).unionByName(pairs.select(*by, F.col("l").alias("i"), F.lit(0.0).alias("won")))
+    nodes = cut_lineage(ends.groupBy(*by, "i").agg(F.sum("won").alias("wins")))
+    if (n := nodes.count()) > sent:
+        raise ValueError(f"{n} items in one fit, more than {sent}")
     held = nodes.toPandas().sort_values([*by, "i"]).reset_index(drop=True)
-    n, wins = len(held), held["wins"].to_numpy()
     group = held.groupby(by).ngroup().to_numpy() if by else np.zeros(n, int)
-    sizes = np.bincount(group)
     coded = spark.createDataFrame(held[[*by, "i"]].assign(k=range(n)))
     code = lambda c, k: coded.select(*by, F.col("i").alias(c), F.col("k").alias(k))
-    pairs = edges.join(code("w", "a"), [*by, "w"]).join(code("l", "b"), [*by, "l"]).select("a", "b", "n")
-    blocks = pairs.rdd.mapPartitions(lambda rows: [np.array(list(rows), float).reshape(-1, 3)]).map(lambda x: (x[:, 0].astype(int), x[:, 1].astype(int), x[:, 2])).persist()
-    s = np.ones(n)
-    for _ in range(steps):
-        sent = spark.sparkContext.broadcast(s)
-
-        def load(x: tuple, sent=sent) -> np.ndarray:
-            a, b, weight = x
-            share = weight / (sent.value[a] + sent.value[b])
-            return np.bincount(a, share, n) + np.bincount(b, share, n)
-
-        new = wins / (blocks.map(load).treeReduce(np.add) + 2 * PRIOR / (s + 1))
-        new /= (np.bincount(group, new) / sizes)[group]
-        sent.destroy()
-        if np.abs(new - s).max() < TOLERANCE:
-            break
-        s = new
+    rows = cut_lineage(pairs.join(code("w", "a"), [*by, "w"]).join(code("l", "b"), [*by, "l"]).select("a", "b", "weight"))
+    blocks = rows.rdd.mapPartitions(lambda part: [np.array(list(part), float).reshape(-1, 3)]).map(lambda x: (x[:, 0].astype(int), x[:, 1].astype(int), x[:, 2])).persist()
+
+    def sums(t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
+        sent_ = spark.sparkContext.broadcast((t, v))
+        out = blocks.map(lambda x: vote_sums(*x, n, *sent_.value)).treeReduce(np.add)
+        sent_.destroy()
+        return out
+
+    t = maximum(held["wins"].to_numpy(), group, sums)
     blocks.unpersist()
-    return spark.createDataFrame(held[[*by, "i"]].assign(s=s))
-
-
-def _strengths_joined(edges: DataFrame, sides: DataFrame, nodes: DataFrame, by: list[str], steps: int) -> DataFrame:
-    """(by…, i, s): each edge is joined with the strengths of both its ends."""
-    s = nodes.withColumn("s", F.lit(1.0))
-    for _ in range(steps):
-        other = s.select(*by, F.col("i").alias("j"), F.col("s").alias("sj"))
-        load = sides.select(*by, "i", "j", "n").join(other, [*by, "j"]).join(s, [*by, "i"]).groupBy(*by, "i", "wins", "s").agg(F.sum(F.col("n") / (F.col("s") + F.col("sj"))).alias("load"))
-        new = cut_lineage(load.select(*by, "i", "wins", "s", (F.col("wins") / (F.col("load") + 2 * PRIOR / (F.col("s") + 1))).alias("new")))
-        mean = F.mean("new").alias("mean")
-        new = new.join(new.groupBy(*by).agg(mean), by) if by else new.withColumn("mean", F.lit(new.agg(mean).first()[0]))
-        new = new.withColumn("new", F.col("new") / F.col("mean"))
-        if new.agg(F.max(F.abs(F.col("new") - F.col("s")))).first()[0] < TOLERANCE:
-            break
-        s = new.select(*by, "i", "wins", F.col("new").alias("s"))
-    return s.select(*by, "i", "s")
+    s = np.exp(t - np.maximum.reduceat(t, np.flatnonzero(np.diff(group, prepend=-1)))[group])
+    score = np.round(s / np.bincount(group, s)[group], 6)
+    return spark.createDataFrame(held[[*by, "i"]].rename(columns={"i": "run_id"}).assign(bt_score=score))
 
 
 def blend_weights(n: Column) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import itertools
 import random
+import re
 import zipfile
 import zlib
 
@@ -17,8 +18,9 @@ from marginalia.functions import text as X
 from marginalia.functions.rounding import half_even, largest_of, to_hundred
 from marginalia.functions.stats import f_tail, incomplete_beta
 from marginalia.operators.anomalies import nearest_rank_bounds, similar_texts
-from marginalia.operators.bradley_terry import blend_weights, fit, global_fit, grouped_fit, per_user_fit
+from marginalia.operators.bradley_terry import PRIOR, blend_weights, counted, fit, global_fit, per_user_fit, spread_fit, weighted
 from marginalia.operators.dedup import latest
+from marginalia.operators.order import median, order_statistics, placed
 from marginalia.operators.profiling import distribution, flattened, null_shares, schema_violations
 from marginalia.operators.search import nearest
 from marginalia.operators.tables_dml import cascade, insert_absent, update, upsert
@@ -64,35 +66,51 @@ def test_injection_pattern_compiles(words):
     assert re.compile(X.INJECTION_PATTERN.replace("(?im)", ""), re.I | re.M)
 
 
-def test_similar_texts_against_all_pairs(spark):
+def cosines(texts: dict, stop: set, features: int) -> dict:
+    """Brute force: cosine of every two texts' term weights."""
+    from collections import Counter
+
+    docs = {}
+    for i, t in texts.items():
+        w = [x for x in re.findall(r"\w{2,}", t.lower()) if x not in stop]
+        docs[i] = Counter(w) + Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
+    df, cf = Counter(x for d in docs.values() for x in d), sum(docs.values(), Counter())
+    kept = sorted((x for x in df if df[x] >= 2), key=lambda x: (-cf[x], x))[:features]
+    idf = {x: np.log((1 + len(docs)) / (1 + df[x])) + 1 for x in kept}
+    v = {i: {x: n * idf[x] for x, n in d.items() if x in idf} for i, d in docs.items()}
+    v = {i: {x: y / np.sqrt(sum(z * z for z in d.values())) for x, y in d.items()} for i, d in v.items()}
+    return {(a, b): sum(y * v[b].get(x, 0.0) for x, y in v[a].items()) for a, b in itertools.combinations(v, 2)}
+
+
+@pytest.mark.parametrize("crowd", [2000, 3])
+def test_similar_texts_against_all_pairs(spark, crowd):
     rng = random.Random(5)
-    base = [" ".join(rng.choices("abcdefghij", k=rng.randint(1, 60))) for _ in range(40)]
+    words = [a + b for a in "abcdefg" for b in "xyz"]
     rows = []
-    for t in base:
-        rows.append(t)
-        w = t.split()
+    for _ in range(40):
+        w = rng.choices(words, k=rng.randint(1, 40))
+        rows.append(" ".join(w))
         for _ in range(2):
-            v = list(w)
-            v[rng.randrange(len(v))] = rng.choice("abcxyz")
-            rows.append(" ".join(v))
-    rows += rows[:10] + ["", " ", None]
+            x = list(w)
+            x[rng.randrange(len(x))] = rng.choice(words)
+            rows.append(" ".join(x))
+    rows += rows[:10] + ["", " ", "??", None]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: r for r in similar_texts(df, "doc_id", "text").collect()}
+    got = {r.doc_id: r for r in similar_texts(df, "doc_id", "text", ["ax", "by"], features=60, crowd=crowd).collect()}
     first = {}
     for i, t in enumerate(rows):
         if t is not None:
             first.setdefault(t, i)
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t, i in first.items() if t.split()}
     links = {i: set() for i in first.values()}
-    for a, b in itertools.combinations(sets, 2):
-        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+    for (a, b), x in cosines({i: t for t, i in first.items()}, {"ax", "by"}, 60).items():
+        if x >= 0.85 - 1e-9:
             links[a].add(b)
             links[b].add(a)
-    assert set(got) == {i for i, t in enumerate(rows) if t is not None}
+    assert set(got) == {i for i, t in enumerate(rows) if t is not None} and sum(map(len, links.values())) > 20
     for i, r in got.items():
         c = first[rows[i]]
-        assert (r.class_id, r.n_links, r.first_link) == (c, len(links[c]), min(links[c], default=None))
-    assert sum(map(len, links.values())) > 0
+        others = links[c] | {k for k, t in enumerate(rows) if t == rows[i] and k != i}
+        assert (r.class_id, r.n_links, r.first_match) == (c, len(links[c]), min(others, default=None))
 
 
 def test_nearest_against_brute_force(spark):
@@ -114,21 +132,57 @@ def test_bounds_of_order_statistics(spark):
         assert b is None if not s else (b["q1"], b["q3"]) == (s[len(s) // 4], s[3 * len(s) // 4])
 
 
+@pytest.mark.parametrize("held", [50_000, 4])
+def test_places_and_order_statistics(spark, held):
+    rng = random.Random(3)
+    vals = [rng.choice([1.0, 2.0, 2.0, 2.0, rng.random(), rng.gauss(0, 50)]) for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vals)], "k int, v double").repartition(7)
+    s = sorted(v for v in vals if v is not None)
+    ranks = [0, 1, 750, 1500, 2999, 3000, -1]
+    assert order_statistics(df, F.col("v"), ranks, held) == [*(s[r] for r in ranks[:5]), None, None]
+    assert median(df, F.col("v")) == (s[1499] + s[1500]) / 2 and median(df.limit(0), F.col("v")) is None
+    got = [(r.place, r.k) for r in placed(df, F.desc_nulls_last("v"), "k").collect()]
+    want = sorted(range(len(vals)), key=lambda k: (vals[k] is None, -(vals[k] or 0), k))
+    assert sorted(got) == [(i + 1, k) for i, k in enumerate(want)]
+    assert placed(df.limit(0), "k").count() == 0
+
+
 def test_strengths(spark):
     items, s = fit(np.array([1, 1, 2, 3]), np.array([2, 3, 3, 1]), np.ones(4))
     assert s.sum() == pytest.approx(1) and s[0] > s[2]
-    votes = [(a, b, 1.0) for a, b in [(1, 2), (1, 2), (2, 1), (2, 3), (3, 1), (1, 3), (3, 2)] * 5]
-    df = spark.createDataFrame(votes, "w long, l long, weight double")
-    items, s = fit(*(np.array(x) for x in zip(*votes)))
-    got = {r.run_id: r.bt_score for r in global_fit(df, steps=8).collect()}
-    assert all(got[i] == pytest.approx(x, abs=3e-2) for i, x in zip(items, s))
-    own = df.withColumn("user_id", F.lit("u"))
-    near, far = ({r.run_id: r.bt_score for r in per_user_fit(own, gathered=g, steps=8).collect()} for g in (100, 1))
-    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=3e-2) for k in near)
     n = spark.createDataFrame([(0,), (5,), (50,), (500,)], "n int")
     assert [tuple(r) for r in n.select(*blend_weights(F.col("n"))).collect()] == [(0.9, 0.1), (0.84, 0.16), (0.3, 0.7), (0.3, 0.7)]
 
 
+def test_fit_is_the_maximum_of_the_likelihood():
+    """No strength can be moved either way without the likelihood getting less; separable votes stay finite."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 9, (2, 120))
+    a, b = np.r_[a[a != b], [90] * 4], np.r_[b[a != b], [0, 1, 2, 3]]
+    w = rng.random(len(a)) + 0.5
+    items, s = fit(a, b, w)
+    at = {i: k for k, i in enumerate(items)}
+
+    def height(t):
+        x = np.array([t[at[i]] for i in a]) - np.array([t[at[i]] for i in b])
+        return -(w * np.log1p(np.exp(-x))).sum() + PRIOR * (t - 2 * np.log1p(np.exp(t))).sum()
+
+    t = np.log(s)
+    shift = max(np.linspace(-5, 15, 4001), key=lambda c: height(t + c))  # the sum of 1 hides the prior's scale
+    top = height(t + shift)
+    for k in range(len(t)):
+        for d in (-1e-2, 1e-2):
+            assert height(t + shift + d * (np.arange(len(t)) == k)) < top + 1e-8
+    assert np.isfinite(t).all() and s[at[90]] == s.max()
+
+
+def test_engagement_is_a_votes_weight(spark):
+    v = spark.createDataFrame([("u", 1, 2), ("u", 1, 2), ("u", 2, 1), ("v", 1, 2)], "user_id string, w long, l long")
+    e = spark.createDataFrame([("u", 1, 0.5)], "user_id string, run_id long, engagement double")
+    got = {(r.user_id, r.w, r.l): (r.n, r.weight) for r in weighted(counted(v), e, ["user_id"]).collect()}
+    assert got == {("u", 1, 2): (2, 3.0), ("u", 2, 1): (1, 1.0), ("v", 1, 2): (1, 1.0)}
+
+
 def uneven_votes(spark):
     """Votes with an unbeaten item, one without a win, and items of a single vote; and the same as arrays."""
     rng = np.random.default_rng(5)
@@ -142,19 +196,16 @@ def test_global_strengths_are_those_of_the_fit(spark):
     for got in (global_fit(df), global_fit(df, gathered=0)):
         got = {r.run_id: r.bt_score for r in got.collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(x, abs=1.1e-6) for k, x in want.items())
-    want = dict(zip(*fit(*votes, steps=6)))
-    got = {r.run_id: r.bt_score for r in grouped_fit(df, [], steps=6, sent=0).collect()}
-    assert all(got[k] == pytest.approx(x, abs=1.1e-6) for k, x in want.items())
+    with pytest.raises(ValueError):
+        spread_fit(df, [], sent=2)
 
 
 def test_users_of_any_size_get_the_same_strengths(spark):
     df, _ = uneven_votes(spark)
-    own = df.withColumn("user_id", F.lit("u")).unionByName(df.filter("w < 9").withColumn("user_id", F.lit("v")))
+    own = df.drop("weight").withColumn("user_id", F.lit("u"))
+    own = weighted(counted(own.unionByName(own.filter("w < 9").withColumn("user_id", F.lit("v")))), None, [])
     near, far = ({(r.user_id, r.run_id): r.bt_score for r in per_user_fit(own, gathered=g).collect()} for g in (10_000, 0))
     assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1.1e-6) for k in near)
-    slow = {(r.user_id, r.run_id): r.bt_score for r in grouped_fit(own, ["user_id"], steps=4, sent=0).collect()}
-    fast = {(r.user_id, r.run_id): r.bt_score for r in per_user_fit(own, steps=4).collect()}
-    assert slow.keys() == fast.keys() and all(slow[k] == pytest.approx(fast[k], abs=1.1e-6) for k in slow)
 
 
 def test_statistics_functions():
