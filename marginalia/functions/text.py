@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 ONE_FOR_ONE = ("\u2018\u2019\u201a\u201c\u201d\u201e\u2013\u2014\u00a0", "'''\"\"\"-- ")
 OFFLINE_ONE_FOR_ONE = (ONE_FOR_ONE[0] + "\u00ab\u00bb\u2212", ONE_FOR_ONE[1] + '""-')
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+#: Forms of an e-mail address, a phone number, a social security number and a card number.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"(\+?1?\s?)?(\(?\d{3}\)?[\s.\-]?)(\d{3}[\s.\-]?\d{4})"
 SSN = r"\b\d{3}[-\s]\d{2}[-\s]\d{4}\b"
@@ -102,16 +103,23 @@ def reading_ease(x: Column) -> Column:
     return F.when(n > 0, F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
 
 
-def vowel_ratio(x: Column) -> Column:
-    return F.try_divide(F.regexp_count(F.lower(x), F.lit("[aeiou]")).cast("double"), F.regexp_count(x, F.lit(r"\p{L}")).cast("double"))
+def letter_count(x: Column) -> Column:
+    return F.length(F.regexp_replace(x, r"[^\p{L}]+", ""))
 
 
-def gibberish(x: Column) -> Column:
-    return (F.regexp_count(x, F.lit(r"\p{L}")) >= 10) & ((vowel_ratio(x) < 0.15) | (vowel_ratio(x) > 0.6))
+def vowel_count(x: Column) -> Column:
+    low = F.lower(x)
+    return F.length(low) - F.length(F.translate(low, "aeiou", ""))
+
+
+def gibberish(letters: Column, vowels: Column) -> Column:
+    """Whether the share of vowels among ten letters or more is too small or too large for words."""
+    share = F.try_divide(vowels.cast("double"), letters.cast("double"))
+    return (letters >= 10) & ((share < 0.15) | (share > 0.6))
 
 
 def caps_ratio(x: Column) -> Column:
-    return F.try_divide(F.regexp_count(x, F.lit(r"\p{Lu}")).cast("double"), F.regexp_count(x, F.lit(r"\p{L}")).cast("double"))
+    return F.try_divide(F.length(F.regexp_replace(x, r"[^\p{Lu}]+", "")).cast("double"), letter_count(x).cast("double"))
 
 
 def punctuation_ratio(x: Column) -> Column:
@@ -125,13 +133,27 @@ def latin_words(x: Column) -> Column:
 
 
 def profanity_ratio(x: Column) -> Column:
-    w = latin_words(x)
+    """Share of rude words among a text's words of the letters a-z, to four places; 0 without any."""
+    return rude_share(latin_words(x))
+
+
+def rude_share(w: Column) -> Column:
     return F.rint(F.size(F.filter(w, lambda t: t.isin(*PROFANITY))) / F.greatest(F.size(w), F.lit(1)) * 1e4) / 1e4
 
 
+def top_share(w: Column) -> Column:
+    """Share of the most frequent of some words: the longest run among them in order; null without any."""
+    state = lambda last, run, most: F.struct(last.alias("last"), run.alias("run"), most.alias("most"))
+
+    def step(a: Column, t: Column) -> Column:
+        run = F.when(t.eqNullSafe(a["last"]), a["run"] + 1).otherwise(F.lit(1))
+        return state(t, run, F.greatest(a["most"], run))
+
+    return F.aggregate(F.array_sort(w), state(F.lit(None).cast("string"), F.lit(0), F.lit(0)), step, lambda a: F.try_divide(a["most"].cast("double"), F.size(w).cast("double")))
+
+
 def top_word_share(x: Column) -> Column:
-    w = latin_words(x)
-    return F.try_divide(F.array_max(F.transform(F.array_distinct(w), lambda t: F.size(F.filter(w, lambda u: u == t)))).cast("double"), F.size(w).cast("double"))
+    return top_share(latin_words(x))
 
 
 def has_phone(x: Column) -> Column:

@@ -12,73 +12,100 @@ from marginalia.functions.rounding import half_even
 from marginalia.session import cut_lineage
 
 #: Prior of survey H1: so many votes won and lost by each item against one of strength 1. A fit ends where no log strength moves by TOLERANCE.
-MIN_COMPARISONS, PRIOR, TOLERANCE = 5, 1e-3, 1e-9
-#: Most steps of a fit and of the solution of each, and a step's largest move; a fit that needs more raises an error.
-STEPS, INNER, LONGEST = 100, 1000, 1.5
+MIN_COMPARISONS, PRIOR, TOLERANCE = 5, 1e-3, 1e-7
+#: Most steps of a fit and of the solution of each; a fit that needs more raises an error.
+STEPS, INNER = 200, 2000
+#: Items up to which a step is solved with the whole curvature at once.
+DENSE = 600
 #: Pairs of one fit up to which it is done in one task.
 GATHERED_PAIRS = 200_000
 #: Items up to which the strengths of a fit (8 bytes each) are held by the driver and sent to the tasks.
 SENT_ITEMS = 5_000_000
 
 
-def maximum(wins: np.ndarray, group: np.ndarray, sums: Callable[[np.ndarray, np.ndarray | None], np.ndarray], prior: float = PRIOR) -> np.ndarray:
+def maximum(wins: np.ndarray, group: np.ndarray, sums: Callable[[str, np.ndarray, np.ndarray | None], np.ndarray], solved: Callable[..., np.ndarray] | None = None, prior: float = PRIOR) -> np.ndarray:
     """Log strengths at the maximum of the votes' likelihood with the prior, by Newton's method; each step is solved by conjugate gradients.
 
     `wins` are an item's weighted wins, `group` numbers the fit it belongs to: fits are
-    independent. The votes are seen only through `sums(t, None)`, the wins that each
-    item is expected to have at log strengths t, and `sums(t, v)`, the curvature's
-    product with v; both may be summed anywhere.
+    independent. The votes are seen only through `sums` (see `vote_sums`), which may be
+    taken anywhere; `solved` solves a step at once where that is quicker. The likelihood has one maximum; a step that doesn't gain as much as
+    its slope promises is halved, so any start leads there.
     """
     n, k = len(wins), int(group.max()) + 1 if len(group) else 0
-    dot = lambda x, y: np.bincount(group, x * y, k)
+    each = lambda x: np.bincount(group, x, k)
     of = lambda x, y: np.divide(x, y, out=np.zeros(k), where=y > 0)[group]
-    t = np.zeros(n)
-    for _ in range(STEPS):
-        even = 1 / (1 + np.exp(-t))
-        slope = wins + prior - sums(t, None) - 2 * prior * even
-        bend = 2 * prior * even * (1 - even)
-        # the curvature's diagonal, bounded by the votes an item has, steers the gradients
-        scale = 1 / (bend + sums(t, np.zeros(0)))
+    height = lambda t: each(sums("height", t, None) + prior * (t - 2 * np.logaddexp(0, t)))
+
+    def gradients(t: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
+        scale = 1 / (bend + sums("diagonal", t, None))
         x, r = np.zeros(n), slope.copy()
         z = scale * r
-        p, rz = z.copy(), dot(r, z)
-        least = rz * 1e-18
+        p, rz = z.copy(), each(r * z)
+        least = rz * 1e-20 + 1e-300
         for _ in range(INNER):
             if not (rz > least).any():
                 break
-            q = sums(t, p) + bend * p
-            step = of(np.where(rz > least, rz, 0), dot(p, q))
+            q = sums("curvature", t, p) + bend * p
+            step = of(np.where(rz > least, rz, 0), each(p * q))
             x += step * p
             r -= step * q
             z = scale * r
-            new = dot(r, z)
+            new = each(r * z)
             p = z + of(new, rz) * p
             rz = new
+        return x
+
+    t = np.zeros(n)
+    now = height(t)
+    for _ in range(STEPS):
+        even = np.exp(-np.logaddexp(0, -t))
+        slope = wins + prior - sums("expected", t, None) - 2 * prior * even
+        bend = prior * np.maximum(2 * even * (1 - even), 0.1)  # far out the prior is all but straight: no step from there is unbounded
+        x = solved(t, slope, bend) if solved else gradients(t, slope, bend)
         most = np.zeros(k)
         np.maximum.at(most, group, np.abs(x))
-        t = t + x * np.minimum(1, LONGEST / np.maximum(most, 1e-300))[group]
         if most.max(initial=0) < TOLERANCE:
-            return t
+            return t + x
+        part, gain = np.ones(k), each(slope * x)
+        for _ in range(60):
+            then = height(t + part[group] * x)
+            short = (then < now + 1e-4 * part * gain) & (part * most > TOLERANCE)
+            if not short.any():
+                break
+            part[short] /= 2
+        t, now = t + part[group] * x, then
     raise ArithmeticError("the strengths don't settle")
 
 
-def vote_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
-    """The sums that `maximum` needs of votes (winner a, loser b, weight); an empty `v` asks for the curvature's diagonal."""
-    p = 1 / (1 + np.exp(t[b] - t[a]))
-    if v is None:
+def vote_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, kind: str, t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
+    """Sums per item of votes (winner a, loser b, weight) at log strengths t: expected wins, the likelihood's height, its curvature's diagonal or product with v."""
+    d = t[a] - t[b]
+    if kind == "height":
+        return np.bincount(a, -weight * np.logaddexp(0, -d), n)
+    p = np.exp(-np.logaddexp(0, -d))
+    if kind == "expected":
         return np.bincount(a, weight * p, n) + np.bincount(b, weight * (1 - p), n)
     c = weight * p * (1 - p)
-    if not len(v):
+    if kind == "diagonal":
         return np.bincount(a, c, n) + np.bincount(b, c, n)
-    d = c * (v[a] - v[b])
-    return np.bincount(a, d, n) - np.bincount(b, d, n)
+    c = c * (v[a] - v[b])
+    return np.bincount(a, c, n) - np.bincount(b, c, n)
 
 
 def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(items, strengths of sum 1) at the maximum for weighted votes; the prior keeps separable data finite."""
     items, code = np.unique(np.concatenate([winner, loser]), return_inverse=True)
     a, b, n = code[: len(winner)], code[len(winner) :], len(items)
-    t = maximum(np.bincount(a, weight, n), np.zeros(n, int), lambda t, v: vote_sums(a, b, weight, n, t, v))
+
+    def solved(t: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
+        p = np.exp(-np.logaddexp(0, t[b] - t[a]))
+        c = weight * p * (1 - p)
+        h = np.bincount(a * n + b, c, n * n).reshape(n, n)
+        h = -h - h.T
+        h[np.diag_indices(n)] += bend - h.sum(1)
+        return np.linalg.solve(h, slope)
+
+    t = maximum(np.bincount(a, weight, n), np.zeros(n, int), lambda kind, t, v: vote_sums(a, b, weight, n, kind, t, v), solved if n <= DENSE else None)
     s = np.exp(t - t.max(initial=0))
     return items, s / s.sum()
 
@@ -162,8 +189,8 @@ def spread_fit(pairs: DataFrame, by: list[str], sent: int = SENT_ITEMS) -> DataF
     rows = cut_lineage(pairs.join(code("w", "a"), [*by, "w"]).join(code("l", "b"), [*by, "l"]).select("a", "b", "weight"))
     blocks = rows.rdd.mapPartitions(lambda part: [np.array(list(part), float).reshape(-1, 3)]).map(lambda x: (x[:, 0].astype(int), x[:, 1].astype(int), x[:, 2])).persist()
 
-    def sums(t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
-        sent_ = spark.sparkContext.broadcast((t, v))
+    def sums(kind: str, t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
+        sent_ = spark.sparkContext.broadcast((kind, t, v))
         out = blocks.map(lambda x: vote_sums(*x, n, *sent_.value)).treeReduce(np.add)
         sent_.destroy()
         return out

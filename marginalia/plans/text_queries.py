@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia.functions import text as X
+from marginalia.functions.once import evaluated
 from marginalia.functions.rounding import clamp, half_even
 from marginalia.operators.dedup import latest
 from marginalia.plans.registry import query, with_once
-from marginalia.tables import table
+from marginalia.tables import dealt, table
 
 NOTES = with_once("notes")
-#: Limits of the validation and issue stages.
+#: Limits of the validation and issue stages.
 MIN_WORDS, MAX_WORDS, MIN_CHARS, THRESHOLD, CAPS, PUNCT, RUN, TOP_WORD, PROFANE = 10, 600, 50, 0.5, 0.5, 0.1, 4, 0.3, 0.3
 
 
@@ -21,12 +22,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "interpretations"), ["interpretation_id"], "ingested_at")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes(spark, sf_dir).select("interpretation_id", F.col("interpretation").alias("text"))
-
-
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", F.col("interpretation").alias("text"))
+    return dealt(table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", F.col("interpretation").alias("text")))
 
 
 def each_once(measured: DataFrame) -> DataFrame:
@@ -71,9 +68,9 @@ def tx05_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx07_latin1_repair")
 def tx07_latin1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX07: rows that the latin-1 round trip changes."""
-    t = texts(spark, sf_dir).filter(F.col("text").isNotNull()).withColumn("fixed", X.repaired(F.col("text")))
-    return t.filter(F.col("text") != F.col("fixed")).select("interpretation_id", "fixed")
+    """TX07: rows that the latin-1 round trip changes. No SQL: DuckDB has no such round trip; tested on given texts."""
+    t = raw_texts(spark, sf_dir).filter(F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("fixed", X.repaired(F.col("text")))
+    return each_once(t.filter(F.col("text") != F.col("fixed")).select("interpretation_id", "ingested_at", "fixed"))
 
 
 _CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(translate(translate(interpretation, chr(8203)||chr(8204)||chr(8205)||chr(65279), ''), '‘’‚“”„–—'||chr(160), '''''''"""+'"""'+r"""-- '), '…', '...'), '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[EMAIL REMOVED]', 'g'), chr(9), ' '), chr(13)||chr(10), chr(10)), chr(13), chr(10)), ' {2,}', ' ', 'g'), chr(10)||'{3,}', chr(10)||chr(10), 'g'), ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"""
@@ -82,8 +79,8 @@ _CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(rege
 @query("tx08_clean", f"{NOTES} SELECT interpretation_id, {_CLEAN_SQL} AS cleaned FROM notes WHERE interpretation IS NOT NULL")
 def tx08_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX08, TX10, TX11, TX37: signs, e-mail addresses and white space."""
-    t = texts(spark, sf_dir).filter(F.col("text").isNotNull())
-    return t.select("interpretation_id", X.even_space(X.without_emails(X.plain_signs(F.col("text")))).alias("cleaned"))
+    t = raw_texts(spark, sf_dir).filter(F.col("text").isNotNull())
+    return each_once(t.select("interpretation_id", "ingested_at", X.even_space(X.without_emails(X.plain_signs(F.col("text")))).alias("cleaned")))
 
 
 @query("tx09_nfc", f"{NOTES} SELECT interpretation_id, length(nfc_normalize(interpretation)) AS nfc_length, md5(nfc_normalize(interpretation)) AS nfc_md5 FROM notes WHERE NOT regexp_full_match(interpretation, '[\\x00-\\x7F]*')")
@@ -117,15 +114,16 @@ def tx12_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated(t: DataFrame, language: Column | None = None) -> DataFrame:
     """(…, word_count, issues, quality_score, is_valid) of `text` (TX15-TX19); without `language` any text counts as English."""
     x = F.coalesce("text", F.lit(""))
-    n, chars = X.word_count(x), F.length(F.replace(x, F.lit(" "), F.lit("")))
+    t = evaluated(t, word_count=F.regexp_count(x, F.lit(r"\S+")), __c=F.length(F.replace(x, F.lit(" "), F.lit(""))), __l=X.letter_count(x), __v=X.vowel_count(x))
+    n, chars, letters, vowels = (F.col(c) for c in ("word_count", "__c", "__l", "__v"))
     empty = n == 0
     short, long_, few = n < MIN_WORDS, n > MAX_WORDS, chars < MIN_CHARS
     foreign = (F.length(x) >= 20) & (language != "en") if language is not None else F.lit(False)
-    odd = F.coalesce(X.gibberish(x), F.lit(False))
+    odd = F.coalesce(X.gibberish(letters, vowels), F.lit(False))
     score = F.lit(1.0) - F.when(short | long_, 0.3).otherwise(0.0) - F.when(foreign, 0.4).otherwise(0.0) - F.when(odd, 0.5).otherwise(0.0) - F.when(few, 0.1).otherwise(0.0)
     score = F.when(empty, 0.0).otherwise(half_even(clamp(score, 0.0, 1.0), 4))
     issues = F.when(empty, F.array(F.lit("empty_text"))).otherwise(F.array_compact(F.array(F.when(short, "too_short"), F.when(long_, "too_long"), F.when(few, "too_few_chars"), F.when(foreign, "wrong_language"), F.when(odd, "gibberish_detected"))))
-    return t.withColumns({"word_count": n, "issues": issues, "quality_score": score, "is_valid": (F.size(issues) == 0) & (score >= THRESHOLD)})
+    return evaluated(t, issues=issues, quality_score=score).drop("__c", "__l", "__v").withColumn("is_valid", (F.size("issues") == 0) & (F.col("quality_score") >= THRESHOLD))
 
 
 @query(
@@ -182,11 +180,20 @@ def tx20_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_once(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", x.rlike(rf"\b{X.EMAIL}\b").alias("has_email"), x.rlike(X.SSN).alias("has_ssn"), x.rlike(X.CARD).alias("has_card"), X.has_phone(x).alias("has_phone"), X.profanity_ratio(x).alias("profanity_ratio"), none(X.caps_ratio(x) > CAPS).alias("many_caps"), none(X.punctuation_ratio(x) > PUNCT).alias("many_signs")))
 
 
-@query("tx24_repeats")
+_LETTERS = rf"list_filter(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'), lambda q: regexp_full_match(q, '[a-z]+'))"
+
+
+@query(
+    "tx24_repeats",
+    rf"""{NOTES}, m AS (SELECT interpretation_id, coalesce(interpretation, '') AS x FROM notes), f AS (SELECT interpretation_id, x, {_LETTERS} AS w FROM m), u AS (SELECT interpretation_id, unnest(w) AS t FROM f), c AS (SELECT interpretation_id, max(n) AS most, sum(n) AS n FROM (SELECT interpretation_id, t, count(*) AS n FROM u GROUP BY 1, 2) q GROUP BY 1),
+    k AS (SELECT interpretation_id, unnest(string_split(x, '')) AS ch, generate_subscripts(string_split(x, ''), 1) AS i FROM f WHERE x <> ''), r AS (SELECT DISTINCT interpretation_id FROM (SELECT interpretation_id, ch, i - row_number() OVER (PARTITION BY interpretation_id, ch ORDER BY i) AS g FROM k WHERE ch <> chr(10) AND ch <> chr(13) AND ch <> chr(133) AND ch <> chr(8232) AND ch <> chr(8233)) z GROUP BY interpretation_id, ch, g HAVING count(*) >= {RUN})
+    SELECT f.interpretation_id, r.interpretation_id IS NOT NULL AS repetitive_chars, coalesce(CAST(most AS DOUBLE) / n > {TOP_WORD}, false) AS repetitive_words FROM f LEFT JOIN c ON f.interpretation_id = c.interpretation_id LEFT JOIN r ON f.interpretation_id = r.interpretation_id""",
+)
 def tx24_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX24, TX25: runs of one character, and the share of the most frequent word."""
     x = F.coalesce("text", F.lit(""))
-    return each_once(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", x.rlike(rf"(.)\1{{{RUN - 1},}}").alias("repetitive_chars"), F.coalesce(X.top_word_share(x) > TOP_WORD, F.lit(False)).alias("repetitive_words")))
+    t = evaluated(raw_texts(spark, sf_dir).select("interpretation_id", "ingested_at", x.alias("x")), w=X.latin_words(F.col("x")))
+    return each_once(t.select("interpretation_id", "ingested_at", F.col("x").rlike(rf"(.)\1{{{RUN - 1},}}").alias("repetitive_chars"), F.coalesce(X.top_share(F.col("w")) > TOP_WORD, F.lit(False)).alias("repetitive_words")))
 
 
 @query("tx28_reading_ease")
@@ -202,10 +209,11 @@ def flt09_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(t: DataFrame) -> DataFrame:
-    """First failing gate of each text, in the order of the stage."""
-    v = validated(t.withColumn("text", X.cleaned(F.coalesce("text", F.lit("")))))
+    """First failing gate of each text, in the order of the stage; the cleaned text is worked out once for all gates."""
     x = F.col("text")
-    return v.withColumn("outcome", F.when(x.rlike(X.INJECTION_PATTERN), "rejected_injection").when(~F.col("is_valid"), "rejected_invalid").when(F.size(X.pii_types(x)) > 0, "rejected_pii").when(X.profanity_ratio(x) >= PROFANE, "rejected_profanity").when(F.coalesce(X.caps_ratio(x) > CAPS, F.lit(False)), "rejected_spam").otherwise("accepted"))
+    t = evaluated(t.withColumnRenamed("text", "__raw"), text=X.cleaned(F.coalesce("__raw", F.lit("")))).drop("__raw")
+    gate = F.when(x.rlike(X.INJECTION_PATTERN), "rejected_injection").when(~F.col("is_valid"), "rejected_invalid").when(F.size(X.pii_types(x)) > 0, "rejected_pii").when(X.profanity_ratio(x) >= PROFANE, "rejected_profanity").when(F.coalesce(X.caps_ratio(x) > CAPS, F.lit(False)), "rejected_spam")
+    return validated(t).withColumn("outcome", F.coalesce(gate, F.lit("accepted")))
 
 
 @query("flt14_outcomes")

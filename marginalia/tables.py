@@ -7,3 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows for a pass that costs far more than reading them: dealt to all cores if the files gave fewer parts than there are cores, else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
