@@ -74,7 +74,7 @@ def split_claims(df: DataFrame, text_col: str = "interpretation", splitter: Call
     if splitter is not None:
         return df.withColumn("subclaims", F.when(live, splitter(F.col(text_col))).otherwise(F.array().cast(CLAIM)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    mode = lambda s: F.element_at(F.array(*map(F.lit, MODES)), (F.pmod(F.xxhash64(s), F.lit(len(MODES))) + 1).cast("int"))
+    mode = lambda s: F.element_at(F.array(*map(F.lit, MODES)), (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % len(MODES) + 1).cast("int"))
     df = evaluated(df, __s=F.when(live, sentences(F.col(text_col))).otherwise(F.array().cast("array<string>")))
     df = evaluated(df, __n=F.transform("__s", lambda s: F.greatest(F.size(words(s)), F.lit(1)).cast("double")))
     df = evaluated(df, __t=total("__n"))

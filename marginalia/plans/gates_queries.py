@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions.rounding import half_even, ratio
 from marginalia.functions.stats import f_tail
+from marginalia.operators.order import median
 from marginalia.plans.profiling_queries import readers
 from marginalia.plans.ranking_queries import edges
-from marginalia.plans.registry import query, with_once
+from marginalia.plans.registry import ORACLES, query, with_once
 from marginalia.tables import table
 
 LABELS = ("resonate", "contradict", "diverge")
@@ -42,23 +43,36 @@ def gate_failures(metrics: DataFrame, thresholds: dict[str, float] = THRESHOLDS)
     return metrics.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(t).alias("threshold")) for m, t in thresholds.items()))).alias("x")).select("x.*").withColumn("failed", F.coalesce(F.col("value") < F.col("threshold"), F.lit(True)))
 
 
-@query("ag29_gate")
+_METRICS = ORACLES["ag28_pass_rates"]
+
+
+@query("ag29_gate", f"WITH m AS ({_METRICS}) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, CAST({t} AS DOUBLE) AS threshold, coalesce({m} < {t}, true) AS failed FROM m" for m, t in THRESHOLDS.items()))
 def ag29_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG29: metrics below their thresholds."""
     return gate_failures(gate_metrics(table(spark, sf_dir, "compat_runs")))
 
 
-@query("ag30_rollback")
+#: The largest drop of each metric that isn't rolled back.
+DROPS = {"mean_confidence": 0.05, "range_rate": 0.03}
+
+
+def rollback(before: DataFrame, now: DataFrame, drops: dict[str, float] = DROPS) -> DataFrame:
+    """(metric, before, now, rolled_back) of two rows of metrics."""
+    long = lambda df, n: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(n)) for m in drops))).alias("x")).select("x.*")
+    allowed = F.create_map(*(F.lit(x) for kv in drops.items() for x in kv))[F.col("metric")]
+    return long(before, "before").join(long(now, "now"), "metric").withColumn("rolled_back", F.coalesce(F.col("before") - F.col("now") > allowed, F.lit(False)))
+
+
+_HALF = "FROM compat_runs WHERE epoch_us(run_at) {0} (SELECT median(epoch_us(run_at)) FROM compat_runs)"
+
+
+@query("ag30_rollback", f"WITH b AS ({_METRICS.replace('FROM compat_runs', _HALF.format('<='))}), a AS ({_METRICS.replace('FROM compat_runs', _HALF.format('>'))}) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, b.{m} AS before, a.{m} AS now, coalesce(b.{m} - a.{m} > CAST({d} AS DOUBLE), false) AS rolled_back FROM a, b" for m, d in DROPS.items()))
 def ag30_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG30: metrics of the later half of the runs against those of the earlier half, by the largest drops allowed."""
     runs = table(spark, sf_dir, "compat_runs")
-    middle = runs.agg(F.percentile(F.unix_micros("run_at"), 0.5)).first()[0]
-    late = F.unix_micros("run_at") > F.lit(middle)
-    drops = {"mean_confidence": 0.05, "range_rate": 0.03}
-    long = lambda df, n: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(n)) for m in drops))).alias("x")).select("x.*")
-    joined = long(gate_metrics(runs.filter(~late)), "before").join(long(gate_metrics(runs.filter(late)), "now"), "metric")
-    allowed = F.create_map(*(F.lit(x) for kv in drops.items() for x in kv))[F.col("metric")]
-    return joined.withColumn("rolled_back", F.coalesce(F.col("before") - F.col("now") > allowed, F.lit(False)))
+    at = F.unix_micros("run_at")
+    middle = F.lit(median(runs, at)).cast("double")
+    return rollback(gate_metrics(runs.filter(at <= middle)), gate_metrics(runs.filter(at > middle)))
 
 
 _C = "round_even(CAST(sum(CAST(round(confidence * 1000) AS BIGINT)) AS DOUBLE) / 1000 / count(confidence), 4)"
@@ -111,5 +125,32 @@ def ag31_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ag31_p_values")
 def ag31_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG31, H7, AG32: the same with p-values."""
-    return eta_squared(_profiles(spark, sf_dir), "layout_mode", "think_r")
+    """AG31, H7: the same with p-values, for which SQL lacks the F distribution; tested on values from tables."""
+    p = _profiles(spark, sf_dir)
+    return eta_squared(p, "sex", "think_r").unionByName(eta_squared(p, "layout_mode", "think_r"))
+
+
+_DEV = "stddev_samp(CAST({0} AS DOUBLE))"
+
+
+@query(
+    "ag32_group_means",
+    f"""{with_once('readers')}, e AS (SELECT user_a AS user_id, think_r, feel_r FROM compat_runs UNION ALL SELECT user_b, think_r, feel_r FROM compat_runs), j AS (SELECT think_r, feel_r, layout_mode AS grp FROM e JOIN readers r ON e.user_id = r.user_id WHERE layout_mode IS NOT NULL AND lower(layout_mode) <> 'unknown'),
+    o AS (SELECT CAST(sum(think_r) AS DOUBLE) / count(*) AS mt, {_DEV.format('think_r')} AS st, CAST(sum(feel_r) AS DOUBLE) / count(*) AS mf, {_DEV.format('feel_r')} AS sf FROM j), g AS (SELECT grp, count(*) AS n, CAST(sum(think_r) AS DOUBLE) / count(*) AS gt, {_DEV.format('think_r')} AS dt, CAST(sum(feel_r) AS DOUBLE) / count(*) AS gf, {_DEV.format('feel_r')} AS df FROM j GROUP BY 1 HAVING count(*) >= 10)
+    SELECT grp, n, round_even(gt, 2) AS mean_think_r, round_even(dt, 2) AS std_think_r, abs(gt - mt) > st AS think_flag, round_even(gf, 2) AS mean_feel_r, round_even(df, 2) AS std_feel_r, abs(gf - mf) > sf AS feel_flag FROM g, o""",
+)
+def ag32_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG32, FLT16, FLT17: means and deviations of each group of at least ten rows, and whether a mean is more than one deviation of all rows off theirs."""
+    j = _profiles(spark, sf_dir).filter(F.col("layout_mode").isNotNull() & (F.lower("layout_mode") != "unknown")).withColumnRenamed("layout_mode", "grp")
+    return group_means(j, "grp", ("think_r", "feel_r"))
+
+
+def group_means(df: DataFrame, group: str, values: tuple[str, ...], least: int = 10) -> DataFrame:
+    """(group, n, and per value its mean, deviation and flag); all rows' mean and deviation are one row, sent to the tasks."""
+    mean = lambda v: F.sum(v).cast("double") / F.count(v)
+    dev = lambda v: F.stddev_samp(F.col(v).cast("double"))
+    whole = df.agg(*(mean(v).alias(f"m_{v}") for v in values), *(dev(v).alias(f"s_{v}") for v in values)).first()
+    g = df.groupBy(group).agg(F.count("*").alias("n"), *(mean(v).alias(f"m_{v}") for v in values), *(dev(v).alias(f"s_{v}") for v in values)).filter(F.col("n") >= least)
+    lit = lambda x: F.lit(x).cast("double")
+    cols = [c for v in values for c in (half_even(F.col(f"m_{v}"), 2).alias(f"mean_{v}"), half_even(F.col(f"s_{v}"), 2).alias(f"std_{v}"), (F.abs(F.col(f"m_{v}") - lit(whole[f"m_{v}"])) > lit(whole[f"s_{v}"])).alias(f"{v.split('_')[0]}_flag"))]
+    return g.select(group, "n", *cols)

@@ -112,14 +112,31 @@ def flt01_live_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.groupBy(F.to_date(c).cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("flt04_same_passage", f"{NOTES} SELECT interpretation_id FROM notes WHERE passage_id = (SELECT min(passage_id) FROM notes) AND user_id <> (SELECT min(user_id) FROM notes WHERE passage_id = (SELECT min(passage_id) FROM notes))")
+@query("flt04_same_passage", f"{NOTES}, f AS (SELECT passage_id, arg_min(user_id, (created_at, user_id)) AS anchor FROM notes WHERE passage_id IS NOT NULL GROUP BY 1) SELECT n.passage_id, anchor, interpretation_id FROM notes n JOIN f ON n.passage_id = f.passage_id WHERE user_id <> anchor AND NOT is_deleted")
 def flt04_same_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT03, FLT04, FLT25, JN10, JN15: the other readers of a passage."""
-    m = notes(spark, sf_dir)
-    passage = m.agg(F.min("passage_id")).first()[0]
-    on = m.filter(F.col("passage_id") == F.lit(passage))
-    anchor = on.agg(F.min("user_id")).first()[0]
-    return on.filter(F.col("user_id") != F.lit(anchor)).select("interpretation_id")
+    """FLT03, FLT04, JN10, JN15: on every passage the live texts of others than its first reader."""
+    m = notes(spark, sf_dir).filter(F.col("passage_id").isNotNull()).select("passage_id", "user_id", "interpretation_id", "created_at", "is_deleted")
+    first = m.groupBy("passage_id").agg(F.min(F.struct("created_at", "user_id"))["user_id"].alias("anchor"))
+    return m.join(first, "passage_id").filter((F.col("user_id") != F.col("anchor")) & ~F.col("is_deleted")).select("passage_id", "anchor", "interpretation_id")
+
+
+def some(df: DataFrame, **equal: object) -> DataFrame:
+    """The rows whose columns have the values given; a value of None asks for nothing."""
+    for name, value in equal.items():
+        if value is not None:
+            df = df.filter(F.col(name) == F.lit(value))
+    return df
+
+
+@query("flt25_optional", "SELECT * FROM (SELECT 'none' AS filters, count(*) AS n FROM compat_runs UNION ALL SELECT 'kind', count(*) FILTER (dominant_think = 'diverge') FROM compat_runs UNION ALL SELECT 'both', count(*) FILTER (dominant_think = 'diverge' AND dominant_feel = 'resonate') FROM compat_runs) x")
+def flt25_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT25: the same query with none, one or both of its optional filters."""
+    r = table(spark, sf_dir, "compat_runs")
+    out = None
+    for name, think, feel in (("none", None, None), ("kind", "diverge", None), ("both", "diverge", "resonate")):
+        row = some(r, dominant_think=think, dominant_feel=feel).agg(F.count("*").alias("n")).select(F.lit(name).alias("filters"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("jn05_passage_readers", f"{NOTES} SELECT book_id, passage_id, count(DISTINCT user_id) AS readers, count(*) AS texts FROM notes WHERE passage_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT user_id) > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions.once import evaluated
 from marginalia.functions.rounding import half_even, largest_of, to_hundred
-from marginalia.operators.pairing import aggregate_scores, anchor_pairs, cached_split, claim_stats, first_readers, open_partners, pair_counts, partner_counts, score_pairs, scoring_of, split_claims
+from marginalia.operators.pairing import MODES, aggregate_scores, anchor_pairs, cached_split, claim_stats, first_readers, open_partners, pair_counts, partner_counts, score_pairs, scoring_of, split_claims
 from marginalia.operators.rollups import book_level, profile_level
 from marginalia.plans.registry import query, with_once
 from marginalia.plans.text_queries import each_once, notes
@@ -76,12 +76,19 @@ def jn18_open_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_partners(notes(spark, sf_dir), table(spark, sf_dir, "compat_runs"))
 
 
-@query("uf01_claims")
-def uf01_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UF01, AJ02, AJ05, AG39: every text split into weighted claims by the pluggable splitter's plain default, and whether the claims are valid.
+_SPLIT = r"list_filter(string_split(regexp_replace(regexp_replace(interpretation, '([.!?])\s+', '\1'||chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g')) >= 3)"
+_MODE = f"[{', '.join(repr(m) for m in MODES)}][CAST(concat('0x', substr(md5(s), 1, 8)) AS BIGINT) % {len(MODES)} + 1]"
+
 
-    No SQL: the default's modes come from a hash that other engines lack.
-    """
+@query(
+    "uf01_claims",
+    rf"""{NOTES}, s AS (SELECT interpretation_id, CASE WHEN regexp_matches(interpretation, '\S') THEN CASE WHEN len({_SPLIT}) > 0 THEN {_SPLIT} ELSE [interpretation] END ELSE [] END AS s FROM notes), n AS (SELECT *, list_transform(s, lambda x: CAST(greatest(len(regexp_extract_all(x, '\S+')), 1) AS DOUBLE)) AS n FROM s),
+    w AS (SELECT *, list_transform(n, lambda x: greatest(x / list_sum(n), CAST(0.1 AS DOUBLE))) AS w FROM n), z AS (SELECT *, list_transform(w, lambda x: x / list_sum(w)) AS z FROM w), m AS (SELECT *, list_sort(list_transform(s, lambda s: {_MODE})) AS m FROM z), k AS (SELECT *, list_sort(list_distinct(m)) AS k FROM m)
+    SELECT interpretation_id, CAST(len(s) AS INTEGER) AS n_claims, round_even(coalesce(-list_sum(list_transform(z, lambda x: x * log2(x))), 0) + 0, 4) AS entropy, round_even(coalesce(list_min(z), 0), 4) AS least_weight, round_even(coalesce(list_max(z), 0), 4) AS largest_weight, array_to_string(k, ', ') AS modes,
+    coalesce(list_sort(list_transform(k, lambda q: concat(lpad(CAST(100000 - len(list_filter(m, lambda y: y = q)) AS VARCHAR), 6, '0'), q)))[1][7:], 'none') AS modal_mode, round_even(coalesce(list_sum(z), 0), 6) AS weight, abs(coalesce(list_sum(z), 0) - 1) <= 0.02 AS valid, CAST(coalesce(list_sum(list_transform(s, lambda x: len(regexp_extract_all(x, '\s+')) + 1)), 0) AS INTEGER) AS n_words FROM k""",
+)
+def uf01_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UF01, AJ02, AJ05, AG39: every text split into weighted claims by the pluggable splitter's plain default, and whether the claims are valid."""
     t = split_claims(table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", "interpretation"))
     weight = F.aggregate("subclaims", F.lit(0.0), lambda a, x: a + x["weight"])
     t = t.select("interpretation_id", "ingested_at", *(c.alias(n) for n, c in claim_stats(F.col("subclaims")).items()), half_even(weight, 6).alias("weight"), (F.abs(weight - 1) <= 0.02).alias("valid"), F.aggregate("subclaims", F.lit(0), lambda a, x: a + F.size(F.split(x["claim"], r"\s+"))).alias("n_words"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from marginalia.functions.json_text import merged, model_json
+from marginalia.functions.once import evaluated
+from marginalia.functions.rounding import half_even
 from marginalia.operators.dedup import latest
 from marginalia.operators.search import nearest
 from marginalia.plans.profiling_queries import readers
@@ -118,15 +119,34 @@ def jn22_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "books").select("book_id").join(ranked, "book_id", "left").select("book_id", F.coalesce("n", F.lit(9999)).alias("place"))
 
 
-@query("jn20_nearest")
+@query(
+    "jn20_nearest",
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id, e.label, list_cosine_similarity(q.v, e.v) AS sim FROM e q, e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS k FROM s), r AS (SELECT *, CAST(ql = label AS INTEGER) AS overlap FROM n WHERE k <= 200), p AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, sim DESC, vec_id) AS INTEGER) AS place, vec_id, overlap, round_even(sim, 6) AS similarity FROM r) SELECT * FROM p WHERE place <= 25""",
+)
 def jn20_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN20, SL05, SL06, ST08, MA11: of every vector whose id is divisible by 20 the 25 of its 200 nearest, those of its own label first."""
     e = table(spark, sf_dir, "embeddings")
-    return nearest(e.filter(F.col("vec_id") % 20 == 0), e, "vec_id", "embedding", 200, ["label"]).withColumn("overlap", (F.col("q_label") == F.col("label")).cast("int")).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("similarity"), "vec_id"))).filter("place <= 25").select("query_id", "place", "vec_id", "overlap", "similarity")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("similarity"), "vec_id"))
+    near = nearest(e.filter(F.col("vec_id") % 20 == 0), e, "vec_id", "embedding", 200, ["label"]).withColumn("overlap", (F.col("q_label") == F.col("label")).cast("int"))
+    return near.withColumn("place", place).filter("place <= 25").select("query_id", "place", "vec_id", "overlap", half_even(F.col("similarity"), 6).alias("similarity"))
 
 
-@query("aj08_merged_state", "SELECT user_id, json_extract_string(reading_state, '$.font') AS font, TRY_CAST(json_extract_string(reading_state, '$.page') AS INTEGER) AS page FROM users WHERE reading_state IS NOT NULL")
+@query("aj08_merged_state", "SELECT user_id, json_extract_string(reading_state, '$.font') AS font, TRY_CAST(json_extract_string(reading_state, '$.page') AS INTEGER) + 1 AS page, 'dark' AS theme, CAST(len(list_distinct(list_concat(json_keys(reading_state), ['page', 'theme']))) AS INTEGER) AS n_keys FROM users WHERE json_valid(reading_state)")
 def aj08_merged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AJ01, AJ03, AJ08: values of a JSON state; text that is no JSON gives nulls."""
-    s = F.from_json("reading_state", "map<string,string>")
-    return table(spark, sf_dir, "users").filter(F.col("reading_state").isNotNull()).select("user_id", s["font"].alias("font"), s["page"].try_cast("int").alias("page"))
+    """AJ03, AJ08: a patch of two keys merged into each reader's state, the patch wins; a state that is no JSON object has no row."""
+    state = F.from_json("reading_state", "map<string,string>")
+    patch = F.create_map(F.lit("page"), (state["page"].try_cast("int") + 1).cast("string"), F.lit("theme"), F.lit("dark"))
+    m = evaluated(table(spark, sf_dir, "users").filter(state.isNotNull()).select("user_id", "reading_state"), a=state, b=patch).withColumn("m", merged(F.col("a"), F.col("b")))
+    return m.select("user_id", F.col("m")["font"].alias("font"), F.col("m")["page"].try_cast("int").alias("page"), F.col("m")["theme"].alias("theme"), F.size("m").alias("n_keys"))
+
+
+_CHAT = "CASE WHEN length(user_id) = 0 THEN NULL WHEN substr(user_id, 1, 1) IN ('0', '1', '2', '3') THEN reading_state WHEN substr(user_id, 1, 1) IN ('4', '5', '6', '7', '8', '9') THEN concat('Here you are: ', reading_state, ' -- done') WHEN substr(user_id, 1, 1) IN ('a', 'b') THEN concat('{', reading_state) WHEN substr(user_id, 1, 1) = 'c' THEN '' ELSE 'no state' END"
+
+
+@query("aj01_model_json", f"WITH u AS (SELECT user_id, {_CHAT} AS x FROM users WHERE reading_state IS NOT NULL), j AS (SELECT user_id, x, CASE WHEN json_valid(x) THEN x WHEN json_valid(regexp_extract(x, '(?s)\{{.*\}}')) THEN regexp_extract(x, '(?s)\{{.*\}}') END AS j FROM u) SELECT user_id, json_extract_string(j, '$.font') AS font, CASE WHEN x = '' THEN 'empty response' WHEN j IS NULL OR j = '' THEN 'could not extract JSON' END AS error FROM j")
+def aj01_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AJ01: JSON out of a model's answer: as it stands, else from the first brace to the last, else an error."""
+    u = table(spark, sf_dir, "users").filter(F.col("reading_state").isNotNull()).select("user_id", F.expr(_CHAT).alias("x"))
+    found, error = model_json(F.col("x"))
+    return u.select("user_id", F.get_json_object(found, "$.font").alias("font"), error.alias("error"))

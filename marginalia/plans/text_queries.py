@@ -52,10 +52,10 @@ def tx02_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("tx04_passage_keys")
+@query("tx04_passage_keys", f"{NOTES} SELECT interpretation_id, substr(sha256(concat(coalesce(book_id, ''), '|', trim(lower(substr(passage, 1, 200))))), 1, 32) AS passage_key FROM notes")
 def tx04_passage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX04: the passage is cut before it is lowered and trimmed. No SQL: engines lower some letters differently."""
-    key = F.sha2(F.concat(F.coalesce("book_id", F.lit("")), F.lit("|"), F.trim(F.lower(F.substring("passage", 1, 200)))), 256)
+    """TX04: the passage is cut before it is lowered and trimmed. A null passage counts as empty."""
+    key = F.sha2(F.concat(F.coalesce("book_id", F.lit("")), F.lit("|"), F.coalesce(F.trim(F.lower(F.substring("passage", 1, 200))), F.lit(""))), 256)
     return notes(spark, sf_dir).select("interpretation_id", F.substring(key, 1, 32).alias("passage_key"))
 
 
@@ -66,9 +66,13 @@ def tx05_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "compat_runs").select("run_id", F.concat(F.lit("run_"), X.short_md5(F.concat_ws("|", a, b, "book_id", "passage_id"), 16)).alias("pair_run"), F.concat_ws("__", a, b).alias("pair_key"))
 
 
-@query("tx07_latin1_repair")
+_REPAIR_SQL = r"CASE WHEN regexp_full_match({0}, '[\x{{00}}-\x{{FF}}]*') THEN coalesce(TRY(decode(unhex(array_to_string(list_transform(string_split({0}, ''), lambda c: printf('%02x', unicode(c))), '')))), {0}) ELSE {0} END"
+_REPAIRED = _REPAIR_SQL.format("interpretation")
+
+
+@query("tx07_latin1_repair", f"{NOTES}, r AS (SELECT interpretation_id, interpretation, {_REPAIRED} AS fixed FROM notes WHERE interpretation <> '') SELECT interpretation_id, fixed FROM r WHERE fixed <> interpretation")
 def tx07_latin1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX07: rows that the latin-1 round trip changes. No SQL: DuckDB has no such round trip; tested on given texts."""
+    """TX07: rows that the latin-1 round trip changes."""
     t = raw_texts(spark, sf_dir).filter(F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("fixed", X.repaired(F.col("text")))
     return each_once(t.filter(F.col("text") != F.col("fixed")).select("interpretation_id", "ingested_at", "fixed"))
 
@@ -196,13 +200,19 @@ def tx24_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each_once(t.select("interpretation_id", "ingested_at", F.col("x").rlike(rf"(.)\1{{{RUN - 1},}}").alias("repetitive_chars"), F.coalesce(X.top_share(F.col("w")) > TOP_WORD, F.lit(False)).alias("repetitive_words")))
 
 
-@query("tx28_reading_ease")
+_SYLLABLES = "list_sum(list_transform(regexp_extract_all(lower(interpretation), '[a-z]+'), lambda w: greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN regexp_matches(w, '[^aeiouy]e$') THEN 1 ELSE 0 END)))"
+
+
+@query("tx28_reading_ease", rf"{NOTES}, m AS (SELECT interpretation_id, len(regexp_extract_all(interpretation, '\S+')) AS wc, greatest(len({_PARTS}), 1) AS sc, coalesce({_SYLLABLES}, 0) AS sy FROM notes WHERE regexp_matches(interpretation, '\S')) SELECT interpretation_id, round_even(least(greatest(CAST(206.835 AS DOUBLE) - CAST(1.015 AS DOUBLE) * wc / sc - CAST(84.6 AS DOUBLE) * sy / wc, 0), 100), 2) AS readability_score FROM m")
 def tx28_reading_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX28, UF05."""
     return each_once(raw_texts(spark, sf_dir).filter(F.col("text").rlike(r"\S")).select("interpretation_id", "ingested_at", half_even(X.reading_ease(F.col("text")), 2).alias("readability_score")))
 
 
-@query("flt09_injection")
+_INJECTION_SQL = X.INJECTION_PATTERN.replace("'", "''")
+
+
+@query("flt09_injection", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_INJECTION_SQL}')")
 def flt09_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT09: documents that try to steer a model."""
     return table(spark, sf_dir, "documents").filter(F.col("text").rlike(X.INJECTION_PATTERN)).select("doc_id")
@@ -216,7 +226,14 @@ def outcomes(t: DataFrame) -> DataFrame:
     return validated(t).withColumn("outcome", F.coalesce(gate, F.lit("accepted")))
 
 
-@query("flt14_outcomes")
+_CLEANED = _CLEAN_SQL.replace("interpretation", "raw")
+_ACCEPTED = rf"""r AS (SELECT interpretation_id, coalesce({_REPAIRED}, '') AS raw FROM notes), k AS (SELECT interpretation_id, {_CLEANED} AS x FROM r), c AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS wc, length(replace(x, ' ', '')) AS ch, len(regexp_extract_all(x, '\p{{L}}')) AS letters, len(regexp_extract_all(lower(x), '[aeiou]')) AS vowels, {_LETTERS} AS w FROM k),
+    v AS (SELECT *, wc BETWEEN 10 AND 600 AND ch >= 50 AND NOT (letters >= 10 AND (CAST(vowels AS DOUBLE) / letters < 0.15 OR CAST(vowels AS DOUBLE) / letters > 0.6)) AS is_valid FROM c),
+    o AS (SELECT interpretation_id, CASE WHEN regexp_matches(x, '{_INJECTION_SQL}') THEN 'rejected_injection' WHEN NOT is_valid THEN 'rejected_invalid' WHEN regexp_matches(x, '\b{X.EMAIL}\b') OR regexp_matches(x, '{X.SSN}') OR regexp_matches(x, '{X.CARD}') OR len(list_filter(regexp_extract_all(x, '{X.PHONE}'), lambda m: length(regexp_replace(m, '\D', '', 'g')) >= 10)) > 0 THEN 'rejected_pii'
+    WHEN CAST(len(list_filter(w, lambda t: t IN ({', '.join(repr(p) for p in X.PROFANITY)}))) AS DOUBLE) / greatest(len(w), 1) >= {PROFANE} THEN 'rejected_profanity' WHEN coalesce(CAST(len(regexp_extract_all(x, '\p{{Lu}}')) AS DOUBLE) / nullif(letters, 0) > {CAPS}, false) THEN 'rejected_spam' ELSE 'accepted' END AS outcome FROM v)"""
+
+
+@query("flt14_outcomes", f"{NOTES}, {_ACCEPTED} SELECT outcome, count(*) AS n FROM o GROUP BY 1")
 def flt14_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT10-FLT14: how many texts end at which gate."""
     return each_once(outcomes(raw_texts(spark, sf_dir)).select("interpretation_id", "ingested_at", "outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
