@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +26,47 @@ def get_session(app: str = "marginalia", cpus: str = "*", **conf: str) -> SparkS
     return builder.config(map=settings).getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the one that spark.checkpoint.dir names.
 
-    Only where spark.checkpoint.dir is unset, as in local tests, a temporary
-    folder of this machine is used.
+    Only a local session that names none, as in tests, gets a temporary folder of this
+    machine; a session on a cluster without one is an error. What is written there is
+    deleted when this program ends, but for checkpoints in a folder that was named.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marginalia-ckpt-")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="marginalia-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: beside the checkpoints; a temporary one only in local tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marginalia-ckpt-"))
-    return f"{sc.getCheckpointDir()}/scratch"
+    """A folder in the shared one for what this program writes and reads again; it is deleted at the end."""
+    folder = f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_forget, spark, folder)
+    return folder
+
+
+_SCRATCH: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before the program
+        if folder.startswith(("/", "file:")):
+            shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)

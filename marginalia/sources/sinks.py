@@ -52,6 +52,14 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def append(self, df: DataFrame) -> str:
+        """The next version: the current rows and these."""
+        return self.write(df if self.current() is None else self.read().unionByName(df))
+
+    def truncate(self) -> str:
+        """The next version: no rows, the same columns; the table must have a version."""
+        return self.write(self.read().limit(0))
+
     def write(self, df: DataFrame) -> str:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
