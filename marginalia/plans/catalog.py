@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.plans.registry import ORACLES, QUERIES
 
-MODULES = ("sources", "text", "profiling", "anomalies", "scoring", "ranking", "gates", "serving", "relational", "values", "display", "records", "streams")
+MODULES = ("text", "profiling", "anomalies", "scoring", "sources", "ranking", "gates", "serving", "relational", "values", "display", "records", "streams")
 
 
 def _load() -> None:

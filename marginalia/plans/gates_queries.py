@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia.functions.rounding import half_even, ratio
 from marginalia.functions.stats import f_tail
@@ -154,3 +154,24 @@ def group_means(df: DataFrame, group: str, values: tuple[str, ...], least: int =
     lit = lambda x: F.lit(x).cast("double")
     cols = [c for v in values for c in (half_even(F.col(f"m_{v}"), 2).alias(f"mean_{v}"), half_even(F.col(f"s_{v}"), 2).alias(f"std_{v}"), (F.abs(F.col(f"m_{v}") - lit(whole[f"m_{v}"])) > lit(whole[f"s_{v}"])).alias(f"{v.split('_')[0]}_flag"))]
     return g.select(group, "n", *cols)
+
+
+def result_errors(runs: DataFrame) -> Column:
+    """What is wrong with a result, as texts: sums, ranges and labels of both sets of shares, the confidence; empty if nothing is."""
+    checks = []
+    for p in ("think", "feel"):
+        shares = [F.col(f"{p}_{k}") for k in "rcd"]
+        gone = F.greatest(*(s.isNull().cast("int") for s in shares)) == 1
+        checks += [F.when(gone, f"{p}: missing"), F.when(~gone & (F.abs(shares[0] + shares[1] + shares[2] - 100) > 2), f"{p}: sum"), F.when(~gone & ~(_within(f"{p}_r") & _within(f"{p}_c") & _within(f"{p}_d")), f"{p}: range"), F.when(~F.coalesce(F.col(f"dominant_{p}").isin(*LABELS), F.lit(False)), f"dominant_{p}: label")]
+    checks.append(F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence: range"))
+    return F.array_compact(F.array(*checks))
+
+
+_ERRORS = ", ".join(x for p in ("think", "feel") for x in (f"CASE WHEN {p}_r IS NULL OR {p}_c IS NULL OR {p}_d IS NULL THEN '{p}: missing' END", f"CASE WHEN abs({p}_r + {p}_c + {p}_d - 100) > 2 THEN '{p}: sum' END", f"CASE WHEN NOT ({p}_r BETWEEN 0 AND 100 AND {p}_c BETWEEN 0 AND 100 AND {p}_d BETWEEN 0 AND 100) THEN '{p}: range' END", f"CASE WHEN NOT coalesce(dominant_{p} IN ('resonate', 'contradict', 'diverge'), false) THEN 'dominant_{p}: label' END"))
+
+
+@query("aj12_result_errors", f"WITH e AS (SELECT run_id, concat_ws('; ', {_ERRORS}, CASE WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence: range' END) AS errors FROM compat_runs) SELECT * FROM e WHERE errors <> ''")
+def aj12_result_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AJ12, AJ13, UF13: the results that break a rule, and which."""
+    r = table(spark, sf_dir, "compat_runs")
+    return r.select("run_id", F.array_join(result_errors(r), "; ").alias("errors")).filter("errors <> ''")

@@ -144,7 +144,7 @@ def aj08_merged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHAT = "CASE WHEN length(user_id) = 0 THEN NULL WHEN substr(user_id, 1, 1) IN ('0', '1', '2', '3') THEN reading_state WHEN substr(user_id, 1, 1) IN ('4', '5', '6', '7', '8', '9') THEN concat('Here you are: ', reading_state, ' -- done') WHEN substr(user_id, 1, 1) IN ('a', 'b') THEN concat('{', reading_state) WHEN substr(user_id, 1, 1) = 'c' THEN '' ELSE 'no state' END"
 
 
-@query("aj01_model_json", f"WITH u AS (SELECT user_id, {_CHAT} AS x FROM users WHERE reading_state IS NOT NULL), j AS (SELECT user_id, x, CASE WHEN json_valid(x) THEN x WHEN json_valid(regexp_extract(x, '(?s)\{{.*\}}')) THEN regexp_extract(x, '(?s)\{{.*\}}') END AS j FROM u) SELECT user_id, json_extract_string(j, '$.font') AS font, CASE WHEN x = '' THEN 'empty response' WHEN j IS NULL OR j = '' THEN 'could not extract JSON' END AS error FROM j")
+@query("aj01_model_json", rf"WITH u AS (SELECT user_id, {_CHAT} AS x FROM users WHERE reading_state IS NOT NULL), j AS (SELECT user_id, x, CASE WHEN json_valid(x) THEN x WHEN json_valid(regexp_extract(x, '(?s)\{{.*\}}')) THEN regexp_extract(x, '(?s)\{{.*\}}') END AS j FROM u) SELECT user_id, json_extract_string(j, '$.font') AS font, CASE WHEN x = '' THEN 'empty response' WHEN j IS NULL OR j = '' THEN 'could not extract JSON' END AS error FROM j")
 def aj01_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AJ01: JSON out of a model's answer: as it stands, else from the first brace to the last, else an error."""
     u = table(spark, sf_dir, "users").filter(F.col("reading_state").isNotNull()).select("user_id", F.expr(_CHAT).alias("x"))

@@ -7,7 +7,7 @@ import json
 import re
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -137,8 +137,21 @@ def epub_pages(content: bytes) -> list[tuple[int, str, str]]:
     return out
 
 
+_PDF_STRING = re.compile(rb"\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]+>|\bT(?:\*|[dD]\b)|'")
+_PDF_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3})")
+#: What the escapes of a PDF's strings stand for.
+_PDF_SIGNS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_bytes(token: bytes) -> bytes:
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return _PDF_ESCAPE.sub(lambda m: _PDF_SIGNS.get(m[1]) or (bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1]), token[1:-1])
+
+
 def pdf_text(content: bytes) -> str:
-    """Text of a PDF's content streams: plain or deflated ones with literal strings; other encodings are skipped."""
+    """Text of a PDF's content streams: plain or deflated ones, with literal or hexadecimal strings of one byte a character; a line for each text block and each move to a next line. Fonts with codes of their own are not decoded."""
     out = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
         data = m[1]
@@ -146,12 +159,38 @@ def pdf_text(content: bytes) -> str:
             data = zlib.decompress(data)
         except zlib.error:
             pass
-        for block in re.findall(rb"BT(.*?)ET", data, re.S):
-            line = b"".join(re.sub(rb"\\([()\\])", rb"\1", s) for s in re.findall(rb"\(((?:\\.|[^()\\])*)\)", block))
-            out.append(line.decode("latin-1"))
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", data, re.S):
+            line = b"".join(b"\n" if t in (b"T*", b"Td", b"TD", b"'") else _pdf_bytes(t) for t in _PDF_STRING.findall(block))
+            out.append(line.decode("latin-1").strip("\n"))
     return "\n".join(out)
 
 
+def regex_rows(df: DataFrame, column: str, pattern: str, names: Sequence[str]) -> DataFrame:
+    """`df`'s other columns and, for every match of `pattern` in the text, its groups by name: a table out of running text. A text without a match has no row."""
+    found = df.filter(F.col(column).rlike(pattern)).withColumn("__m", F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(0))))
+    return found.select(*(c for c in df.columns if c != column), *(F.regexp_extract("__m", pattern, k + 1).alias(n) for k, n in enumerate(names)))
+
+
+def paged(fetch: Callable[[int], Sequence[dict]], count: int, schema: str, spark: SparkSession) -> DataFrame:
+    """The first `count` rows of a service that gives them page by page, from page 1; it ends at an empty page."""
+    rows: list[dict] = []
+    page = 1
+    while len(rows) < count and (got := fetch(page)):
+        rows += got
+        page += 1
+    return spark.createDataFrame([tuple(r.values()) for r in rows[:count]], schema)
+
+
+def best_matches(answers: DataFrame, config: DataFrame) -> DataFrame:
+    """(title, source_id, author, found) for every title of `config` (title, source_id, author): of a service's answers (title, place, answer_title, source_id, authors) the first whose title holds the wanted one, else the first; without any, what the configuration says."""
+    holds = F.contains(F.lower("answer_title"), F.lower("title"))
+    best = answers.groupBy("title").agg(F.min(F.struct((~F.coalesce(holds, F.lit(False))).alias("other"), "place", "source_id", "authors")).alias("b"))
+    author = F.regexp_replace(F.coalesce(F.get("b.authors", F.lit(0)), F.lit("Unknown")), r"^([^,]*),\s*(.*)$", "$2 $1")
+    own = config.select("title", F.col("source_id").alias("own_id"), F.col("author").alias("own_author"))
+    found = F.col("b").isNotNull()
+    return own.join(best, "title", "left").select("title", F.when(found, F.col("b.source_id")).otherwise(F.col("own_id")).alias("source_id"), F.when(found, author).otherwise(F.col("own_author")).alias("author"), found.alias("found"))
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, heading, text) of EPUB and PDF files; a file that can't be parsed gives no pages."""
 
