@@ -276,3 +276,82 @@ def test_versions_survive_a_lost_write(spark, tmp_path):
     with pytest.raises(Exception):
         t.write(spark.range(3).selectExpr("cast(raise_error('x') as int) a"))
     assert t.current() == before and t.read().count() == 3
+
+
+def test_public_hash_and_display_names(spark):
+    from marginalia.functions import display as D
+    from marginalia.functions.farm import signed
+
+    # values that the documentation of a public function gives
+    assert [signed(t.encode()) for t in ("1footrue", "2applefalse", "3true")] == [-1541654101129638711, 2794438866806483259, -4880158226897771312]
+    assert len({signed(b"ab" * k) for k in range(200)}) == 200
+    one = lambda f, *s: value(spark, f(*map(F.lit, s)))
+    assert one(D.safe_name, "scheduled__2026-03-30T00:00:00+00:00") == "staging_scheduled__2026_03_30_00_00_00_00_00"
+    assert [one(D.task_name, x) for x in ("[Load] x", "Checking the Schema", "hello", "bias in statistics")] == ["Load", "Schema Stats", "General", "Bias Detection"]
+    got = spark.createDataFrame([(60, 30, 10), (34, 33, 33), (45, 40, 15), (0, 0, 0)], "r int, c int, d int").select(*D.band(*map(F.col, "rcd"))).collect()
+    assert [tuple(r) for r in got] == [("strong", "R"), ("split", "R"), ("moderate", "R"), (None, None)]
+
+
+def test_given_scores(spark):
+    """What the described scorer's answers give: all left over is divergence; no weight, no row; both forms of lists."""
+    from marginalia.operators.pairing import aggregate_scores, scoring_of
+
+    claims = "array<struct<id:string,weight:double>>"
+    rows = [
+        (1, [("1", 1.0)], [("1", 1.0)], 50, 50, '{"matched_pairs":[],"unmatched_a":["1"],"unmatched_b":["1"]}'),
+        (2, [("1", 0.6), ("2", 0.4)], [("1", 0.55), ("2", 0.45)], 38, 31, '{"matched_pairs":[{"a_id":"1","b_id":"1","weight_a":0.6,"weight_b":0.55,"think_q":[true,true,false,false,true],"feel_q":[true,true,true,true,true]}],"unmatched_a":[{"id":"2","divergence":true}],"unmatched_b":["2"]}'),
+        (3, [], [], 0, 0, '{"matched_pairs":[],"unmatched_a":[],"unmatched_b":[]}'),
+        (4, [("1", 1.0)], [("1", 1.0)], 1, 1, "no json"),
+    ]
+    df = spark.createDataFrame(rows, f"run_id int, claims_a {claims}, claims_b {claims}, wc_a int, wc_b int, answers string")
+    m, a, b = scoring_of(F.col("answers"))
+    got = {r.run_id: r for r in aggregate_scores(df.withColumns({"matched": m, "unmatched_a": a, "unmatched_b": b}), ["run_id"]).collect()}
+    assert set(got) == {1, 2} and (got[1].think_d, got[1].feel_d, got[1].dominant_think, got[1].match_count) == (100, 100, "diverge", 0)
+    r = got[2]
+    total = 0.55 + 0.4 + 0.3 * 0.45
+    assert (r.think_r, r.feel_r, r.feel_c, r.match_count) == (round(0.55 * 0.8 / total * 100), round(0.55 / total * 100), 0, 1)
+    assert r.confidence == round(0.3 * 31 / 38 + 0.4 * 0.5 + 0.3 * (max(r.think_r, r.think_c, r.think_d) + max(r.feel_r, r.feel_c, r.feel_d)) / 200, 2)
+
+
+def test_records(spark):
+    from marginalia.operators.records import Functions, Pusher, retried, schema_anomalies, schema_rows, timed
+
+    clock = iter([0.0, 10.0, 29.9, 30.0, 31.0]).__next__
+    sent = []
+    p = Pusher(sent.append, 30, clock)
+    assert [p(k) for k in range(5)] == [True, False, False, True, False] and sent == [0, 3]
+    waits, left = [], iter([OSError("503"), OSError("503"), None])
+
+    def call():
+        if (e := next(left)) is not None:
+            raise e
+        return "ok"
+
+    assert retried(call, sleep=waits.append) == ("ok", 3, None) and waits == [1.0, 2.0]
+
+    def broken():
+        raise OSError("404")
+
+    assert retried(broken)[1:] == (1, "404")
+    seen = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    other = spark.createDataFrame([("z", None, 1.0), ("a", 3, 2.0)], "k string, v int, w double")
+    assert {tuple(r) for r in schema_anomalies(other, schema_rows(seen)).collect()} == {("w", "new", None), ("k", "value", 1), ("v", "missing", 1)}
+    t = timed(spark, {"a": lambda: 1, "b": broken}, 1, iter([0.0, 5.0, 5.0, 5.5]).__next__).collect()
+    assert [(r.step, r.slow, r.error is None) for r in t] == [("a", True, True), ("b", False, False)]
+    f = Functions(spark)
+    f.add("marginalia_twice", "a INT", "INT", "a * 2")
+    assert spark.range(2).selectExpr("CAST(id AS INT) AS a").select(f.call("marginalia_twice", "a")).collect()[1][0] == 2 and f.calls().count() == 1
+    with pytest.raises(KeyError):
+        f.call("gone")
+
+
+def test_text_pages_keep_every_chapter(spark):
+    from marginalia.operators.books import text_pages
+
+    para = "A paragraph that is surely longer than sixty characters, so that it is kept."
+    body = "".join(f"\nCHAPTER {k} of it\n\n" + "\n\n".join([para] * (25 if k == 2 else 1)) for k in range(1, 101))
+    rows = [(1, f"junk *** START OF THE PROJECT GUTENBERG EBOOK X ***{body}*** END OF THE PROJECT GUTENBERG EBOOK X *** more"), (2, para), (3, "short"), (4, None), (5, " ")]
+    got = text_pages(spark.createDataFrame(rows, "id int, t string"), "id", "t", F.lit("Whole")).orderBy("id", "chapter", "part").collect()
+    one = [r for r in got if r.id == 1]
+    assert len(one) == 101 and [(r.label, len(r.paragraphs)) for r in one[:3]] == [("CHAPTER 1 of it", 1), ("CHAPTER 2 of it (1/2)", 20), ("CHAPTER 2 of it (2/2)", 5)]
+    assert [(r.id, r.label) for r in got if r.id != 1] == [(2, "Whole")]
