@@ -150,7 +150,7 @@ def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "compat_runs")
     votes = ranking.valid_votes(table(spark, sf_dir, "comparisons"), runs)
     out = ranking.ranked(ranking.strengths(votes, runs.select(F.col("run_id").alias("item")).dropna().distinct()))
-    return ranking.placed(out, F.desc("strength"), "item").withColumnRenamed("item", "run_id")
+    return ranking.placed(out, F.desc("strength"), F.asc("item")).withColumnRenamed("item", "run_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("marginalia.llm")
 from marginalia.llm import garbled, lookalikes, quality, ranking  # noqa: E402
@@ -146,13 +147,38 @@ def test_strengths_recover_the_truth(spark):
         i, j = rng.choice(25, 2, replace=False)
         votes.append((int(i), int(j)) if rng.random() < true[i] / (true[i] + true[j]) else (int(j), int(i)))
     items = spark.createDataFrame([(i,) for i in range(26)], "item long")
-    out = {r["item"]: r.strength for r in ranking.strengths(spark.createDataFrame(votes, "winner long, loser long"), items).collect()}
+    out = {r["item"]: r.strength for r in ranking.strengths(spark.createDataFrame(votes, "winner long, loser long").withColumn("n", F.lit(1)), items).collect()}
     got = np.log([out[i] for i in range(25)])
     want = np.log(true) - np.log(true).mean()
     assert np.corrcoef(got, want)[0, 1] > 0.98 and np.abs(got - got.mean() - want).max() < 0.6
     assert out[25] == pytest.approx(1.0, rel=0.5)
 
 
+def test_strengths_are_those_of_the_likelihood_at_any_size(spark):
+    """The chain's fixed point against direct maximisation, with few and uneven votes, and the joined form against the sent one."""
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b), int(n)) for a, b, n in rng.integers(0, 9, (60, 3)) if a != b and n] + [(20, 1, 3), (2, 21, 2), (20, 22, 1)]
+    votes = spark.createDataFrame(pairs, "winner long, loser long, n long")
+    items = spark.createDataFrame([(i,) for i in sorted({x for p in pairs for x in p[:2]} | {30})], "item long")
+    near, far = ({r["item"]: r.strength for r in ranking.strengths(votes, items, sent=s).collect()} for s in (100, 0))
+    assert near.keys() == far.keys() and all(abs(np.log(near[k] / far[k])) < 5e-3 for k in near)
+    names = sorted(near)
+    t = np.zeros(len(names))
+    for _ in range(20_000):  # fixed-point form of the same likelihood, with the same smoothing
+        s = np.exp(t - t.mean())
+        come, go = np.zeros(len(t)), np.zeros(len(t))
+        for a, b, n in pairs:
+            i, j = names.index(a), names.index(b)
+            come[i] += n / (s[i] + s[j]) * s[j]
+            go[j] += n / (s[i] + s[j])
+        smooth = ranking.PRIOR / 2 / (s + 1)
+        new = np.log((come + smooth) / (go + smooth))
+        if np.abs(new - new.mean() - np.log(s)).max() < 1e-10:
+            break
+        t = 0.5 * new + 0.5 * t
+    assert np.abs(np.log([near[k] for k in names]) - np.log(s)).max() < 0.03
+
+
 def test_run_ids_written_unevenly(spark):
     rows = spark.createDataFrame([(x,) for x in ["12", " 12 ", "12.0", "012", "12.00", None, "x", "", "1.5"]], "t string")
     assert [r[0] for r in rows.select(ranking.run_id(rows.t)).collect()] == [12, 12, 12, 12, 12, None, None, None, None]
