@@ -84,9 +84,9 @@ def built(make: Callable[..., object], *args, keep: int = 8) -> object:
     return _BUILT[key]
 
 
-def words_of(df: DataFrame, column: str, rows: int = 10_000) -> set[str]:
-    """The words of a small table's column; `rows` bounds what is taken from it."""
-    return {w for (text,) in df.select(column).filter(F.col(column).isNotNull()).limit(rows).collect() for w in re.findall(r"[^\W\d_]+", text)}
+def words_of(df: DataFrame, column: str) -> set[str]:
+    """The distinct words of a fixed table's column."""
+    return {w for (text,) in df.select(column).filter(F.col(column).isNotNull()).distinct().collect() for w in re.findall(r"[^\W\d_]+", text)}
 
 
 def sample_texts(df: DataFrame, order: str, column: str, rows: int = 10_000) -> list[str]:

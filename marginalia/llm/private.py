@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from functools import cache
 
 import numpy as np
+import xxhash
 
 from marginalia.llm.lookalikes import readable
 from marginalia.llm.pii_seeds import FIRST, STREETS, TITLES, Maker
@@ -22,20 +23,38 @@ KINDS = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 OFFSETS = (-2, -1, 0, 1, 2)
 EPOCHS, RATE, DECAY, BATCH = 5, 0.25, 1e-5, 24
+#: Words of the longest name; a longer span of capitalised words is a heading or a list.
+LONGEST_NAME = 10
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _STREET = {t.strip(".").lower() for _, types in STREETS.values() for t in types}
 _STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|platz|allee|ufer|straat|laan|kade|plein|gracht|dijk|singel|steeg)$")
 _TITLE = {w.strip(".").lower() for t in TITLES.values() for x in t for w in x.split() if len(w) > 1} - {"la", "el", "a", "o"}
 
 
+class Names:
+    """A set of lower-case words as sorted 64-bit hashes, 8 bytes each, as Spark's xxhash64 gives them; equal hashes of different names are no matter here."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(np.asarray(hashes, np.int64))
+
+    def __contains__(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        h -= (h >> 63) << 64
+        at = int(np.searchsorted(self.hashes, h))
+        return at < len(self.hashes) and int(self.hashes[at]) == h
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
 class Lists:
-    """Names known from the tables: characters and authors, and (bounded) the most frequent of the users'."""
+    """Names known from the tables: characters and authors, and all first and last names of users, as texts or as Names."""
 
-    def __init__(self, cast: Iterable[str], first: Iterable[str], last: Iterable[str], common: Iterable[str] = ()):
+    def __init__(self, cast: Iterable[str], first: Iterable[str] | Names, last: Iterable[str] | Names, common: Iterable[str] = ()):
         self.cast = {" ".join(n.lower().split()) for n in cast}
         self.cast_first = {n.split()[0] for n in self.cast if " " in n}
         self.cast_last = {n.split()[-1] for n in self.cast if " " in n}
-        split = lambda names: {w for n in names for w in TOKEN.findall(n.lower())}
+        split = lambda names: names if isinstance(names, Names) else {w for n in names for w in TOKEN.findall(n.lower())}
         self.first, self.last = split(first), split(last)
         self.common = {w.lower() for w in common}
 
@@ -239,25 +258,36 @@ _END = re.compile(r"[.!?…]+[\"”»’')\]]*\s+|\n\s*\n\s*")
 _SHORT = re.compile(r"(?:^|[^\w])(?:[A-ZÀ-Þ]|St|Mr|Ms|Dr|Av|Rd|Sr|Mrs|Ave|Sra|Str|dhr|no|mevr)$|str$")
 
 
-def segments(text: str, longest: int = 500, window: int = 300) -> list[tuple[int, int]]:
-    """(start, end) of the sentences; very long ones in windows cut at spaces."""
+def segments(text: str, longest: int = 500, window: int = 300, overlap: int = 100) -> list[tuple[int, int]]:
+    """(start, end) of the sentences; very long ones in windows, cut at spaces where there are any, each of which repeats the last `overlap` characters of the one before."""
     out, at = [], 0
     for m in [*_END.finditer(text), None]:
         if m and text[m.start()] == "." and _SHORT.search(text, max(0, m.start() - 6), m.start()):
             continue
         end = m.end() if m else len(text)
         while end - at > longest:
-            cut = text.find(" ", at + window, end)
-            if cut < 0:
-                break
-            out.append((at, cut + 1))
-            at = cut + 1
+            cut = text.find(" ", at + window, at + longest) + 1 or at + window
+            out.append((at, cut))
+            back = text.rfind(" ", at, cut - overlap) + 1
+            at = back if back > at else cut - overlap
         if end > at:
             out.append((at, end))
         at = end
     return out
 
 
+def joined(spans: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans in order, as windows that overlap find them: of those that share characters the longest stands, the first on a tie."""
+    out: list[tuple[int, int, str]] = []
+    for a, z, k in sorted(set(spans)):
+        if out and a < out[-1][1]:
+            if z - a > out[-1][1] - out[-1][0]:
+                out[-1] = (a, z, k)
+        else:
+            out.append((a, z, k))
+    return out
+
+
 @cache
 def trained_field(seed: int) -> Crf:
     """The field, trained on the made-up table with the lists of its own made-up names."""
@@ -279,27 +309,28 @@ class Redactor:
         return self.__dict__ | {"known": {}}
 
     def candidate(self, s: str) -> bool:
-        """Whether a sentence can hold any kind: a sign of address or number, a name that isn't a character's, a title, a known surname."""
+        """Whether a sentence can hold any kind: a sign of address or number, a title, two words that may be a name and aren't a character's, or all letters in one case.
+
+        No list of users' names takes part but to save a name from looking like an
+        ordinary word, so a name that no user has is put to the field as well.
+        """
         if _MAIL_GATE.search(s):
             return True
-        if 40 * (s.count(" ") + s.count("\n")) < len(s) - 40:  # no text at all
-            return False
         words = s.lower().translate(_EDGES).split()
         if _DIGIT.search(s) and (_MANY_DIGITS.search(s) or not _STREET.isdisjoint(words) or _STREET_GATE.search(s)):
             return True
         if not _TITLE.isdisjoint(words):
             return True
-        lists = self.lists
         if s.isupper() or s.islower():
-            return not lists.last.isdisjoint(words)
+            return len(words) > 1
+        lists = self.lists
         for m in _PAIR.finditer(s):
             a, b = m[1].lower().rstrip("."), m[3].lower()
             for end in ("’s", "'s"):
                 b = b.removesuffix(end)
-            in_cast = a in lists.cast_first or a in lists.cast_last
-            if b in lists.cast_last and (a in lists.cast_first or a not in lists.first):
+            if b in lists.cast_last and a in lists.cast_first:
                 continue
-            if (in_cast or a in lists.common) and (b in lists.cast_first or a in lists.common):
+            if (a in lists.common or a in lists.cast_last and b in lists.cast_first) and a not in lists.first:
                 continue
             return True
         return False
@@ -324,7 +355,7 @@ class Redactor:
         if not s.isascii():
             s = readable(s)
         words = [w for w in TOKEN.findall(s) if w.isalpha()]
-        if len(words) > 6 or max(map(len, words)) < 3 or not (s.islower() or sum(w[0].isupper() for w in words) >= 2):
+        if len(words) > LONGEST_NAME or max(map(len, words)) < 3 or not (s.islower() or sum(w[0].isupper() for w in words) >= 2):
             return False
         low = [w.lower() for w in words if w.lower() not in _TITLE]
         if not low or len(words) < 2:
@@ -355,7 +386,7 @@ class Redactor:
             cut.append(own)
         for s, found in zip(todo, self.crf.decode(todo)):
             known[s] = [f for f in found if self._holds(s, *f)]
-        return [[(a + x, a + y, k) for a, s in own for x, y, k in known[s]] for own in cut]
+        return [joined([(a + x, a + y, k) for a, s in own for x, y, k in known[s]]) for own in cut]
 
     @staticmethod
     def redact(text: str, spans: Sequence[tuple[int, int, str]]) -> str:

@@ -13,7 +13,7 @@ from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PAS
 from marginalia.llm.garbled import Repairer
 from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows
 from marginalia.llm.pii_seeds import plain_samples
-from marginalia.llm.private import Lists, Redactor
+from marginalia.llm.private import Lists, Names, Redactor
 from marginalia.llm.quality import NAMES, ProseModel
 from marginalia.tables import table
 
@@ -21,8 +21,8 @@ from marginalia.tables import table
 ABUSE_FROM = 0.45
 #: Unlabelled texts of each kind that the abuse model is shown.
 UNLABELLED = 1000
-#: Most characters and authors, and most first and last names of users, that the redactor lists.
-LISTED_CAST, LISTED_NAMES = 50_000, 5000
+#: Distinct first or last names of users (8 bytes each) up to which they are sent to the tasks; more are an error, as none may be left out.
+SENT_NAMES = 20_000_000
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> set[str]:
@@ -107,17 +107,21 @@ def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
     return built(ProseModel, good or [t for _, t in plain_samples()], sample_texts(table(spark, sf_dir, "common_words"), "word", "word"))
 
 
-def _redactor(spark: SparkSession, sf_dir: str) -> Redactor:
-    """The field with the project's lists of names.
+def _names(users: DataFrame, column: str) -> Names:
+    """All words of a column of names, as hashes: 8 bytes each, of at most SENT_NAMES distinct ones."""
+    words = users.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).select(F.xxhash64("w").alias("h")).distinct()
+    hashes = words.limit(SENT_NAMES + 1).toPandas()["h"].to_numpy()
+    if len(hashes) > SENT_NAMES:
+        raise ValueError(f"more than {SENT_NAMES} distinct names in {column}")
+    return Names(hashes)
 
-    Characters and authors come from fixed tables. Of the users' names the most
-    frequent are listed; a name outside the list is found by its form and place.
-    """
+
+def _redactor(spark: SparkSession, sf_dir: str) -> Redactor:
+    """The field with the project's lists of names: characters and authors, from fixed tables, and all names of users."""
     books = table(spark, sf_dir, "books").select(F.regexp_replace("author", r"^([^,]*),\s*(.*)$", "$2 $1").alias("name"))
-    cast = {r[0] for r in table(spark, sf_dir, "book_cast").select(F.col("cast_name").alias("name")).unionByName(books).filter(F.col("name").isNotNull()).distinct().limit(LISTED_CAST).collect()}
+    cast = {r[0] for r in table(spark, sf_dir, "book_cast").select(F.col("cast_name").alias("name")).unionByName(books).filter(F.col("name").isNotNull()).distinct().collect()}
     users = table(spark, sf_dir, "users")
-    first, last = ({r[0] for r in users.filter(F.trim(c) != "").groupBy(c).count().orderBy(F.desc("count"), c).limit(LISTED_NAMES).collect()} for c in ("first_name", "last_name"))
-    return Redactor(Lists(cast, first, last, words_of(table(spark, sf_dir, "common_words"), "word")))
+    return Redactor(Lists(cast, _names(users, "first_name"), _names(users, "last_name"), words_of(table(spark, sf_dir, "common_words"), "word")))
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +129,11 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null, empty and blank texts hold none.
     """
-    redactor = _redactor(spark, sf_dir)
+    sent = spark.sparkContext.broadcast(_redactor(spark, sf_dir))
 
     def make():
+        redactor = sent.value
+
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(3).to_pylist()
             found = [(i, sorted({k for _, _, k in s}), redactor.redact(t, s)) for i, (t, s) in enumerate(zip(texts, redactor.spans(texts))) if s]
@@ -174,10 +180,10 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null, empty and blank texts have none. A short or unsure sentence belongs to the
     stretch it stands in. Repeated records have repeated stretches.
     """
-    model = _language_model(spark, sf_dir)
+    sent = spark.sparkContext.broadcast(_language_model(spark, sf_dir))
 
     def make():
-        labeller = Labeller(model)
+        labeller = Labeller(sent.value)
 
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [(i, k, *s) for i, r in enumerate(labeller.stretches([t if t and not t.isspace() else "" for t in b.column(3).to_pylist()])) for k, s in enumerate(r)]
@@ -191,9 +197,10 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrongly labelled and mixed records; only those are put to the prose model, as texts that are no prose are no cases."""
-    model, prose = _language_model(spark, sf_dir), _prose_model(spark, sf_dir)
+    sent = spark.sparkContext.broadcast((_language_model(spark, sf_dir), _prose_model(spark, sf_dir)))
 
     def make():
+        model, prose = sent.value
         labeller = Labeller(model)
 
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -221,10 +228,12 @@ def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null, empty and blank texts have zeros, no probability and no verdict. A record
     delivered twice has equal rows; p6_found has it once.
     """
-    model = _prose_model(spark, sf_dir)
+    sent = spark.sparkContext.broadcast(_prose_model(spark, sf_dir))
     shown = NAMES[:5]
 
     def make():
+        model = sent.value
+
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(3).to_pylist()
             x, p = model.score(texts)
@@ -245,8 +254,11 @@ def _abuse_scores(spark: SparkSession, sf_dir: str, which: tuple, extra: dict[st
     usual = [t for kind in (INTERPRETATION, WHISPER) for t in spread_texts(fields(spark, sf_dir, (kind,)), UNLABELLED)]
     model = built(AbuseModel, reviewed, sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text"), usual)
     names = ["tbl", "fld", "rec_id", *(extra or {})]
+    sent = spark.sparkContext.broadcast(model)
 
     def make():
+        model = sent.value
+
         def do(b: pa.RecordBatch) -> pa.RecordBatch:
             p = model.score(b.column(3).to_pylist())
             return pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=[*names, *CATEGORIES])
