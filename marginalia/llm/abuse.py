@@ -155,16 +155,13 @@ def windows(text: str) -> list[str]:
 
 
 class AbuseModel:
-    """Trained on the reviewed texts, samples of plain prose, the seed rows and a bounded sample of unlabelled texts.
-
-    Sentences of the unlabelled texts that a first machine takes for harmless are the
-    second one's examples of how this corpus usually reads; doubtful ones are left out.
+    """Trained on the reviewed texts, samples of plain prose and the seed rows; no other text of the corpus takes part, so a text's score depends on itself.
 
     Of a reviewed text with several sentences only the worst is taken for its
     category; which one that is, the machine of a first round tells.
     """
 
-    def __init__(self, reviewed: Sequence[tuple[str, str]], plain: Sequence[str], unlabelled: Sequence[str] = (), doubtful: float = 0.35):
+    def __init__(self, reviewed: Sequence[tuple[str, str]], plain: Sequence[str]):
         seeds = abuse_seeds.rows()
         single: list[tuple[str, str]] = list(seeds)
         several: list[tuple[list[str], str]] = []
@@ -184,10 +181,6 @@ class AbuseModel:
             k = CATEGORIES.index(category)
             at = int(first.margin([features(p) for p in parts])[:, k].argmax())
             worst += [(p, category if i == at else "none") for i, p in enumerate(parts)]
-        usual = sorted({p for t in unlabelled for p in windows(t)})
-        if usual:
-            p = 1 / (1 + np.exp(-first.margin([features(t) for t in usual])))
-            worst += [(t, "none") for t, x in zip(usual, p.max(1)) if x < doubtful]
         self.machine = self._train(single + worst)
         self.known: dict[str, tuple[float, ...]] = {}
 

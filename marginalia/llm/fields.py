@@ -94,18 +94,6 @@ def sample_texts(df: DataFrame, order: str, column: str, rows: int = 10_000) ->
     return [t for _, t in sorted((r[0], r[1]) for r in df.select(order, column).filter(F.col(column).isNotNull()).orderBy(order, column).limit(rows).collect())]
 
 
-def spread_texts(df: DataFrame, rows: int, chars: int = 2000) -> list[str]:
-    """A sample of `rows` texts of (tbl, fld, rec_id, text), spread over all by a hash of the id; texts above `chars` aren't sampled.
-
-    The hash first thins the rows to a few times as many as are wanted, so that each task
-    sends its share of them and not `rows` texts.
-    """
-    share = min(1.0, 4 * rows / max(1, df.select("rec_id").count()))
-    h = F.xxhash64("rec_id")
-    live = df.filter((F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * share) + 1) & F.col("text").isNotNull() & (F.length("text") <= chars))
-    return sorted({r[0] for r in live.select("text", h.alias("h")).orderBy("h", "text").limit(rows).collect()})
-
-
 def pairs(df: DataFrame, order: str, first: str, second: str, rows: int = 10_000) -> list[tuple[str, str]]:
     """Two columns of a small sample table, in a fixed order; at most `rows` of them, rows with a null left out."""
     live = df.select(order, first, second).dropna().orderBy(order, first, second).limit(rows).collect()

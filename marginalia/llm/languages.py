@@ -20,6 +20,8 @@ import numpy as np
 BINS, ORDERS, LANDMARKS, RIDGE = 8192, (1, 2, 3, 4), 240, 0.02
 #: A sentence counts for a language of its own from so many words and letters, and such a lead of the best score over the next.
 LEAST_WORDS, LEAST_LETTERS, LEAD = 4, 18, 0.35
+#: A shorter sentence needs so many words and letters, and such a lead.
+SHORT_WORDS, SHORT_LETTERS, SHORT_LEAD = 2, 8, 0.7
 SHARPNESS = 5.0
 #: Codes and names of the languages.
 LABELS = {
@@ -162,7 +164,9 @@ class Labeller:
         lead = (order[:, -1] - order[:, -2]).tolist()
         for t, k, c, d in zip(parts, best, conf, lead):
             words = _WORD.findall(t)
-            self.known[t] = (k, c, d if len(words) >= LEAST_WORDS and sum(map(len, words)) >= LEAST_LETTERS else -1.0)
+            n, letters = len(words), sum(map(len, words))
+            sure = n >= LEAST_WORDS and letters >= LEAST_LETTERS or n >= SHORT_WORDS and letters >= SHORT_LETTERS and d >= SHORT_LEAD
+            self.known[t] = (k, c, d if sure else -1.0)
 
     def stretches(self, texts: Sequence[str]) -> list[list[tuple[int, int, str, float, bool]]]:
         """Of each text its stretches: (start, end, language, confidence, whether it has a whole sure sentence).

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.llm import bpe, lookalikes, packing, pieces, ranking
 from marginalia.llm.abuse import CATEGORIES, AbuseModel
-from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, built, fields, map_texts, pairs, record_keys, remembered, sample_texts, spread_texts, words_of
+from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, built, fields, map_texts, pairs, record_keys, remembered, sample_texts, words_of
 from marginalia.llm.garbled import Repairer
 from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows
 from marginalia.llm.pii_seeds import plain_samples
@@ -19,8 +19,6 @@ from marginalia.tables import table
 
 #: From this score on a text counts for a category.
 ABUSE_FROM = 0.45
-#: Unlabelled texts of each kind that the abuse model is shown.
-UNLABELLED = 1000
 #: Distinct first or last names of users (8 bytes each) up to which they are sent to the tasks; more are an error, as none may be left out.
 SENT_NAMES = 20_000_000
 
@@ -251,8 +249,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _abuse_scores(spark: SparkSession, sf_dir: str, which: tuple, extra: dict[str, str] | None = None) -> DataFrame:
     reviewed = pairs(table(spark, sf_dir, "reviewed_texts"), "review_id", "text", "category")
-    usual = [t for kind in (INTERPRETATION, WHISPER) for t in spread_texts(fields(spark, sf_dir, (kind,)), UNLABELLED)]
-    model = built(AbuseModel, reviewed, sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text"), usual)
+    # texts of fixed tables that are plain by what they are: samples of languages and the books' first passages
+    plain = sample_texts(table(spark, sf_dir, "lang_samples"), "sample_id", "text") + sample_texts(table(spark, sf_dir, "books"), "book_id", "opening_passage")
+    model = built(AbuseModel, reviewed, plain)
     names = ["tbl", "fld", "rec_id", *(extra or {})]
     sent = spark.sparkContext.broadcast(model)
 
