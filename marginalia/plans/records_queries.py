@@ -38,8 +38,9 @@ def snk19_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ag18_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG18, AG49: all runs against the schema that a part of them shows, whose columns and values differ."""
     runs = table(spark, sf_dir, "compat_runs")
-    seen = schema_rows(runs.filter("think_r <= 60 AND dominant_think <> 'resonate'").select(*_RUN_COLUMNS))
-    return schema_anomalies(runs.select(*(c for c in _RUN_COLUMNS if c != "book_id"), "verdict"), seen)
+    same = [c for c in _RUN_COLUMNS if c not in ("book_id", "user_a")]
+    seen = schema_rows(runs.filter("think_r <= 60 AND dominant_think <> 'resonate'").select(*same, "book_id"))
+    return schema_anomalies(runs.select(*same, "verdict"), seen)
 
 
 _METRICS = ("confidence", "think_r", "think_c", "think_d")
