@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from marginalia.llm.bpe import load, slices
 from marginalia.session import cut_lineage
 
-POOL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 1000, 2, 2, 6, 12
+POOL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 1000, 2, 2, 8, 25
 
 
 def best_fit(bins: list[list[int]], loads: list[int], items: list[int], sizes: list[int], capacity: int) -> None:
@@ -46,10 +46,56 @@ def fitness(loads: list[int], capacity: int) -> tuple[int, float]:
     return -len(loads), sum((x / capacity) ** 2 for x in loads)
 
 
+def exchange(bins: list[list[int]], loads: list[int], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Fill bins better from the loose items: one or two items of a bin against one or two loose ones that leave less room. The items left loose are smaller for it and easier to place."""
+    pool = sorted((sizes[i], i) for i in loose)
+
+    def largest(most: int, more: int, but: int = -1) -> int:
+        """Place in the pool of the largest item of at most `most` and more than `more`; -1 without any."""
+        at = bisect.bisect_right(pool, (most, 1 << 60)) - 1
+        if at == but:
+            at -= 1
+        return at if at >= 0 and pool[at][0] > more else -1
+
+    for k, x in enumerate(bins):
+        for _ in range(len(x) + 1):
+            room = capacity - loads[k]
+            if not room or not pool:
+                break
+            best = (0, (), ())
+            outs = [(i,) for i in x] + [(x[i], x[j]) for i in range(len(x)) for j in range(i)]
+            for out in outs:
+                gone = sum(sizes[i] for i in out)
+                at = largest(gone + room, gone + best[0])
+                if at >= 0:
+                    best = (pool[at][0] - gone, out, (at,))
+                for first in range(len(pool)):
+                    rest = gone + room - pool[first][0]
+                    if rest <= 0:
+                        break
+                    at = largest(rest, gone + best[0] - pool[first][0], first)
+                    if at >= 0:
+                        best = (pool[first][0] + pool[at][0] - gone, out, (first, at))
+                if best[0] == room:
+                    break
+            gain, out, taken = best
+            if not gain:
+                break
+            new = [pool[at][1] for at in taken]
+            for at in sorted(taken, reverse=True):
+                pool.pop(at)
+            for i in out:
+                x.remove(i)
+                bisect.insort(pool, (sizes[i], i))
+            x += new
+            loads[k] += gain
+    return [i for _, i in pool]
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Whole well-filled bins of b go into a; bins of a that share an item with them are dissolved, and their other items placed by best fit."""
+    """Whole well-filled bins of b go into a; bins of a that share an item with them are dissolved, and a few more as mutation; the items set free are exchanged into fuller bins, the rest placed by best fit."""
     full = sorted(range(len(b)), key=lambda k: -sum(sizes[i] for i in b[k]))
-    chosen = [b[k] for k in rng.sample(full[: max(1, len(full) // 2)], max(1, len(full) // 12))]
+    chosen = [b[k] for k in rng.sample(full[: max(1, len(full) // 2)], max(1, min(len(full) // 12, 12)))]
     taken = {i for x in chosen for i in x}
     bins, loose = [list(x) for x in chosen], []
     for x in a:
@@ -57,10 +103,14 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
             bins.append(list(x))
         else:
             loose += [i for i in x if i not in taken]
-    if len(bins) > 1:  # mutation: the emptiest bin is dissolved as well
-        k = min(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
-        loose += bins.pop(k)
-    best_fit(bins, loads := [sum(sizes[i] for i in x) for x in bins], loose, sizes, capacity)
+    load = lambda k: sum(sizes[i] for i in bins[k])
+    if len(bins) > 1:  # mutation: the emptiest bin is dissolved, and some at random
+        doomed = {min(range(len(bins)), key=load), *rng.sample(range(len(bins)), min(len(bins) - 1, rng.randint(1, 4)))}
+        loose += [i for k in doomed for i in bins[k]]
+        bins = [x for k, x in enumerate(bins) if k not in doomed]
+    loads = [load(k) for k in range(len(bins))]
+    loose = exchange(bins, loads, loose, sizes, capacity)
+    best_fit(bins, loads, loose, sizes, capacity)
     return bins
 
 
@@ -88,9 +138,14 @@ def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed:
         if len(people[0]) <= bound:
             break
         for _ in range(POPULATION // 2):
-            a, b = rng.sample(people[: POPULATION // 2 + 1], 2)
+            a, b = rng.sample(people, 2)
             people.append(crossover(a, b, sizes, capacity, rng))
-        people = sorted(people, key=score, reverse=True)[:POPULATION]
+        seen: dict[tuple, list[list[int]]] = {}
+        for x in sorted(people, key=score, reverse=True):  # the same loads again are no further solution
+            seen.setdefault(tuple(sorted(load_of(x))), x)
+        people = list(seen.values())[:POPULATION]
+        if len(people) < 2:
+            people = people * 2
     return people[0]
 
 
@@ -174,3 +229,17 @@ def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = parts.filter(full).select(id_col, "part_no", "size", F.concat_ws("-", F.lit("own"), F.col(id_col).cast("string"), F.col("part_no").cast("string")).alias("container"))
     shared = rest.select(id_col, "part_no", "size", F.concat_ws("-", F.lit("pool"), F.col("pool").cast("string"), F.col("bin").cast("string")).alias("container"))
     return own.unionByName(shared).select(id_col, "part_no", (F.col("part_no") * capacity).cast("int").alias("first_token"), F.col("size").alias("n_tokens"), "container")
+
+
+def pool_report(containers: DataFrame, capacity: int = 2048) -> DataFrame:
+    """(pool, n_items, bound, best_fit, bins) of each pool of `fill_containers`: the containers that its items need at the least, those that best fit alone makes of them, and those it has."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = sorted(x for x in pdf["n_tokens"].tolist() if x > 0)
+        bins: list[list[int]] = []
+        best_fit(bins, [], list(range(len(sizes))), sizes, capacity)
+        used = pdf[pdf["n_tokens"] > 0]["container"].nunique()
+        return pd.DataFrame({"pool": [int(pdf["pool"].iloc[0])], "n_items": [len(pdf)], "bound": [-(-sum(sizes) // capacity)], "best_fit": [len(bins)], "bins": [used]})
+
+    shared = containers.filter(F.col("container").startswith("pool-")).withColumn("pool", F.split_part("container", F.lit("-"), F.lit(2)).cast("int"))
+    return shared.select("pool", "n_tokens", "container").groupBy("pool").applyInPandas(run, "pool int, n_items long, bound long, best_fit long, bins long")

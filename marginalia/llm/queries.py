@@ -291,6 +291,11 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(table(spark, sf_dir, "documents"))
 
 
+def p9_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each pool the containers it needs at the least, those of best fit alone, and those it has."""
+    return packing.pool_report(p9_containers(spark, sf_dir))
+
+
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "documents"))
 
@@ -301,7 +306,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p3_found, p3_redacted, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p3_found, p3_redacted, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p9_pools, p10_pieces, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,3 +108,38 @@ def test_crossover_keeps_all_items():
     a, b = packing.evolve(sizes, 2048, [], 1), packing.evolve(sizes, 2048, [], 2)
     child = packing.crossover(a, b, sizes, 2048, rng)
     assert sorted(i for x in child for i in x) == list(range(120)) and all(sum(sizes[i] for i in x) <= 2048 for x in child)
+
+
+@pytest.mark.parametrize("kind", ["triplets", "thirds"])
+def test_evolution_saves_containers_that_best_fit_misses(kind):
+    """Sizes of which best fit makes too many bins: evolution gets at or next to the bound, and every item lies in one bin that holds it."""
+    rng = random.Random(4)
+    cap, sizes = 1000, []
+    if kind == "triplets":  # threes that fill a bin exactly: the bound can be met
+        for _ in range(40):
+            a = rng.randint(380, 490)
+            b = rng.randint((cap - a) * 45 // 100, (cap - a) // 2)
+            sizes += [a, b, cap - a - b]
+    else:
+        sizes = [rng.randint(150, 440) for _ in range(300)]
+    rng.shuffle(sizes)
+    bound = -(-sum(sizes) // cap)
+    plain: list[list[int]] = []
+    packing.best_fit(plain, [], list(range(len(sizes))), sizes, cap)
+    bins = packing.evolve(sizes, cap, [], 1)
+    assert sorted(i for x in bins for i in x) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in x) <= cap for x in bins)
+    assert len(plain) > bound and len(bins) < len(plain) and len(bins) <= bound + 1 + (kind == "triplets")
+
+
+def test_exchange_keeps_every_item():
+    rng = random.Random(6)
+    for _ in range(50):
+        sizes = [rng.randint(1, 60) for _ in range(40)]
+        bins = [[0, 1], [2], [3, 4]]
+        loads = [sum(sizes[i] for i in x) for x in bins]
+        before = list(loads)
+        cap = max(100, *loads)
+        loose = packing.exchange(bins, loads, list(range(5, 40)), sizes, cap)
+        assert sorted([i for x in bins for i in x] + loose) == list(range(40))
+        assert loads == [sum(sizes[i] for i in x) for x in bins] and all(b <= x <= cap for b, x in zip(before, loads))
