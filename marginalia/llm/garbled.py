@@ -20,7 +20,9 @@ import ahocorasick
 from marginalia.llm.lookalikes import JOINED, LOOKALIKE, WEAK, script
 
 #: Encodings that UTF-8 is misread with, and pairs of single-byte encodings (written in, read with).
-UTF8_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859-15", "koi8-r")
+UTF8_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859-15", "koi8-r", "cp1254", "iso8859-9", "cp1257", "cp1253", "iso8859-5", "cp866", "mac_cyrillic")
+#: Those whose upper half holds letters of another script.
+OTHER_LETTERS = ("cp1251", "koi8-r", "cp1253", "iso8859-5", "cp866", "mac_cyrillic")
 BYTE_PAIRS = (("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp850", "cp1252"))
 #: The characters beyond ASCII that readers' texts use.
 LETTERS = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœŒ"
@@ -30,7 +32,7 @@ EXTENDED = "".join(map(chr, range(0x100, 0x180)))
 OTHER_SCRIPTS = "".join(map(chr, (*range(0x391, 0x3CA), *range(0x410, 0x450))))
 EMOJI = "".join(map(chr, (*range(0x1F300, 0x1F650), *range(0x1F680, 0x1F700), *range(0x1F900, 0x1FA00), 0x2764, 0x2615, 0x2728)))
 CLOSERS = set("\u2019\u201d\u2026\u2014\u2013\u2022\u201c\u2018\u00a0\u00ad?\ufffd")
-BACKGROUND = re.compile("[^\x00-\x7f]|&[A-Za-z]")
+BACKGROUND = re.compile("[^\x00-\x7f]|&#?[A-Za-z0-9]")
 _LOST = re.compile("�")
 _CONTRACTION = re.compile(r"(?:t|s|re|ve|ll|m|d)(?![\w�])")
 
@@ -54,6 +56,10 @@ def _entities(seq: str, only_letters: bool) -> str:
     return "".join(f"&{n};" if (n := html.entities.codepoint2name.get(ord(c))) and ord(c) > 127 and (c.isalpha() or not only_letters) else c for c in seq)
 
 
+def _numbers(seq: str, form: str) -> str:
+    return "".join(form.format(ord(c)) if ord(c) > 127 else c for c in seq)
+
+
 def table() -> dict[str, tuple[str, str, bool]]:
     """Garbled sequence -> (character, pair of encodings, sure): `sure` ones need no further evidence."""
     out: dict[str, tuple[str, str, bool]] = {}
@@ -76,7 +82,7 @@ def table() -> dict[str, tuple[str, str, bool]]:
         for read in UTF8_READ_AS:
             for gap in ("byte", "mark", "lost"):
                 once = misread(ch, "utf-8", read, gap)
-                if ch in OTHER_SCRIPTS and read in ("cp1251", "koi8-r"):
+                if ch in OTHER_SCRIPTS and read in OTHER_LETTERS:
                     continue  # pairs of ordinary Cyrillic letters
                 add(once, ch, f"utf-8>{read}", sure(once))
                 if ch in EMOJI + EXTENDED + OTHER_SCRIPTS:
@@ -88,12 +94,14 @@ def table() -> dict[str, tuple[str, str, bool]]:
                     for letters in (True, False):
                         if (named := _entities(once, letters)) != once:
                             add(named, ch, f"utf-8>{read} entities", True)
+                    for form in ("&#{};", "&#x{:x};", "&#x{:X};"):
+                        add(_numbers(once, form), ch, f"utf-8>{read} entities", True)
                     for again in ("cp1252", "latin-1"):
                         for gap2 in ("byte", "mark", "none"):
                             add(misread(once, "utf-8", again, gap2), ch, f"utf-8>{read} twice", True)
                 elif gap == "byte":
                     add(misread(once, "utf-8", read, "byte"), ch, f"utf-8>{read} twice", True)
-                if once.endswith("\u00a0"):  # white space put in order afterwards
+                if once.endswith("\u00a0") and read not in OTHER_LETTERS:  # white space put in order afterwards
                     add(once[:-1] + " ", ch, f"utf-8>{read}", False)
     for c in "â":  # a lost last byte of typographic punctuation
         add(f"{c}€", "", "utf-8>cp1252", True)

@@ -45,7 +45,7 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return do
 
-    suspect = fields(spark, sf_dir, (INTERPRETATION, DOCUMENT, PASSAGE, PAGE)).filter(beyond_ascii(F.col("text")) | F.col("text").rlike("&[A-Za-z]"))
+    suspect = fields(spark, sf_dir, (INTERPRETATION, DOCUMENT, PASSAGE, PAGE)).filter(beyond_ascii(F.col("text")) | F.col("text").rlike("&#?[A-Za-z0-9]"))
     return map_texts(suspect, make, f"{KEYS}, n_garbled int, restored string").dropDuplicates(["tbl", "fld", "rec_id"])
 
 
