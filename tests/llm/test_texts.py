@@ -12,7 +12,8 @@ from marginalia.llm.abuse import CATEGORIES, AbuseModel, undisguise  # noqa: E40
 from marginalia.llm.holdout import HOLDOUT  # noqa: E402
 from marginalia.llm.languages import Labeller, LanguageModel, label_of, word_rows  # noqa: E402
 from marginalia.llm.pii_seeds import Maker, plain_samples  # noqa: E402
-from marginalia.llm.private import Crf, Lists, Redactor  # noqa: E402
+from marginalia.llm.private import LABELS, Crf, Lists, Names, Redactor, joined, segments  # noqa: E402
+from marginalia.llm.queries import _names  # noqa: E402
 from marginalia.llm.trees import BoostedTrees  # noqa: E402
 
 WORDS = ["über", "déjà", "façade", "café", "naïve", "Großmutter", "corazón", "não", "don", "isn", "only", "the"]
@@ -36,6 +37,15 @@ def test_only_the_garbled_stretch_changes(repairer):
         assert repairer.repair(right) == (right, 0)
 
 
+@pytest.mark.parametrize("wrong", ["Un caf&#195;&#169; noir", "Un caf&#xC3;&#xA9; noir", "Un caf&Atilde;&copy; noir"])
+def test_entities_of_garbled_letters(repairer, wrong):
+    assert repairer.repair(wrong) == ("Un café noir", 1)
+
+
+def test_ordinary_entities_stay(repairer):
+    assert repairer.repair("Fish &amp; chips &#8212; ok") == ("Fish &amp; chips &#8212; ok", 0)
+
+
 def test_lost_characters_are_found(repairer):
     assert repairer.repair("d�j� vu")[0] == "déjà vu"
     assert repairer.repair("cr�zq")[1] == 1
@@ -128,15 +138,64 @@ def test_private_data_between_odd_spaces(space):
 
 
 def test_viterbi_is_the_best_path():
+    """The decoded spans are those of the best of all paths, tried one by one."""
     crf = Crf(Lists([], [], [])).fit(Maker(5).rows(1)[:60], epochs=1)
-    text = "Call 555 1234567"
-    at = crf.tokens(text)
-    e, t, start = crf.emissions(text, at), crf.t[:-1], crf.t[-1]
-    n = e.shape[1]
-    best = max(np.ndindex(*[n] * len(at)), key=lambda p: start[p[0]] + sum(e[i, k] for i, k in enumerate(p)) + sum(t[p[i - 1], p[i]] for i in range(1, len(p)))) if len(at) <= 3 else None
-    got = crf.decode([text])[0]
-    if best is not None:
-        assert [k for k in best if k] and len(got) >= 1 or not any(best) and not got
+    for text in ("Call 555 1234567", "Ann Lee wrote", "a@b.example", "12 Mill Row"):
+        at = crf.tokens(text)[:3]
+        text = text[: at[-1][1]]
+        e, t, start = crf.emissions(text, at), crf.t[:-1], crf.t[-1]
+        best = max(np.ndindex(*[e.shape[1]] * len(at)), key=lambda p: start[p[0]] + sum(e[i, k] for i, k in enumerate(p)) + sum(t[p[i - 1], p[i]] for i in range(1, len(p))))
+        want: list[tuple[int, int, str]] = []
+        for k, (y, (x, z)) in enumerate(zip(best, at)):
+            if y and LABELS[y][0] == "I" and want and want[-1][2] == LABELS[y][2:] and best[k - 1]:
+                want[-1] = (want[-1][0], z, want[-1][2])
+            elif y:
+                want.append((x, z, LABELS[y][2:]))
+        assert crf.decode([text])[0] == want
+
+
+def names_table(n: int) -> list[str]:
+    """n made-up surnames, none a real word."""
+    parts = ["bra", "dol", "fen", "gri", "hal", "kes", "lor", "mur", "nav", "ost", "pel", "ruv", "sca", "tor", "vil", "wen", "yar", "zem", "qui", "eld"]
+    return [(a + b + c + d).capitalize() for a in parts for b in parts for c in parts for d in parts][:n]
+
+
+def test_names_beyond_any_list(spark):
+    """Of 50,000 surnames of users each is known, whatever its place; and names that no user has are put to the field as well."""
+    last = names_table(50_000)
+    rows = spark.createDataFrame([("Dagny", x) for x in last] + [("Nadira", None)], "first_name string, last_name string")
+    names = _names(rows, "last_name")
+    assert len(names) == 50_000 and all(x.lower() in names for x in last[::997]) and "unknown" not in names
+    assert "élan" in Names(np.array([r[0] for r in spark.sql("SELECT xxhash64('élan')").collect()]))
+    r = Redactor(Lists(["Corin Kestle"], Names(np.array([], np.int64)), names))
+    for x in (last[0], last[-1], "Drutosley"):
+        text = f"It happened to my cousin Dagny {x} almost word for word."
+        assert [text[a:z] for a, z, _ in r.spans([text])[0]] == [f"Dagny {x}"]
+    assert r.candidate("my cousin dagny drutosley told me") and r.candidate("MY COUSIN DAGNY DRUTOSLEY TOLD ME") and not r.candidate("The sea was calm.")
+
+
+def test_the_gate_loses_next_to_nothing():
+    """Spans found with the gate before the field against decoding every sentence of held-out rows."""
+    maker = Maker(123)
+    rows = [t for t, _ in maker.rows(2)]
+    r = Redactor(Lists(maker.cast, [a for a, _ in maker.users], [b for _, b in maker.users]))
+    some = r.spans(rows)
+    r.known.clear()
+    r.candidate = lambda s: True
+    every = r.spans(rows)
+    total = sum(map(len, every))
+    assert total > 300 and sum(len(set(b) - set(a)) for a, b in zip(some, every)) <= 0.005 * total
+
+
+def test_no_window_cuts_an_entity():
+    r = Redactor(Lists([], ["Nadira"], ["Halloway"]))
+    for n in range(0, 600, 37):
+        text = "word " * (n // 5) + "my neighbour Nadira Halloway lives at 14 Mill Street and " + "more " * 200
+        found = [text[a:z] for a, z, k in r.spans([text])[0] if k == "person_name"]
+        assert found == ["Nadira Halloway"]
+    assert joined([(0, 5, "a"), (3, 9, "a"), (9, 12, "b")]) == [(3, 9, "a"), (9, 12, "b")]
+    big = "@" * 30_000 + " " + "1" * 30_000
+    assert all(z - a <= 500 for a, z in segments(big)) and segments(big)[-1][1] == len(big)
 
 
 def test_strengths_recover_the_truth(spark):
