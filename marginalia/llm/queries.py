@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marginalia.functions.rounding import half_even
 from marginalia.llm import bpe, lookalikes, packing, pieces, ranking
 from marginalia.llm.abuse import CATEGORIES, AbuseModel
 from marginalia.llm.fields import BIO, DOCUMENT, INTERPRETATION, KEYS, PAGE, PASSAGE, WHISPER, beyond_ascii, built, fields, map_texts, pairs, record_keys, remembered, sample_texts, words_of
@@ -243,6 +244,12 @@ def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_texts(fields(spark, sf_dir, (INTERPRETATION, DOCUMENT)), make, f"{KEYS}, n_words int, {', '.join(f'{n} double' for n in shown[1:])}, prose_probability double, is_prose boolean")
 
 
+def p6_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five figures of every record, once, to six places; the part of p6_stats that SQL can say."""
+    own = p6_stats(spark, sf_dir).dropDuplicates(["tbl", "fld", "rec_id"])
+    return own.select("tbl", "fld", "rec_id", F.col("n_words").cast("long").alias("n_words"), *(half_even(F.col(n), 6).alias(n) for n in NAMES[1:5]))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_stats(spark, sf_dir).filter(~F.col("is_prose")).select("tbl", "fld", "rec_id").distinct()
 
@@ -306,8 +313,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p3_found, p3_redacted, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p9_pools, p10_pieces, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p2_groups, p3_found, p3_redacted, p4_found, p4_ranking, p5_found, p5_stretches, p6_found, p6_figures, p6_stats, p7_found, p7_scores, p7_source_rates, p8_ids, p9_containers, p9_pools, p10_pieces, p10_found)}
+
+
+_SPACES = r"\x00\s\x0B\x1C-\x1F\x{85}\p{Z}"
+_LETTERS = r"\p{L}\p{Mn}\p{Mc}"
+_P6_SQL = rf"""WITH r AS (SELECT DISTINCT 'interpretations' AS tbl, 'interpretation' AS fld, interpretation_id AS rec_id, interpretation AS raw FROM interpretations UNION SELECT 'documents', 'text', CAST(doc_id AS VARCHAR), text FROM documents),
+x AS (SELECT tbl, fld, rec_id, regexp_replace(coalesce(raw, ''), '[\x{{10000}}-\x{{10FFFF}}]', chr(65533), 'g') AS t FROM r), c AS (SELECT list(lower(word)) AS common FROM common_words WHERE word IS NOT NULL),
+f AS (SELECT tbl, fld, rec_id, len(regexp_extract_all(t, '[^{_SPACES}]+')) AS words, length(regexp_replace(t, '[{_SPACES}]+', '', 'g')) AS solid, length(regexp_replace(t, '[{_SPACES}{_LETTERS}\p{{N}}.,;:!?''"()\-‘’“”„…–—«»¿¡]+', '', 'g')) AS signs,
+list_filter(string_split_regex(t, '[\n\r\x0B\x0C\x{{85}}\x{{2028}}\x{{2029}}]+'), lambda q: regexp_matches(q, '[^{_SPACES}]')) AS lines, regexp_extract_all(lower(t), '[{_LETTERS}]+(?:[''’][{_LETTERS}]+)*') AS w, common FROM x, c)
+SELECT tbl, fld, rec_id, words AS n_words, round_even(CAST(solid AS DOUBLE) / greatest(words, 1), 6) AS mean_word_length, round_even(CAST(signs AS DOUBLE) / greatest(solid, 1), 6) AS symbol_share,
+round_even(CAST(len(list_filter(lines, lambda q: regexp_matches(regexp_replace(q, '[{_SPACES}]+$', ''), '(?:[.!?…][\x22''”’»)\]]?|:)$'))) AS DOUBLE) / greatest(len(lines), 1), 6) AS punctuated_line_share, round_even(CAST(len(list_filter(w, lambda q: list_contains(common, q))) AS DOUBLE) / greatest(len(w), 1), 6) AS common_word_share FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_figures": _P6_SQL}
