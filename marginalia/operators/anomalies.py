@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marginalia.operators.order import order_statistics
 from marginalia.session import cut_lineage
@@ -47,25 +49,59 @@ def terms_of(x: Column, stop_words: Sequence[str] = (), pairs: bool = True) -> C
     return F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def term_features(terms: DataFrame, least_df: int, features: int) -> DataFrame:
-    """(term, df, idx): of the terms in `least_df` texts and more the `features` most frequent ones, ties by the term, numbered from rare to common. At most `features` rows."""
-    seen = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= least_df)
+def term_features(df: DataFrame, terms: Column, least_df: int, features: int) -> DataFrame:
+    """(term, df, idx): of the terms in `least_df` texts and more the `features` most frequent ones, ties by the term, numbered from rare to common. At most `features` rows.
+
+    Texts are counted by term alone and before the shuffle: what is shuffled is a row
+    per task and term.
+    """
+    one = lambda c, n: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n")))
+    each = df.select(F.inline(F.concat(one(terms, 1), one(F.array_distinct(terms), 0))))
+    seen = each.groupBy("term").agg(F.count_if(F.col("n") == 0).alias("df"), F.sum("n").alias("cf")).filter(F.col("df") >= least_df)
     top = seen.orderBy(F.desc("cf"), "term").limit(features)
     return top.select("term", "df", F.row_number().over(W.orderBy("df", "term")).alias("idx"))
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), least_df: int = 2, features: int = 5000) -> DataFrame:
-    """(id, term, idx, df, weight): words and pairs of them, smooth idf, each text's weights of length 1.
+def term_vectors(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), least_df: int = 2, features: int = 5000, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(vectors, features): of each text (id, idx, weight, n_prefix), its features in order with smooth-idf weights of length 1, in one narrow pass; and the features, which are a bounded number and sent to the tasks.
 
-    A null text has no terms and counts as a text. Only the features, a bounded number,
-    are sent to the tasks; a text's terms are counted before they are shuffled.
+    `n_prefix`: how many of the rarest features must be kept so that the rest is shorter
+    than `threshold`. A null text counts as a text and has no features.
     """
     n = df.count()
-    terms = df.select(id_col, F.explode(terms_of(F.col(text_col), stop_words)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    kept = terms.join(F.broadcast(cut_lineage(term_features(terms, least_df, features))), "term")
-    raw = kept.withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
-    return raw.select(id_col, "term", "idx", "df", (F.col("w") / norm).alias("weight"))
+    terms = terms_of(F.col(text_col), stop_words)
+    feats = cut_lineage(term_features(df, terms, least_df, features))
+    rows = sorted((r.idx, r.term, r.df) for r in feats.collect())
+    idf = np.array([0.0, *(np.log((1.0 + n) / (1.0 + d)) + 1 for _, _, d in rows)])
+    sent = df.sparkSession.sparkContext.broadcast(([t for _, t, _ in rows], idf))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = sent.value
+        known = pa.array(names, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            row = np.repeat(np.arange(b.num_rows, dtype=np.int64), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            key, count = np.unique((row[at > 0] << 32) | at[at > 0], return_counts=True)
+            row, at = key >> 32, key & 0xFFFFFFFF
+            w = count * idf[at]
+            w /= np.sqrt(np.bincount(row, w * w, b.num_rows))[row]
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            total = np.concatenate([[0.0], np.cumsum(w * w)])
+            # what of a text's squares lies at or behind a place
+            behind = total[ends[row + 1]] - total[:-1]
+            keep = np.bincount(row[behind >= threshold * threshold - 1e-9], minlength=b.num_rows)
+            offsets = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(w)), pa.array(keep, pa.int32())], names=[id_col, "idx", "weight", "n_prefix"])
+
+    return df.select(id_col, terms.alias("__t")).mapInArrow(run, f"`{id_col}` {kind}, idx array<int>, weight array<double>, n_prefix int"), feats
+
+
+def tfidf(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), least_df: int = 2, features: int = 5000) -> DataFrame:
+    """(id, term, weight) of the features of every text."""
+    v, feats = term_vectors(df, id_col, text_col, stop_words, least_df, features)
+    return v.select(id_col, F.inline(F.arrays_zip("idx", "weight"))).join(F.broadcast(feats.select("idx", "term")), "idx").select(id_col, "term", "weight")
 
 
 def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,17 +113,39 @@ def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(second, "class_id", "left").select(id_col, "class_id", F.when(F.col(id_col) == F.col("class_id"), F.col("second")).otherwise(F.col("class_id")).alias("other"))
 
 
-def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ia, ib, similarity) of rows (ia, ib, ta, wa, tb, wb): the products of common terms of a whole batch at once."""
-    for b in batches:
-        flat = []
-        for t, w in ((2, 3), (4, 5)):
-            terms, weights = b.column(t), b.column(w)
-            row = np.repeat(np.arange(b.num_rows, dtype=np.int64), np.diff(terms.offsets.to_numpy()))
-            flat.append((row << 32 | terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)))
-        (ka, wa), (kb, wb) = flat
-        common, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(common >> 32, wa[i] * wb[j], b.num_rows))], names=["ia", "ib", "similarity"])
+def _near(threshold: float, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """A function from the texts of one term (id, part, first, second, idx, weight) to the pairs (ia, ib) of them that are similar; with two parts only pairs across them count."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, part = t.column("id").to_pylist(), t.column("part").to_numpy()
+        lists = t.column("idx").chunk(0) if t.num_rows else None
+        found: list[tuple] = []
+        if t.num_rows > 1:
+            row = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+            _, col = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            x = np.zeros((t.num_rows, int(col.max()) + 1), np.float32)
+            x[row, col] = t.column("weight").chunk(0).flatten().to_numpy(zero_copy_only=False)
+            ends, term, weight = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False), t.column("weight").chunk(0).flatten().to_numpy(zero_copy_only=False)
+
+            def exact(p: int, q: int) -> float:  # what single precision leaves open
+                _, i, j = np.intersect1d(term[ends[p] : ends[p + 1]], term[ends[q] : ends[q + 1]], assume_unique=True, return_indices=True)
+                return float(weight[ends[p] : ends[p + 1]][i] @ weight[ends[q] : ends[q + 1]][j])
+
+            alike = part[0] if t.column("first")[0] == t.column("second")[0] else None
+            left = np.arange(t.num_rows) if alike is not None else np.flatnonzero(part == t.column("first")[0].as_py())
+            right = left if alike is not None else np.flatnonzero(part == t.column("second")[0].as_py())
+            for at in range(0, len(left), 512):
+                dots = x[left[at : at + 512]] @ x[right].T
+                i, j = np.nonzero(dots >= threshold - 1e-4)
+                sure = dots[i, j] >= threshold + 1e-4
+                for p, q, y in zip(left[at + i].tolist(), right[j].tolist(), sure.tolist()):
+                    if (p < q or alike is None) and (y or exact(p, q) >= threshold - 1e-9):
+                        found.append((ids[p], ids[q]) if ids[p] < ids[q] else (ids[q], ids[p]))
+        ia, ib = zip(*found) if found else ((), ())
+        return pa.table({"ia": pa.array(ia, kind), "ib": pa.array(ib, kind)})
+
+    return run
 
 
 def similar_texts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), threshold: float = 0.85, features: int = 5000, crowd: int = 2000) -> DataFrame:
@@ -97,25 +155,23 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequenc
     similar to it. Two unit vectors of so high a cosine share a term of their
     prefixes: with the terms in order from rare to common, the rest of a vector behind
     its prefix is shorter than the threshold, so their rarest common term can't lie
-    there. No linked pair is lost and common terms hardly count. A term of more than
-    `crowd` texts is split by a salt. Texts without features are similar to none.
+    there. No linked pair is lost. The texts of a term are compared with each other where
+    they meet, so what is shuffled grows with the texts and their prefixes, not with the
+    pairs; a term of more than `crowd` texts is split into pairs of parts. Texts without
+    features are similar to none.
     """
     classes = cut_lineage(copy_classes(df.filter(F.col(text_col).isNotNull()), id_col, text_col))
     firsts = df.join(classes.filter(F.col(id_col) == F.col("class_id")).select(id_col), id_col, "left_semi")
-    v = tfidf(firsts, id_col, text_col, stop_words, features=features)
-    vectors = v.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", "df", "weight"))).alias("v"))
-    room = threshold * threshold - 1e-9
-    # how many of the commonest terms can be left out: their weights' squares sum to less than the threshold's
-    left_out = F.aggregate(F.reverse("v"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(True).alias("on")), lambda a, x: F.when(a["on"] & (a["s"] + x["weight"] * x["weight"] < room), F.struct((a["s"] + x["weight"] * x["weight"]).alias("s"), (a["k"] + 1).alias("k"), F.lit(True).alias("on"))).otherwise(F.struct(a["s"].alias("s"), a["k"].alias("k"), F.lit(False).alias("on"))), lambda a: a["k"])
-    vectors = cut_lineage(vectors.withColumn("left_out", left_out))
-    prefix = vectors.select("id", F.explode(F.slice("v", F.lit(1), F.size("v") - F.col("left_out"))).alias("x")).select("id", F.col("x.idx").alias("idx"), F.ceil(F.col("x.df") / crowd).cast("int").alias("parts"))
-    a = prefix.select(F.col("id").alias("ia"), "idx", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
-    b = prefix.select(F.col("id").alias("ib"), "idx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    pairs = a.join(b, ["idx", "salt"]).filter("ia < ib").select("ia", "ib").distinct()
-    side = lambda n: vectors.select(F.col("id").alias(f"i{n}"), F.col("v.idx").alias(f"t{n}"), F.col("v.weight").alias(f"w{n}"))
-    kind = df.schema[id_col].dataType.simpleString()
-    both = pairs.join(side("a"), "ia").join(side("b"), "ib").select("ia", "ib", "ta", "wa", "tb", "wb")
-    linked = both.mapInArrow(_dots, f"ia {kind}, ib {kind}, similarity double").filter(F.col("similarity") >= threshold - 1e-9)
+    vectors, feats = term_vectors(firsts, id_col, text_col, stop_words, features=features, threshold=threshold)
+    vectors = cut_lineage(vectors.withColumnRenamed(id_col, "id"))
+    prefix = vectors.select("id", F.explode(F.slice("idx", F.lit(1), F.col("n_prefix"))).alias("idx")).join(F.broadcast(feats.select("idx", F.ceil(F.col("df") / crowd).cast("int").alias("parts"))), "idx")
+    # a term's texts are dealt to parts; each pair of parts is a group of bounded size
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = prefix.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("id", F.col("idx").alias("term"), "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
+    groups = dealt.join(vectors.select("id", "idx", "weight"), "id").groupBy("term", "first", "second")
+    kind = df.schema[id_col].dataType
+    linked = groups.applyInArrow(_near(threshold, to_arrow_type(kind)), f"ia {kind.simpleString()}, ib {kind.simpleString()}").distinct()
     ends = linked.select(F.explode(F.array(F.struct(F.col("ia").alias("class_id"), F.col("ib").alias("o")), F.struct(F.col("ib").alias("class_id"), F.col("ia").alias("o")))).alias("x")).select("x.*")
     links = ends.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min("o").alias("first_link"))
     return classes.join(links, "class_id", "left").select(id_col, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("other", "first_link").alias("first_match"))
