@@ -15,8 +15,8 @@ def schema_rows(df: DataFrame, domain: int = 20) -> DataFrame:
     """(column, type, n_rows, n_present, domain): what a table's rows show of its schema, in one pass.
 
     `domain` lists a text column's values, in order, if there are no more than so many;
-    else, and for other types, it is null. At most `domain` + 1 values of a column are
-    kept on the way, so a column of many values costs no more than one of few.
+    else, and for other types, it is null. Values are gathered only of columns that a
+    sketch of the first pass shows to have few.
     """
     cols = [f for f in df.schema.fields]
     text = [f.name for f in cols if isinstance(f.dataType, T.StringType)]
