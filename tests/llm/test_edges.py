@@ -52,3 +52,17 @@ def quiet_dir(tmp_path_factory) -> str:
             t = pa.Table.from_pylist([*plain, row | {"interpretation_id": "wide", "interpretation": "I think the ｌｅｔｔｅｒ matters more than the house."}, row | {"interpretation_id": "junk", "interpretation": "a | b | c\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9"}, row | {"interpretation_id": "last", "interpretation": bad}], schema=t.schema)
         pq.write_table(t, out / p.name)
     return str(out)
+
+
+def test_figures_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from marginalia.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    for p in SMALL.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    for name, sql in oracle_sql().items():
+        df = queries()[name](spark, str(SMALL))
+        cur = con.execute(sql)
+        at = [[c[0] for c in cur.description].index(c) for c in df.columns]
+        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in at) for r in cur.fetchall())
