@@ -109,10 +109,9 @@ def _prose_model(spark: SparkSession, sf_dir: str) -> ProseModel:
 def _names(users: DataFrame, column: str) -> Names:
     """All words of a column of names, as hashes: 8 bytes each, of at most SENT_NAMES distinct ones."""
     words = users.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).select(F.xxhash64("w").alias("h")).distinct()
-    hashes = words.limit(SENT_NAMES + 1).toPandas()["h"].to_numpy()
-    if len(hashes) > SENT_NAMES:
-        raise ValueError(f"more than {SENT_NAMES} distinct names in {column}")
-    return Names(hashes)
+    if (n := words.count()) > SENT_NAMES:
+        raise ValueError(f"{n} distinct names in {column}, more than {SENT_NAMES}")
+    return Names(words.toPandas()["h"].to_numpy())
 
 
 def _redactor(spark: SparkSession, sf_dir: str) -> Redactor:
