@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from marginalia.operators.order import order_statistics
 from marginalia.session import cut_lineage
+from marginalia.tables import spread
 
 
 def nearest_rank_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> dict[str, dict[str, float] | None]:
@@ -161,7 +162,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequenc
     features are similar to none.
     """
     classes = cut_lineage(copy_classes(df.filter(F.col(text_col).isNotNull()), id_col, text_col))
-    firsts = df.join(classes.filter(F.col(id_col) == F.col("class_id")).select(id_col), id_col, "left_semi")
+    firsts = spread(df.select(id_col, text_col), id_col).join(classes.filter(F.col(id_col) == F.col("class_id")).select(id_col), id_col, "left_semi")
     vectors, feats = term_vectors(firsts, id_col, text_col, stop_words, features=features, threshold=threshold)
     vectors = cut_lineage(vectors.withColumnRenamed(id_col, "id"))
     prefix = vectors.select("id", F.explode(F.slice("idx", F.lit(1), F.col("n_prefix"))).alias("idx")).join(F.broadcast(feats.select("idx", F.ceil(F.col("df") / crowd).cast("int").alias("parts"))), "idx")
@@ -169,7 +170,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequenc
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = prefix.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("id", F.col("idx").alias("term"), "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
-    groups = dealt.join(vectors.select("id", "idx", "weight"), "id").groupBy("term", "first", "second")
+    groups = spread(dealt.join(vectors.select("id", "idx", "weight"), "id"), "term", "first", "second").groupBy("term", "first", "second")
     kind = df.schema[id_col].dataType
     linked = groups.applyInArrow(_near(threshold, to_arrow_type(kind)), f"ia {kind.simpleString()}, ib {kind.simpleString()}").distinct()
     ends = linked.select(F.explode(F.array(F.struct(F.col("ia").alias("class_id"), F.col("ib").alias("o")), F.struct(F.col("ib").alias("class_id"), F.col("ia").alias("o")))).alias("x")).select("x.*")

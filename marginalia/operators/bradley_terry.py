@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions.rounding import half_even
 from marginalia.session import cut_lineage
+from marginalia.tables import spread
 
 #: Prior of survey H1: so many votes won and lost by each item against one of strength 1. A fit ends where no log strength moves by TOLERANCE.
 MIN_COMPARISONS, PRIOR, TOLERANCE = 5, 1e-3, 1e-7
@@ -150,7 +151,7 @@ def per_user_fit(pairs: DataFrame, least: int = MIN_COMPARISONS, gathered: int =
         items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float))
         return pd.DataFrame({"user_id": [str(pdf["user_id"].iloc[0])] * len(items), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": int(pdf["n_comparisons"].iloc[0])})
 
-    out = small.groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")
+    out = spread(small, "user_id").groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")
     large = sizes.filter(F.col("n_pairs") > gathered).drop("n_pairs")
     if large.limit(1).count() == 0:
         return out

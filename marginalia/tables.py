@@ -13,3 +13,10 @@ def dealt(df: DataFrame) -> DataFrame:
     """Rows for a pass that costs far more than reading them: dealt to all cores if the files gave fewer parts than there are cores, else as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys on as many parts as a shuffle has, and on all cores at least: for groups that cost far more than their bytes, which the optimizer would put together."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
