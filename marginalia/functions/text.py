@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 ONE_FOR_ONE = ("\u2018\u2019\u201a\u201c\u201d\u201e\u2013\u2014\u00a0", "'''\"\"\"-- ")
 OFFLINE_ONE_FOR_ONE = (ONE_FOR_ONE[0] + "\u00ab\u00bb\u2212", ONE_FOR_ONE[1] + '""-')
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+#: Unicode's space separators (Zs): what SQL's trim takes off; Spark's own takes off U+0020 only.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Forms of an e-mail address, a phone number, a social security number and a card number.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"(\+?1?\s?)?(\(?\d{3}\)?[\s.\-]?)(\d{3}[\s.\-]?\d{4})"
@@ -41,6 +43,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def folded(x: Column) -> Column:
+    """Letters lowered one for one, whatever stands beside them (no final sigma, no dot of its own for İ), spaces of any kind off both ends."""
+    return F.trim(F.lower(F.translate(x, "Σİ", "σi")), F.lit(SPACES))
+
+
 def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))
 

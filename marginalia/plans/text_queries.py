@@ -55,7 +55,7 @@ def tx02_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tx04_passage_keys", f"{NOTES} SELECT interpretation_id, substr(sha256(concat(coalesce(book_id, ''), '|', trim(lower(substr(passage, 1, 200))))), 1, 32) AS passage_key FROM notes")
 def tx04_passage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX04: the passage is cut before it is lowered and trimmed. A null passage counts as empty."""
-    key = F.sha2(F.concat(F.coalesce("book_id", F.lit("")), F.lit("|"), F.coalesce(F.trim(F.lower(F.substring("passage", 1, 200))), F.lit(""))), 256)
+    key = F.sha2(F.concat(F.coalesce("book_id", F.lit("")), F.lit("|"), F.coalesce(X.folded(F.substring("passage", 1, 200)), F.lit(""))), 256)
     return notes(spark, sf_dir).select("interpretation_id", F.substring(key, 1, 32).alias("passage_key"))
 
 
