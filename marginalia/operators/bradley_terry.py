@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions.rounding import half_even
@@ -16,37 +17,46 @@ from marginalia.tables import spread
 MIN_COMPARISONS, PRIOR, TOLERANCE = 5, 1e-3, 1e-7
 #: Most steps of a fit and of the solution of each; a fit that needs more raises an error.
 STEPS, INNER = 200, 2000
-#: Items up to which a step is solved with the whole curvature at once.
-DENSE = 600
-#: Pairs of one fit up to which it is done in one task.
-GATHERED_PAIRS = 200_000
+#: Least share of the prior's curvature far from the maximum, where the prior is all but straight.
+FLOOR = 0.1
+#: Pairs of one fit up to which it is done in one task, and pairs of small fits that a task works on at once.
+GATHERED_PAIRS, BATCH_PAIRS = 1_000_000, 50_000
 #: Items up to which the strengths of a fit (8 bytes each) are held by the driver and sent to the tasks.
 SENT_ITEMS = 5_000_000
+#: Bytes of the tasks' sums up to which the driver adds them itself; more are added by the executors first.
+SENT_BYTES = 64_000_000
 
 
-def maximum(wins: np.ndarray, group: np.ndarray, sums: Callable[[str, np.ndarray, np.ndarray | None], np.ndarray], solved: Callable[..., np.ndarray] | None = None, prior: float = PRIOR) -> np.ndarray:
+def maximum(group: np.ndarray, state: Callable[[np.ndarray], np.ndarray], curvature: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]], prior: float = PRIOR) -> np.ndarray:
     """Log strengths at the maximum of the votes' likelihood with the prior, by Newton's method; each step is solved by conjugate gradients.
 
-    `wins` are an item's weighted wins, `group` numbers the fit it belongs to: fits are
-    independent. The votes are seen only through `sums` (see `vote_sums`), which may be
-    taken anywhere; `solved` solves a step at once where that is quicker. The likelihood has one maximum; a step that doesn't gain as much as
-    its slope promises is halved, so any start leads there.
+    `group` numbers the fit that an item belongs to: fits are independent. The votes are
+    seen only through `state` (see `vote_state`) and `curvature`, which gives the product
+    with their curvature at some log strengths; both may be worked out anywhere. A step is
+    solved as exactly as the last one was short, and the least curvature that keeps steps
+    far out bounded vanishes with it, so the last steps are full ones of Newton's. The
+    likelihood has one maximum; a step that goes too far beyond the highest point of its
+    direction is halved, so any start leads there.
     """
-    n, k = len(wins), int(group.max()) + 1 if len(group) else 0
+    n, k = len(group), int(group.max()) + 1 if len(group) else 0
     each = lambda x: np.bincount(group, x, k)
     of = lambda x, y: np.divide(x, y, out=np.zeros(k), where=y > 0)[group]
-    height = lambda t: each(sums("height", t, None) + prior * (t - 2 * np.logaddexp(0, t)))
 
-    def gradients(t: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
-        scale = 1 / (bend + sums("diagonal", t, None))
+    def seen(t: np.ndarray) -> tuple[np.ndarray, ...]:
+        up, down, diagonal, height = state(t)
+        even = np.exp(-np.logaddexp(0, -t))
+        return up - down + prior * (1 - 2 * even), diagonal, 2 * even * (1 - even), each(height + prior * (t - 2 * np.logaddexp(0, t)))
+
+    def gradients(product: Callable[[np.ndarray], np.ndarray], slope: np.ndarray, diagonal: np.ndarray, bend: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        scale = 1 / (bend + diagonal)
         x, r = np.zeros(n), slope.copy()
         z = scale * r
         p, rz = z.copy(), each(r * z)
-        least = rz * 1e-20 + 1e-300
+        least = rz * exact**2 + 1e-300
         for _ in range(INNER):
             if not (rz > least).any():
                 break
-            q = sums("curvature", t, p) + bend * p
+            q = product(p) + bend * p
             step = of(np.where(rz > least, rz, 0), each(p * q))
             x += step * p
             r -= step * q
@@ -56,59 +66,75 @@ def maximum(wins: np.ndarray, group: np.ndarray, sums: Callable[[str, np.ndarray
             rz = new
         return x
 
-    t = np.zeros(n)
-    now = height(t)
+    t, most = np.zeros(n), np.ones(k)
+    slope, diagonal, own, now = seen(t)
     for _ in range(STEPS):
-        even = np.exp(-np.logaddexp(0, -t))
-        slope = wins + prior - sums("expected", t, None) - 2 * prior * even
-        bend = prior * np.maximum(2 * even * (1 - even), 0.1)  # far out the prior is all but straight: no step from there is unbounded
-        x = solved(t, slope, bend) if solved else gradients(t, slope, bend)
+        bend = prior * np.maximum(own, FLOOR * np.minimum(1, most)[group])
+        x = gradients(curvature(t), slope, diagonal, bend, np.clip(most, TOLERANCE, 0.1))
         most = np.zeros(k)
         np.maximum.at(most, group, np.abs(x))
         if most.max(initial=0) < TOLERANCE:
             return t + x
         part, gain = np.ones(k), each(slope * x)
         for _ in range(60):
-            then = height(t + part[group] * x)
-            short = (then < now + 1e-4 * part * gain) & (part * most > TOLERANCE)
+            there = seen(t + part[group] * x)
+            turn = each(there[0] * x)
+            # short of the highest point of the direction, higher by enough, or as high as rounding can tell and close to that point
+            good = (turn >= 0) | (there[3] >= now + 1e-4 * part * gain) | (turn > -gain / 2) & (there[3] >= now - 1e-11 * np.abs(now))
+            short = ~good & (part * most > TOLERANCE)
             if not short.any():
                 break
             part[short] /= 2
-        t, now = t + part[group] * x, then
+        t, (slope, diagonal, own, now) = t + part[group] * x, there
     raise ArithmeticError("the strengths don't settle")
 
 
-def vote_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, kind: str, t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
-    """Sums per item of votes (winner a, loser b, weight) at log strengths t: expected wins, the likelihood's height, its curvature's diagonal or product with v."""
+def vote_state(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, t: np.ndarray) -> np.ndarray:
+    """Sums per item of votes (winner a, loser b, weight) at log strengths t: wins and losses beyond the expected ones, the curvature's diagonal, the likelihood's height."""
     d = t[a] - t[b]
-    if kind == "height":
-        return np.bincount(a, -weight * np.logaddexp(0, -d), n)
-    p = np.exp(-np.logaddexp(0, -d))
-    if kind == "expected":
-        return np.bincount(a, weight * p, n) + np.bincount(b, weight * (1 - p), n)
-    c = weight * p * (1 - p)
-    if kind == "diagonal":
-        return np.bincount(a, c, n) + np.bincount(b, c, n)
-    c = c * (v[a] - v[b])
+    over = np.logaddexp(0, -d)
+    w = weight * np.exp(-over - d)
+    c = w * np.exp(-over)
+    return np.stack([np.bincount(a, w, n), np.bincount(b, w, n), np.bincount(a, c, n) + np.bincount(b, c, n), np.bincount(a, -weight * over, n)])
+
+
+def vote_bend(a: np.ndarray, b: np.ndarray, weight: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Curvature of each vote at log strengths t."""
+    d = t[a] - t[b]
+    return weight * np.exp(-np.logaddexp(0, -d) - np.logaddexp(0, d))
+
+
+def vote_product(a: np.ndarray, b: np.ndarray, bend: np.ndarray, n: int, v: np.ndarray) -> np.ndarray:
+    """Product of the votes' curvature with v."""
+    c = bend * (v[a] - v[b])
     return np.bincount(a, c, n) - np.bincount(b, c, n)
 
 
-def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(items, strengths of sum 1) at the maximum for weighted votes; the prior keeps separable data finite."""
-    items, code = np.unique(np.concatenate([winner, loser]), return_inverse=True)
-    a, b, n = code[: len(winner)], code[len(winner) :], len(items)
+def fit_each(group: np.ndarray, winner: np.ndarray, loser: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, items, strengths of sum 1 in each group) at the maximum for weighted votes of independent fits, numbered by `group`, all at once; the prior keeps separable data finite."""
+    names, code = np.unique(np.concatenate([winner, loser]), return_inverse=True)
+    held, code = np.unique(np.concatenate([group, group]) * len(names) + code, return_inverse=True)
+    a, b, n = code[: len(winner)], code[len(winner) :], len(held)
+    g, items = held // max(1, len(names)), names[held % max(1, len(names))]
 
-    def solved(t: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
-        p = np.exp(-np.logaddexp(0, t[b] - t[a]))
-        c = weight * p * (1 - p)
-        h = np.bincount(a * n + b, c, n * n).reshape(n, n)
-        h = -h - h.T
-        h[np.diag_indices(n)] += bend - h.sum(1)
-        return np.linalg.solve(h, slope)
+    def curvature(t: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        bend = vote_bend(a, b, weight, t)
+        return lambda v: vote_product(a, b, bend, n, v)
 
-    t = maximum(np.bincount(a, weight, n), np.zeros(n, int), lambda kind, t, v: vote_sums(a, b, weight, n, kind, t, v), solved if n <= DENSE else None)
-    s = np.exp(t - t.max(initial=0))
-    return items, s / s.sum()
+    return g, items, shares(maximum(g, lambda t: vote_state(a, b, weight, n, t), curvature), g)
+
+
+def shares(t: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Strengths of sum 1 in each group from log strengths; the groups stand in order and none is empty."""
+    if not len(t):
+        return t
+    s = np.exp(t - np.maximum.reduceat(t, np.flatnonzero(np.diff(group, prepend=-1)))[group])
+    return s / np.bincount(group, s)[group]
+
+
+def fit(winner: np.ndarray, loser: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, strengths of sum 1) of one fit."""
+    return fit_each(np.zeros(len(winner), int), winner, loser, weight)[1:]
 
 
 def counted(votes: DataFrame) -> DataFrame:
@@ -139,19 +165,30 @@ def per_user_fit(pairs: DataFrame, least: int = MIN_COMPARISONS, gathered: int =
     """(user_id, run_id, bt_score, n_comparisons) of each user with at least `least` votes.
 
     `pairs`: (user_id, w, l, n, weight), a row per user and pair. Users with up to
-    `gathered` pairs are fitted in memory, one task each; for those with more the same
-    fit runs over their pairs where they lie, so no task ever holds an unbounded group.
+    `gathered` pairs are fitted in memory, many small ones at once in a task; for those
+    with more the same fit runs over their pairs where they lie, so no task ever holds an
+    unbounded group.
     """
     pairs = cut_lineage(pairs.select("user_id", "w", "l", "n", "weight"))
     sizes = pairs.groupBy("user_id").agg(F.sum("n").alias("n_comparisons"), F.count("*").alias("n_pairs")).filter(F.col("n_comparisons") >= least)
     small = pairs.join(sizes.filter(F.col("n_pairs") <= gathered).drop("n_pairs"), "user_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["w", "l"])
-        items, s = fit(pdf["w"].to_numpy(), pdf["l"].to_numpy(), pdf["weight"].to_numpy(float))
-        return pd.DataFrame({"user_id": [str(pdf["user_id"].iloc[0])] * len(items), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": int(pdf["n_comparisons"].iloc[0])})
-
-    out = spread(small, "user_id").groupBy("user_id").applyInPandas(run, "user_id string, run_id long, bt_score double, n_comparisons long")
+    def run(t: pa.Table) -> pa.Table:
+        users = t["user_id"].combine_chunks().dictionary_encode()
+        names = users.dictionary.to_pylist()
+        place = np.empty(len(names), int)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        user, w, l, weight, n = place[users.indices.to_numpy()], *(t[c].to_numpy() for c in ("w", "l", "weight", "n_comparisons"))
+        at = np.lexsort((l, w, user))
+        g, items, s = fit_each(user[at], w[at], l[at], weight[at])
+        votes = np.zeros(len(names), np.int64)
+        votes[user] = n
+        return pa.table({"user_id": pa.array(sorted(names), pa.string()).take(pa.array(g)), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": votes[g]})
+
+    batches = max(1, -(-(small.agg(F.count("*")).first()[0]) // BATCH_PAIRS))
+    batches = max(batches, small.sparkSession.sparkContext.defaultParallelism)
+    dealt = spread(small.withColumn("batch", F.pmod(F.xxhash64("user_id"), F.lit(batches))), "batch")
+    out = dealt.groupBy("batch").applyInArrow(lambda t: run(t.drop_columns("batch")), "user_id string, run_id long, bt_score double, n_comparisons long")
     large = sizes.filter(F.col("n_pairs") > gathered).drop("n_pairs")
     if large.limit(1).count() == 0:
         return out
@@ -179,28 +216,53 @@ def spread_fit(pairs: DataFrame, by: list[str], sent: int = SENT_ITEMS) -> DataF
     More than `sent` items are refused: their strengths are past what a driver should hold.
     """
     spark = pairs.sparkSession
-    ends = pairs.select(*by, F.col("w").alias("i"), F.col("weight").alias("won")).unionByName(pairs.select(*by, F.col("l").alias("i"), F.lit(0.0).alias("won")))
-    nodes = cut_lineage(ends.groupBy(*by, "i").agg(F.sum("won").alias("wins")))
+    ends = pairs.select(*by, F.col("w").alias("i")).unionByName(pairs.select(*by, F.col("l").alias("i")))
+    nodes = cut_lineage(ends.distinct())
     if (n := nodes.count()) > sent:
         raise ValueError(f"{n} items in one fit, more than {sent}")
-    held = nodes.toPandas().sort_values([*by, "i"]).reset_index(drop=True)
+    held = nodes.toArrow().to_pandas().sort_values([*by, "i"]).reset_index(drop=True)
     group = held.groupby(by).ngroup().to_numpy() if by else np.zeros(n, int)
-    coded = spark.createDataFrame(held[[*by, "i"]].assign(k=range(n)))
+    coded = spark.createDataFrame(pa.Table.from_pandas(held[[*by, "i"]].assign(k=range(n)), preserve_index=False))
     code = lambda c, k: coded.select(*by, F.col("i").alias(c), F.col("k").alias(k))
     rows = cut_lineage(pairs.join(code("w", "a"), [*by, "w"]).join(code("l", "b"), [*by, "l"]).select("a", "b", "weight"))
-    blocks = rows.rdd.mapPartitions(lambda part: [np.array(list(part), float).reshape(-1, 3)]).map(lambda x: (x[:, 0].astype(int), x[:, 1].astype(int), x[:, 2])).persist()
 
-    def sums(kind: str, t: np.ndarray, v: np.ndarray | None) -> np.ndarray:
-        sent_ = spark.sparkContext.broadcast((kind, t, v))
-        out = blocks.map(lambda x: vote_sums(*x, n, *sent_.value)).treeReduce(np.add)
-        sent_.destroy()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in x.columns] for x in batches if x.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*parts)], names=["a", "b", "weight"])
+
+    blocks = rows.mapInArrow(packed, "a binary, b binary, weight binary").rdd.map(lambda r: tuple(np.frombuffer(x, kind) for x, kind in zip(r, (np.int64, np.int64, np.float64)))).persist()
+    parts = blocks.getNumPartitions()
+
+    def summed(of: Callable[[tuple], np.ndarray], rows: int) -> np.ndarray:
+        return blocks.map(of).treeReduce(np.add, 1 if 8 * n * rows * parts <= SENT_BYTES else 2)
+
+    def state(t: np.ndarray) -> np.ndarray:
+        there = spark.sparkContext.broadcast(t)
+        out = summed(lambda x: vote_state(*x, n, there.value), 4)
+        there.destroy()
         return out
 
-    t = maximum(held["wins"].to_numpy(), group, sums)
+    held_at: list = []
+
+    def curvature(t: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        while held_at:
+            held_at.pop().destroy()
+        there = spark.sparkContext.broadcast(t)
+        held_at.append(there)
+
+        def product(v: np.ndarray) -> np.ndarray:
+            to = spark.sparkContext.broadcast(v)
+            out = summed(lambda x: vote_product(x[0], x[1], vote_bend(*x, there.value), n, to.value), 1)
+            to.destroy()
+            return out
+
+        return product
+
+    t = maximum(group, state, curvature)
     blocks.unpersist()
-    s = np.exp(t - np.maximum.reduceat(t, np.flatnonzero(np.diff(group, prepend=-1)))[group])
-    score = np.round(s / np.bincount(group, s)[group], 6)
-    return spark.createDataFrame(held[[*by, "i"]].rename(columns={"i": "run_id"}).assign(bt_score=score))
+    score = np.round(shares(t, group), 6)
+    return spark.createDataFrame(pa.Table.from_pandas(held[[*by, "i"]].rename(columns={"i": "run_id"}).assign(bt_score=score), preserve_index=False))
 
 
 def blend_weights(n: Column) -> tuple[Column, Column]:

@@ -18,7 +18,7 @@ from marginalia.functions import text as X
 from marginalia.functions.rounding import half_even, largest_of, to_hundred
 from marginalia.functions.stats import f_tail, incomplete_beta
 from marginalia.operators.anomalies import nearest_rank_bounds, similar_texts
-from marginalia.operators.bradley_terry import PRIOR, blend_weights, counted, fit, global_fit, per_user_fit, spread_fit, weighted
+from marginalia.operators.bradley_terry import PRIOR, blend_weights, counted, fit, fit_each, global_fit, per_user_fit, spread_fit, weighted
 from marginalia.operators.dedup import latest
 from marginalia.operators.order import median, order_statistics, placed
 from marginalia.operators.profiling import distribution, flattened, null_shares, schema_violations
@@ -208,6 +208,29 @@ def test_users_of_any_size_get_the_same_strengths(spark):
     assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1.1e-6) for k in near)
 
 
+def test_fits_of_nearly_separable_votes_take_few_passes(monkeypatch):
+    """Items far out, whose curvature all but vanishes, neither halve the steps of the others nor slow down the last ones."""
+    rng = np.random.default_rng(7)
+    s = rng.normal(0, 3, 1500)
+    a, b = rng.integers(0, 1500, (2, 4000))
+    a, b = a[a != b], b[a != b]
+    up = rng.random(len(a)) < 1 / (1 + np.exp(s[b] - s[a]))
+    passes, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *x: passes.append(1) or plain(*x))
+    fit(np.where(up, a, b), np.where(up, b, a), np.ones(len(a)))
+    assert len(passes) < 10_000
+
+
+def test_fits_of_many_users_at_once_are_those_of_each():
+    rng = np.random.default_rng(3)
+    user, a, b = (rng.integers(0, n, 400) for n in (9, 15, 15))
+    user, a, b = (x[a != b] for x in (user, a, b))
+    g, items, s = fit_each(user, a, b, np.ones(len(a)))
+    for u in range(9):
+        own, want = fit(a[user == u], b[user == u], np.ones((user == u).sum()))
+        assert (items[g == u] == own).all() and s[g == u] == pytest.approx(want, abs=1e-6)
+
+
 def test_statistics_functions():
     assert incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
     assert f_tail(4.0, 2, 10) == pytest.approx(0.05301, abs=1e-4) and f_tail(None, 1, 1) is None
