@@ -185,13 +185,14 @@ def per_user_fit(pairs: DataFrame, least: int = MIN_COMPARISONS, gathered: int =
         votes[user] = n
         return pa.table({"user_id": pa.array(sorted(names), pa.string()).take(pa.array(g)), "run_id": items, "bt_score": np.round(s, 6), "n_comparisons": votes[g]})
 
-    batches = max(1, -(-(small.agg(F.count("*")).first()[0]) // BATCH_PAIRS))
-    batches = max(batches, small.sparkSession.sparkContext.defaultParallelism)
+    few = F.col("n_pairs") <= gathered
+    size = sizes.agg(F.sum(F.when(few, F.col("n_pairs"))).alias("small"), F.count_if(~few).alias("large")).first()
+    batches = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-(size["small"] or 0) // BATCH_PAIRS))
     dealt = spread(small.withColumn("batch", F.pmod(F.xxhash64("user_id"), F.lit(batches))), "batch")
     out = dealt.groupBy("batch").applyInArrow(lambda t: run(t.drop_columns("batch")), "user_id string, run_id long, bt_score double, n_comparisons long")
-    large = sizes.filter(F.col("n_pairs") > gathered).drop("n_pairs")
-    if large.limit(1).count() == 0:
+    if not size["large"]:
         return out
+    large = sizes.filter(F.col("n_pairs") > gathered).drop("n_pairs")
     big = spread_fit(pairs.join(large.select("user_id"), "user_id", "left_semi"), ["user_id"])
     return out.unionByName(big.join(large, "user_id").select("user_id", "run_id", "bt_score", "n_comparisons"))
 
