@@ -8,6 +8,7 @@ from marginalia.functions.rounding import half_even
 from marginalia.operators.bradley_terry import blend_weights, blended, counted, engagement, global_fit, per_user_fit, run_engagement, weighted
 from marginalia.operators.dedup import latest
 from marginalia.plans.registry import query, with_once
+from marginalia.session import cut_lineage
 from marginalia.tables import table
 
 VOTES = with_once("votes")
@@ -67,9 +68,9 @@ def st04_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Strengths per user, and over all votes, weighted by engagement."""
+    """Strengths per user, and over all votes, weighted by engagement. Rankings read those of users twice; they are fitted once."""
     pairs, own = counted(votes(spark, sf_dir)), engagements(spark, sf_dir)
-    return per_user_fit(weighted(pairs, own, ["user_id"])), global_fit(weighted(pairs.groupBy("w", "l").agg(F.sum("n").alias("n")), run_engagement(own), []))
+    return cut_lineage(per_user_fit(weighted(pairs, own, ["user_id"]))), global_fit(weighted(pairs.groupBy("w", "l").agg(F.sum("n").alias("n")), run_engagement(own), []))
 
 
 @query("ag25_user_strengths")

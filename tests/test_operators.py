@@ -24,6 +24,7 @@ from marginalia.operators.order import median, order_statistics, placed
 from marginalia.operators.profiling import distribution, flattened, null_shares, schema_violations
 from marginalia.operators.search import nearest
 from marginalia.operators.tables_dml import cascade, insert_absent, update, upsert
+from marginalia.plans.catalog import queries
 from marginalia.sources.readers import epub_pages, pdf_text, read_any, read_books, read_csv, read_json
 from marginalia.sources.sinks import VersionedTable, write_any
 
@@ -231,6 +232,11 @@ def test_fits_of_many_users_at_once_are_those_of_each():
         assert (items[g == u] == own).all() and s[g == u] == pytest.approx(want, abs=1e-6)
 
 
+def test_rankings_fit_users_once(spark):
+    plan = queries()["wn03_rankings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") == 1  # that of all votes
+
+
 def test_statistics_functions():
     assert incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
     assert f_tail(4.0, 2, 10) == pytest.approx(0.05301, abs=1e-4) and f_tail(None, 1, 1) is None
