@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions import text as X
 from marginalia.functions.rounding import half_even
-from marginalia.operators.anomalies import nearest_rank_bounds, outside, positive_mean_std, similar_texts, tfidf
+from marginalia.operators.anomalies import nearest_rank_bounds, outside, positive_mean_std, similar_texts, text_key, tfidf
 from marginalia.plans.registry import query, with_once
 from marginalia.plans.text_queries import each_once, notes, raw_texts
 from marginalia.tables import table
@@ -64,4 +64,5 @@ def uf08_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jn19_similar_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN19, T15, O10: one row per text with its class of copies, the count of similar classes, and the first other text of a cosine of 0.85 or more."""
-    return similar_texts(notes(spark, sf_dir), "interpretation_id", "interpretation", _stop_words(spark, sf_dir))
+    keyed = each_once(table(spark, sf_dir, "interpretations").select("interpretation_id", "ingested_at", text_key(F.col("interpretation")).alias("h")))
+    return similar_texts(notes(spark, sf_dir), "interpretation_id", "interpretation", _stop_words(spark, sf_dir), keyed=keyed)

@@ -114,6 +114,26 @@ def test_similar_texts_against_all_pairs(spark, crowd):
         assert (r.class_id, r.n_links, r.first_match) == (c, len(links[c]), min(others, default=None))
 
 
+def test_similar_texts_shuffle_less_than_the_texts_weigh(spark):
+    """Texts of few words have crowds in common; their vectors don't follow each of their terms through a shuffle."""
+    rng = random.Random(8)
+    words = [a + b + c for a in "abcdefgh" for b in "aeio" for c in "nrst"]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(3000)]
+    texts += [f"{t} end" for t in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    got = similar_texts(df, "doc_id", "text").collect()
+    moved = shuffled() - before
+    assert {r.doc_id: r.first_match for r in got if r.first_match is not None} == {i: i + 3000 for i in range(30)} | {i + 3000: i for i in range(30)}
+    assert 0 < moved < 4 * sum(map(len, texts))
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
